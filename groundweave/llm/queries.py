@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from groundweave.llm.chat import OP6_SQL, op6_chat
+from groundweave.llm.langid import op1_langid
 from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_chat": op6_chat,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_chat": OP6_SQL,
+}
