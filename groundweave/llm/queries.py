@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from groundweave.llm.chat import OP6_SQL, op6_chat
+from groundweave.llm.fingerprints import op3_fingerprints
+from groundweave.llm.html_text import op8_html
 from groundweave.llm.langid import op1_langid
+from groundweave.llm.licences import OP10_SQL, op10_licences
 from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op3_fingerprints": op3_fingerprints,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat": op6_chat,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
+    "op10_licences": op10_licences,
 }
 
 ORACLE_SQL = {
     "op6_chat": OP6_SQL,
+    "op10_licences": OP10_SQL,
 }
