@@ -9,10 +9,12 @@ from groundweave.llm.langid import op1_langid
 from groundweave.llm.licences import OP10_SQL, op10_licences
 from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
+from groundweave.llm.repeats import op4_repeats
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op3_fingerprints": op3_fingerprints,
+    "op4_repeats": op4_repeats,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat": op6_chat,
     "op8_html": op8_html,
