@@ -5,6 +5,7 @@ from __future__ import annotations
 from groundweave.llm.chat import OP6_SQL, op6_chat
 from groundweave.llm.fingerprints import op3_fingerprints
 from groundweave.llm.html_text import op8_html
+from groundweave.llm.jaccard import op7_jaccard
 from groundweave.llm.langid import op1_langid
 from groundweave.llm.licences import OP10_SQL, op10_licences
 from groundweave.llm.packing import op9_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_repeats": op4_repeats,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat": op6_chat,
+    "op7_jaccard": op7_jaccard,
     "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
