@@ -187,8 +187,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
 _SCORERS: dict[int, Scorer] = {}
 
 
-def identify(df: DataFrame, trees: ContextTrees, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of df: id_col, lang_pred, score, bits_per_byte (of the best language).
+def identify(df: DataFrame, trees: ContextTrees, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per row of df: id_col (or the columns in keep), lang_pred, score, bits_per_byte (of the best language).
 
     The language with the shortest code for the whole text wins, ties go to the first by name; score is the share of its
     probability in that of all languages. Null texts, texts without a letter and empty ones are `und` with score 0, and
@@ -198,7 +198,8 @@ def identify(df: DataFrame, trees: ContextTrees, text_col: str = "text", id_col:
     model = spark.sparkContext.broadcast(trees)
     key = id(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import regex
 
         letter = regex.compile(r"\p{L}")
@@ -207,20 +208,21 @@ def identify(df: DataFrame, trees: ContextTrees, text_col: str = "text", id_col:
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(model.value)
         langs = np.array([*scorer.trees.langs, "und"], dtype=object)
-        for b in batches:
-            ok = np.array([bool(langs[:-1].size) and t is not None and letter.search(t) is not None for t in b["t"]], bool)
-            best, score, rate = np.full(len(b), len(langs) - 1), np.zeros(len(b)), np.zeros(len(b))
-            texts = [t.encode() for t in b["t"][ok]]
+        for own in parts:
+            n = len(own)
+            ok = np.array([bool(langs[:-1].size) and t is not None and letter.search(t) is not None for t in own], bool)
+            best, score, rate = np.full(n, len(langs) - 1), np.zeros(n), np.zeros(n)
+            texts = [t.encode() for t in own[ok]]
             if texts:
                 bits = scorer.texts(texts)
                 best[ok] = bits.argmin(axis=1)
                 least = bits.min(axis=1)
                 score[ok] = 1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(axis=1)
                 rate[ok] = least / [len(t) for t in texts]
-            yield pd.DataFrame({"k": b["k"], "lang_pred": langs[best], "score": score, "bits_per_byte": rate})
+            yield pd.DataFrame({"lang_pred": langs[best], "score": score, "bits_per_byte": rate})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("k", id_col)
+    columns = (id_col,) if keep is None else keep
+    return df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), judge(F.col(text_col)).alias("_j")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "_j.lang_pred", "_j.score", "_j.bits_per_byte")
 
 
 def held_out():

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundweave.llm.common import table, text_batches, written
@@ -85,10 +85,10 @@ def anchors(spans: Spans, n: int, length: int) -> np.ndarray:
     return (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & np.uint64((1 << 22) - 1)).astype("int64")
 
 
-def _keyed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """id, th (a hash of the text, tells repeated ids apart), t (bytes)."""
+def _keyed(df: DataFrame, text_col: str, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, ik (id as text), th (a hash of the text, tells repeated ids apart), t (bytes), and a struct of what to keep."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ik"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ik"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"), F.struct(F.lit(0).alias("_"), *keep).alias("along"))
 
 
 def _runs(length: int):
@@ -178,45 +178,56 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
-def _cut(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, t, found in zip(b["id"], b["t"], b["starts"], strict=True):
-                spans: list[list[int]] = []
-                for s in sorted(found, key=lambda s: s["start"]):
-                    if spans and s["start"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], s["last"] + length)
-                    else:
-                        spans.append([s["start"], s["last"] + length])
-                kept, at = [], 0
-                for s, e in spans:
-                    kept.append(t[at:s])
-                    at = e
-                rows.append((key, b"".join([*kept, t[at:]]), spans))
-            yield pd.DataFrame(rows, columns=["id", "kept", "spans"])
+def cut_spans(length: int):
+    """Pandas UDF of bytes and starts (array of start, last): what is left of the bytes, and the spans that go."""
 
-    return run
+    @F.pandas_udf("kept binary, spans array<array<long>>")
+    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, found in zip(texts, starts, strict=True):
+            spans: list[list[int]] = []
+            for s in sorted(found, key=lambda s: s["start"]):
+                if spans and s["start"] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], s["last"] + length)
+                else:
+                    spans.append([s["start"], s["last"] + length])
+            kept, at = [], 0
+            for s, e in spans:
+                kept.append(t[at:s])
+                at = e
+            rows.append((b"".join([*kept, t[at:]]), spans))
+        return pd.DataFrame(rows, columns=["kept", "spans"])
+
+    return cut
+
+
+def whole_characters(kept: Column) -> Column:
+    """Bytes as text; bytes that are no whole character are left out."""
+
+    @F.pandas_udf("string")
+    def decode(kept: pd.Series) -> pd.Series:
+        return pd.Series([x.decode("utf-8", "ignore") for x in kept], dtype=object)
+
+    return decode(kept)
 
 
-def without_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def without_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: id_col, n_bytes, kept (binary: the bytes that stay), spans (removed [start, end) in bytes).
 
     A byte goes if a `length`-byte string that covers it also starts anywhere else, in another row or in its own. Null
     texts are empty; texts shorter than length stay whole. Repeated rows remove each other if they are long enough.
-    Strings are cut at bytes, so `kept` need not be UTF-8. length must be 2 * GRAM at least.
+    Strings are cut at bytes, so `kept` need not be UTF-8. length must be 2 * GRAM at least. The columns in `keep` go along.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    keyed = _keyed(df, text_col, id_col)
+    keyed = _keyed(df, text_col, id_col, keep)
     starts = written(repeated_starts(keyed, length).groupBy("ik", "th").agg(F.collect_list(F.struct("start", "last")).alias("starts")), "starts")
     texts, others = _texts_of(keyed, starts)
-    kind = df.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, kept binary, spans array<array<long>>"
-    hit = texts.join(starts, ["ik", "th"], "left").select("id", "t", F.coalesce("starts", F.array().cast("array<struct<start:long,last:long>>")).alias("starts")).mapInPandas(_cut(length), out)
-    rows = others.select("id", F.col("t").alias("kept"), F.array().cast("array<array<long>>").alias("spans")).unionByName(hit)
+    hit = texts.join(starts, ["ik", "th"], "left").select("id", "along", "t", F.coalesce("starts", F.array().cast("array<struct<start:long,last:long>>")).alias("starts"))
+    hit = hit.select("id", "along", cut_spans(length)("t", "starts").alias("c")).select("id", "along", "c.kept", "c.spans")
+    rows = others.select("id", "along", F.col("t").alias("kept"), F.array().cast("array<array<long>>").alias("spans")).unionByName(hit)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return rows.select(F.col("id").alias(id_col), (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "kept", "spans")
+    return rows.select(F.col("id").alias(id_col), (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "kept", "spans", *(F.col(f"along.`{c}`") for c in keep))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
