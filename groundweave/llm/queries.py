@@ -11,9 +11,11 @@ from groundweave.llm.licences import OP10_SQL, op10_licences
 from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
 from groundweave.llm.repeats import op4_repeats
+from groundweave.llm.topk import OP2_SQL, op2_topk
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_topk": op2_topk,
     "op3_fingerprints": op3_fingerprints,
     "op4_repeats": op4_repeats,
     "op5_sentencepiece": op5_sentencepiece,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_topk": OP2_SQL,
     "op6_chat": OP6_SQL,
     "op10_licences": OP10_SQL,
 }
