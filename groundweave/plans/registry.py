@@ -1,4 +1,9 @@
 """Registered queries by name, each with the SQL it is held against where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from groundweave.plans import metric_queries
+
+_PARTS = (metric_queries.R,)
+QUERIES = {k: v for r in _PARTS for k, v in r.queries.items()}
+ORACLE_SQL = {k: v for r in _PARTS for k, v in r.sql.items()}
