@@ -113,9 +113,9 @@ def nonfinite_audit(t):
     return O.nonfinite_audit(cells, ("v", "conf"), "grp")
 
 
-@R.query("SELECT window_id FROM (SELECT r AS window_id, BOOL_OR(v IS NULL) AS bad FROM cells_fx WHERE c % 5 = 0 GROUP BY r) WHERE NOT bad")
+@R.query("SELECT window_id FROM (SELECT r*10 + c // 5 AS window_id, BOOL_OR(v IS NULL) AS bad FROM cells_fx GROUP BY 1) WHERE NOT bad")
 def valid_windows(t):
-    arrays = t("cells_fx").where("c % 5 = 0").groupBy(F.col("r").alias("window_id")).agg(F.collect_list(F.coalesce("v", F.lit(float("nan")))).alias("image"))
+    arrays = t("cells_fx").groupBy((F.col("r") * 10 + F.floor(F.col("c") / 5)).alias("window_id")).agg(F.collect_list(F.coalesce("v", F.lit(float("nan")))).alias("image"))
     return O.valid_windows(arrays, arrays, ("image",))[0].select("window_id")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from groundweave.plans import adjust_queries, metric_queries, raster_queries, sampling_queries, spatial_queries
+from groundweave.plans import adjust_queries, embed_queries, metric_queries, raster_queries, sampling_queries, spatial_queries
 
-_PARTS = (metric_queries.R, raster_queries.R, sampling_queries.R, adjust_queries.R, spatial_queries.R)
+_PARTS = (metric_queries.R, raster_queries.R, sampling_queries.R, adjust_queries.R, spatial_queries.R, embed_queries.R)
 QUERIES = {k: v for r in _PARTS for k, v in r.queries.items()}
 ORACLE_SQL = {k: v for r in _PARTS for k, v in r.sql.items()}

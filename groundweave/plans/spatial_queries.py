@@ -46,10 +46,10 @@ def window_coverage(t):
     return out.select("window_id", F.size("cover").cast("long").alias("n"), F.aggregate("cover", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
-@R.query(f"""WITH s AS (SELECT * FROM scenes_fx WHERE scene_id % 29 = 0), p AS (SELECT GREATEST(a.x0, b.x0) AS x0, GREATEST(a.y0, b.y0) AS y0, LEAST(a.x0+a.w, b.x0+b.w) AS x1, LEAST(a.y0+a.h, b.y0+b.h) AS y1 FROM s a JOIN s b ON a.scene_id < b.scene_id AND {_MEET})
+@R.query(f"""WITH s AS (SELECT * FROM scenes_fx), p AS (SELECT GREATEST(a.x0, b.x0) AS x0, GREATEST(a.y0, b.y0) AS y0, LEAST(a.x0+a.w, b.x0+b.w) AS x1, LEAST(a.y0+a.h, b.y0+b.h) AS y1 FROM s a JOIN s b ON a.scene_id < b.scene_id AND {_MEET})
   SELECT DISTINCT a.window_id FROM {_CELLS} a JOIN p ON p.x0 <= a.x0+500 AND p.x1 >= a.x0 AND p.y0 <= a.y0+500 AND p.y1 >= a.y0""")
 def overlap_region_semi(t):
-    return O.overlap_region_semi(_cells(t), scenes(t).where("scene_id % 29 = 0").withColumnRenamed("scene_id", "img")).select("window_id")
+    return O.overlap_region_semi(_cells(t), scenes(t).withColumnRenamed("scene_id", "img")).select("window_id")
 
 
 @R.query("WITH g AS (SELECT scene_id // 3 AS grp, MAX(x0) AS a, MAX(y0) AS b, MIN(x0+w) AS c, MIN(y0+h) AS d FROM (SELECT scene_id, (scene_id % 3)*CAST(200 AS DOUBLE) AS x0, (scene_id % 7)*CAST(300 AS DOUBLE) AS y0, w, h FROM scenes_fx) GROUP BY 1) SELECT grp, ROUND(GREATEST(c-a, 0)*GREATEST(d-b, 0), 4) AS area FROM g")
@@ -60,9 +60,9 @@ def common_intersection(t):
     return rounded(O.common_intersection(quads, "grp").select("grp", "area"), 4)
 
 
-@R.query(f"SELECT a.scene_id AS i, b.scene_id AS j, ROUND({_SHARE}, 4) AS area, CAST(4 AS INTEGER) AS n FROM scenes_fx a JOIN scenes_fx b ON b.scene_id > a.scene_id AND a.scene_id % 5 = 0 AND b.scene_id % 5 = 0 AND {_MEET} WHERE {_SHARE} >= {MIN_AREA}")
+@R.query(f"SELECT a.scene_id AS i, b.scene_id AS j, ROUND({_SHARE}, 4) AS area, CAST(4 AS INTEGER) AS n FROM scenes_fx a JOIN scenes_fx b ON b.scene_id > a.scene_id AND {_MEET} WHERE {_SHARE} >= {MIN_AREA}")
 def convex_clip(t):
-    s = scenes(t).where("scene_id % 5 = 0")
+    s = scenes(t)
     rings = s.select(F.col("scene_id").alias("i"), F.col("ring").alias("a"))
     both = O.overlap_pairs(s, MIN_AREA).select("i", "j").join(rings, "i").join(rings.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
     cut = both.select("i", "j", O.convex_clip(F.col("a"), F.col("b")).alias("c"))
@@ -83,11 +83,11 @@ def match_tiles(t):
     return O.match_tiles(t("scenes_fx").select(F.col("scene_id").alias("id"), F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w")), 400)
 
 
-_POLYS = "(SELECT scene_id AS id, w, h FROM scenes_fx WHERE scene_id % 10 = 0)"
+_POLYS = "(SELECT scene_id AS id, w, h FROM scenes_fx)"
 
 
 def _polys(t):
-    return scenes(t).where("scene_id % 10 = 0").withColumnRenamed("scene_id", "id")
+    return scenes(t).withColumnRenamed("scene_id", "id")
 
 
 @R.query(f"SELECT id, COUNT(*) AS n FROM {_POLYS}, range(10) a(r), range(10) b(c) WHERE (r+1)*400 <= h AND (c+1)*400 <= w GROUP BY id")
@@ -95,14 +95,14 @@ def best_offset_grid(t):
     return O.best_offset_grid(_polys(t), 400.0).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@R.query(f"SELECT id, side, n FROM (SELECT id, side, n, row_number() OVER (PARTITION BY id ORDER BY side DESC) AS r FROM (SELECT id, s AS side, CAST(floor(w/s)*floor(h/s) AS BIGINT) AS n, w*h AS area FROM {_POLYS}, (VALUES (CAST(1600 AS DOUBLE)), (800), (400), (200)) v(s)) WHERE n*side*side > area*0.5) WHERE r = 1")
+@R.query(f"SELECT id, side, n FROM (SELECT id, side, n, row_number() OVER (PARTITION BY id ORDER BY side DESC) AS r FROM (SELECT id, s AS side, CAST(floor(w/s)*floor(h/s) AS BIGINT) AS n, w*h AS area FROM {_POLYS}, (VALUES (CAST(1600 AS DOUBLE)), (800), (400)) v(s)) WHERE n*side*side > area*0.5) WHERE r = 1")
 def fill_squares(t):
-    return O.fill_squares(_polys(t), 1600.0, 200.0).groupBy("id", "side").agg(F.count("*").alias("n"))
+    return O.fill_squares(_polys(t), 1600.0, 400.0).groupBy("id", "side").agg(F.count("*").alias("n"))
 
 
-@R.query(f"SELECT a.scene_id*100000 + b.scene_id AS pair_id, CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS inside FROM scenes_fx a JOIN scenes_fx b ON a.scene_id < b.scene_id AND b.scene_id % 10 = 0 AND a.scene_id % 10 = 0 AND {_MEET} WHERE {_SHARE} >= {MIN_AREA}")
+@R.query(f"SELECT a.scene_id*100000 + b.scene_id AS pair_id, CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS inside FROM scenes_fx a JOIN scenes_fx b ON a.scene_id < b.scene_id AND {_MEET} WHERE {_SHARE} >= {MIN_AREA}")
 def overlap_points(t):
-    s = scenes(t).where("scene_id % 10 = 0")
+    s = scenes(t)
     rings = s.select(F.col("scene_id").alias("i"), F.col("ring").alias("a"))
     pairs = O.overlap_pairs(s, MIN_AREA).join(rings, "i").join(rings.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
     pairs = pairs.select((F.col("i") * 100000 + F.col("j")).alias("pair_id"), F.lit(20).cast("long").alias("k"), O.convex_clip(F.col("a"), F.col("b")).alias("ring"))
