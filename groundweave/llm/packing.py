@@ -11,6 +11,7 @@ import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -24,19 +25,24 @@ CAPACITY = 2048
 SALTS = 64
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _model(path: str):
+    """The library's own tokenizer, loaded by workers that meet a text which needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def _encoder(path: str) -> Callable[[str], bytes]:
     """The file's ids for a text, as little-endian unsigned 32-bit integers.
 
     A byte-level file whose ids follow its merges is a table of ranks, which tiktoken takes as well and works off three
     times as fast. Texts that hold an added token's string, and other files, go to the tokenizers library.
     """
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    file = json.loads(model.to_str())
+    file = json.loads(Path(path).read_text(encoding="utf-8"))
     added = [x["content"] for x in file["added_tokens"]]
-    plain = lambda text: np.asarray(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    plain = lambda text: np.asarray(_model(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     ranks = _ranks(file)
     if ranks is None:
         return plain
