@@ -23,11 +23,13 @@ from groundweave.llm.common import table, text_batches
 #: Bytes of context. A string of ORDER + 1 bytes is an unsigned number of 8 bits a byte.
 ORDER = 4
 #: The fit reads at most about so many bytes of text of all languages together, an equal share of each; this bounds the model.
-FIT_BYTES = 48_000_000
+FIT_BYTES = 16_000_000
 #: Where a text's first context would begin before it, zero bytes stand in.
 _PAD = b"\0" * ORDER
-_SLAB = 1 << 20
+_SLAB = 1 << 18
 _SLOTS = 1 << 21
+#: Code lengths that the table of strings may hold, over all languages.
+_HELD = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +97,7 @@ class Scorer:
         self.keys = np.full(_SLOTS, np.iinfo("uint64").max, "uint64")
         self.rows = np.zeros(_SLOTS, "int32")
         self.bits = np.zeros((0, len(trees.langs)))
-        self.free = _SLOTS // 2
+        self.free = min(_SLOTS // 2, _HELD // max(1, len(trees.langs)))
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * _MIX) >> np.uint64(64 - 21)).astype("int64")
@@ -164,9 +166,10 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     if not langs:
         return ContextTrees([], [], [])
     share = fit_bytes / len(langs)
-    keep = F.lit(False)
-    for lang in langs:
+    keep, number = F.lit(False), F.lit(-1)
+    for i, lang in enumerate(langs):
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("k", "t"), F.lit(1 << 20)) < int(min(1.0, share / sizes[lang]) * (1 << 20))))
+        number = F.when(F.col("lang") == lang, i).otherwise(number)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,10 +178,10 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
                 grams, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": grams.astype("int64"), "n": n})
 
-    found = rows.where(keep).select("lang", "t").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where(keep).select(number.alias("lang"), "t").mapInPandas(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     grams, counts = [], []
-    for lang in langs:
-        own = found[found["lang"] == lang].sort_values("gram")
+    for i in range(len(langs)):
+        own = found[found["lang"] == i].sort_values("gram")
         grams.append(own["gram"].to_numpy().astype("uint64"))
         counts.append(own["n"].to_numpy().astype(float))
     return ContextTrees(langs, grams, counts)
