@@ -1,12 +1,17 @@
-"""What the operators of this subpackage share: reading tables and cutting lineage in the shared folder."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, and the memory of Python workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundweave.sources.shared import shared_dir, written
+
+__all__ = ["TEXT_BATCH", "hold", "let_go", "shared_dir", "table", "text_batches", "written"]
+
 #: Rows of an Arrow batch for operators that hold whole texts in Python.
 TEXT_BATCH = 500
 
@@ -21,18 +26,19 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-groundweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+_held: dict[Hashable, Any] = {}
+
+
+def hold(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A model that a Python worker keeps from task to task. It keeps one at a time, as workers serve all operators."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later jobs neither recompute it nor see other row orders."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/groundweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def let_go() -> None:
+    """Frees what an earlier task of this worker has kept; for tasks that keep no model and need the room."""
+    if _held:
+        _held.clear()
+        gc.collect()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import table, text_batches, written
+from groundweave.llm.common import let_go, table, text_batches, written
 from groundweave.llm.repeats import Spans
 
 WORDS = 5
@@ -32,7 +32,7 @@ NEAR = 80
 FREQUENT = 32
 FREQUENT_MOST = 1 << 18
 #: Tokens that a task gathers before it passes them on.
-_HELD = 1 << 20
+_HELD = 1 << 19
 _CLASSES = 1 << 18
 
 
@@ -73,6 +73,7 @@ def _summaries():
     """By document: size, two hashes of the set, signature (whole and in four numbers); and tokens that a part repeats."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held: list[np.ndarray] = []
         room = _HELD
 
@@ -122,6 +123,7 @@ def _rare_keys(model, buckets: int, near: int):
     """Packed (token, set) pairs of rare prefix tokens, by bucket of tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         room = _HELD
 
@@ -160,6 +162,7 @@ def _pair_keys(model, near: int):
     """Keys of neighbouring tokens in the extended prefix of sets whose rare tokens all lie in the prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
             keys, sets = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
             for text in b["t"]:

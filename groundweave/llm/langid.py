@@ -10,6 +10,7 @@ once and then looked up.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import table, text_batches
+from groundweave.llm.common import hold, table, text_batches
 
 #: Bytes of context. A string of ORDER + 1 bytes is an unsigned number of 8 bits a byte.
 ORDER = 4
@@ -187,9 +188,6 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     return ContextTrees(langs, grams, counts)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def identify(df: DataFrame, trees: ContextTrees, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """One row per row of df: id_col (or the columns in keep), lang_pred, score, bits_per_byte (of the best language).
 
@@ -199,17 +197,14 @@ def identify(df: DataFrame, trees: ContextTrees, text_col: str = "text", id_col:
     """
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(trees)
-    key = id(model)
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import regex
 
         letter = regex.compile(r"\p{L}")
-        scorer = _SCORERS.get(key)
-        if scorer is None or scorer.trees is not model.value:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(model.value)
+        scorer = hold(key, lambda: Scorer(model.value))
         langs = np.array([*scorer.trees.langs, "und"], dtype=object)
         for own in parts:
             n = len(own)

@@ -18,22 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import table, text_batches, written
+from groundweave.llm.common import hold, table, text_batches, written
 
 CAPACITY = 2048
 #: Parts into which the pieces of one length are dealt, so that a frequent length is ranked by many tasks.
 SALTS = 64
 
 
-@lru_cache(maxsize=1)
-def _model(path: str):
-    """The library's own tokenizer, loaded by workers that meet a text which needs it."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> Callable[[str], bytes]:
     """The file's ids for a text, as little-endian unsigned 32-bit integers.
 
@@ -42,7 +33,14 @@ def _encoder(path: str) -> Callable[[str], bytes]:
     """
     file = json.loads(Path(path).read_text(encoding="utf-8"))
     added = [x["content"] for x in file["added_tokens"]]
-    plain = lambda text: np.asarray(_model(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)  # loaded only where a text needs it
+
+    plain = lambda text: np.asarray(library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     ranks = _ranks(file)
     if ranks is None:
         return plain
@@ -78,7 +76,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = _encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = hold(("ranks", tokenizer_path), lambda: _encoder(tokenizer_path)), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for k, t in zip(b["k"], b["t"], strict=True):

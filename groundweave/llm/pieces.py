@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundweave.llm.chunks import ChunkTable
-from groundweave.llm.common import table, text_batches
+from groundweave.llm.common import hold, table, text_batches
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -36,7 +35,6 @@ def _cut(text: str, at: int) -> int:
     return found.start() if found else len(text)
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str):
     import sentencepiece
 
@@ -65,7 +63,7 @@ def sentencepiece_ids(df: DataFrame, model_path: str, text_col: str = "text", id
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, encode = _encoder(model_path)
+        model, encode = hold(("pieces", model_path), lambda: _encoder(model_path))
         begin, end = (np.asarray([x], "<u4").tobytes() for x in (model.bos_id(), model.eos_id()))
         for b in batches:
             ids = [begin + x + end for x in encode([t or "" for t in b["t"]])]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import table, text_batches, written
+from groundweave.llm.common import let_go, table, text_batches, written
 
 LENGTH = 400
 GRAM = 32
@@ -93,6 +93,7 @@ def _keyed(df: DataFrame, text_col: str, id_col: str, keep: tuple[str, ...] = ()
 
 def _runs(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         low, width = window(length)
         for b in batches:
             out: list[tuple] = []
@@ -117,6 +118,7 @@ def _blocks(length: int):
     """Blocks of a run's starts, aligned to its anchor, with the hashes of their common, covering and single strings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         low, _ = window(length)
         for b in batches:
             rows = []
