@@ -85,7 +85,8 @@ def read_rpb(spark: SparkSession, path: str) -> DataFrame:
 def rpc_lines(rpc: str = "rpc") -> Column:
     """The text of a model file: 170 labelled lines, the first ten with units."""
     first = [F.concat(F.lit(f"{NAMES[k.split('_')[0]]}_{'OFF' if k.endswith('off') else 'SCALE'}: "), F.col(f"{rpc}.{k}").cast("string"), F.lit(" " + UNITS[k.split("_")[0]])) for k in SCALARS]
-    blocks = [F.array_join(F.transform(F.col(f"{rpc}.{k}"), lambda x, i, k=k: F.concat(F.lit(f"{LABELS[k]}_"), (i + 1).cast("string"), F.lit(": "), x.cast("string"))), "\n") for k in (*DIRECT, *INVERSE)]
+    numbered = lambda label: lambda x, i: F.concat(F.lit(f"{label}_"), (i + 1).cast("string"), F.lit(": "), x.cast("string"))
+    blocks = [F.array_join(F.transform(F.col(f"{rpc}.{k}"), numbered(LABELS[k])), "\n") for k in (*DIRECT, *INVERSE)]
     return F.concat_ws("\n", *first, *blocks)
 
 
