@@ -41,6 +41,14 @@ def apply_homography(h: Column, r: Column, c: Column) -> tuple[Column, Column]:
     return (h[0] * r + h[1] * c + h[2]) / z, (h[3] * r + h[4] * c + h[5]) / z
 
 
+def homography_inv(h: Column) -> Column:
+    """The inverse of a homography up to scale, by cofactors, scaled to the inverse proper; null where it is singular."""
+    m = lambda a, b, c, d: h[a] * h[d] - h[b] * h[c]
+    cofactors = (m(4, 5, 7, 8), m(2, 1, 8, 7), m(1, 2, 4, 5), m(5, 3, 8, 6), m(0, 2, 6, 8), m(2, 0, 5, 3), m(3, 4, 6, 7), m(1, 0, 7, 6), m(0, 1, 3, 4))
+    det = h[0] * cofactors[0] + h[1] * cofactors[3] + h[2] * cofactors[6]
+    return F.when(det != 0, F.array(*(F.try_divide(x, det) for x in cofactors)))
+
+
 def affine_apply(m: Column, r: Column, c: Column) -> tuple[Column, Column]:
     return m[0] * r + m[1] * c + m[2], m[3] * r + m[4] * c + m[5]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundweave.operators.metrics import error_report
 from groundweave.operators.spatial import overlap_pairs
-from groundweave.plans import adjust_queries, camera_queries, embed_queries, metric_queries, raster_queries, sampling_queries, source_queries, spatial_queries
+from groundweave.plans import adjust_queries, camera_queries, crop_queries, embed_queries, metric_queries, raster_queries, sampling_queries, source_queries, spatial_queries
 from groundweave.plans.base import Registry, rounded
 from groundweave.plans.fixtures import fixture
 from groundweave.plans.spatial_queries import MIN_AREA, scenes
@@ -31,6 +31,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_error_report(lambda name: fixture(spark, sf_dir, name))
 
 
-_PARTS = (R, metric_queries.R, raster_queries.R, sampling_queries.R, adjust_queries.R, spatial_queries.R, embed_queries.R, camera_queries.R, source_queries.R)
+_PARTS = (R, metric_queries.R, raster_queries.R, sampling_queries.R, adjust_queries.R, spatial_queries.R, embed_queries.R, camera_queries.R, crop_queries.R, source_queries.R)
 QUERIES = {k: v for r in _PARTS for k, v in r.queries.items()}
 ORACLE_SQL = {k: v for r in _PARTS for k, v in r.sql.items()}

@@ -144,3 +144,9 @@ def test_overlap_pairs_need_an_area(spark):
     with pytest.raises(ValueError):
         spatial.overlap_pairs(spark.createDataFrame([], f"scene_id long, ring {spatial.RING}"), 0)
     assert spatial.overlap_pairs(spark.createDataFrame([], f"scene_id long, ring {spatial.RING}"), 1).count() == 0
+
+
+def test_homography_inverse(spark):
+    h = np.array([[1.1, 0.2, 5], [-0.1, 0.9, 3], [1e-4, -2e-4, 1.0]])
+    got = spark.range(1).select(G.homography_inv(F.array(*(F.lit(float(x)) for x in h.ravel()))).alias("g")).first()["g"]
+    assert np.allclose(np.reshape(got, (3, 3)), np.linalg.inv(h))
