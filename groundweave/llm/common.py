@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from groundweave.sources.shared import shared_dir, written
@@ -13,7 +16,7 @@ from groundweave.sources.shared import shared_dir, written
 __all__ = ["TEXT_BATCH", "hold", "let_go", "shared_dir", "table", "text_batches", "written"]
 
 #: Rows of an Arrow batch for operators that hold whole texts in Python.
-TEXT_BATCH = 500
+TEXT_BATCH = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +41,10 @@ def hold(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def let_go() -> None:
-    """Frees what an earlier task of this worker has kept; for tasks that keep no model and need the room."""
-    if _held:
-        _held.clear()
-        gc.collect()
+    """Frees what an earlier task of this worker has kept, and gives freed memory back to the system (Arrow's pool and
+    the C library keep it otherwise, at the cost of the executor's other worker and JVM)."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

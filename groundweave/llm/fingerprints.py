@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import table, text_batches, written
+from groundweave.llm.common import let_go, table, text_batches, written
 
 P1, P2 = 2147483647, 2147483629  # the two largest primes below 2**31
 BASE1, BASE2 = 1103515245, 1220703125
@@ -112,6 +112,7 @@ def edited_neighbours(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held = first = None
         for b in batches:
             rows = []

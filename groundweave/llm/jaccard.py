@@ -201,12 +201,14 @@ def _links(pairs: DataFrame, docs: DataFrame, near: int, tag: str) -> DataFrame:
     texts = docs.withColumn("class", of).join(classes, "class", "left_semi").drop("class")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in batches:
             yield pd.DataFrame({"id": x["id"], "tokens": [shingle_set(t).tobytes() for t in x["t"]]})
 
     found = written(texts.join(wanted, "id", "left_semi").mapInPandas(sets, "id long, tokens binary"), f"{tag}-sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in batches:
             keep = []
             for ta, tb in zip(x["ta"], x["tb"], strict=True):
