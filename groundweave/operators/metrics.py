@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundweave.operators.sampling import numbered_by
+
 
 def error_report(errors: DataFrame, d: str = "d", by: tuple[str, ...] = ()) -> DataFrame:
     """count, mean, median, max, rmse and percentages under 1, 3 and 5, for each group of `by` and overall (null keys).
@@ -149,9 +151,13 @@ def drop_padding_rows(preds: DataFrame, order: Column | None = None) -> DataFram
 
 
 def class_index(labels: DataFrame) -> DataFrame:
-    """label, ids (in order), num_classes (greatest label + 1) of rows (idx, label)."""
+    """label, pos, idx, num_classes of rows (idx, label): each label's samples in order, a row each, and greatest label + 1.
+
+    A label may be most of the rows: places come from ranges of (label, idx), not from one task a label.
+    """
     most = labels.agg((F.max("label") + 1).alias("num_classes"))
-    return labels.groupBy("label").agg(F.sort_array(F.collect_list("idx")).alias("ids")).crossJoin(F.broadcast(most))  # one row
+    placed = numbered_by(labels.select("label", "idx"), "label", [F.col("idx")])
+    return placed.crossJoin(F.broadcast(most)).select("label", F.col("turn").alias("pos"), "idx", "num_classes")  # one row
 
 
 def class_remap(preds: DataFrame, mapping: list[int], scores: str = "probs") -> DataFrame:

@@ -33,6 +33,15 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rn", start: int =
     return ranged.withColumn(name, (inside + F.element_at(base, F.col("_part"))).cast("long")).drop("_part")
 
 
+def numbered_by(df: DataFrame, by: str | list[str], order: list[Column], name: str = "turn") -> DataFrame:
+    """df with the place (from 0) of each row within its group, where a group may be most of the rows: ranges of (by,
+    order) are numbered as a whole and each group's first number is taken off."""
+    keys = [by] if isinstance(by, str) else by
+    all_ = written(numbered(df, [*map(F.col, keys), *order], "_rn"), "numbered")
+    first = all_.groupBy(*keys).agg(F.min("_rn").alias("_first"))
+    return all_.join(first, keys).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_first")
+
+
 def sample_groups(groups: DataFrame, n: int | None = None, select: list[int] | None = None, seed: int = 42, key: str = "group_id") -> DataFrame:
     """n groups without replacement in hash order, or the groups at the given positions of the id order."""
     if select is not None:
@@ -43,19 +52,19 @@ def sample_groups(groups: DataFrame, n: int | None = None, select: list[int] | N
 def few_shot_subset(labels: DataFrame, k_or_percent: float, n_tries: int = 1) -> DataFrame:
     """try, idx, label: for each try and class n samples in hash order, or max(int(count * percent), 1) under one."""
     tries = labels.select("idx", "label", F.explode(F.sequence(F.lit(0), F.lit(n_tries - 1))).alias("try"))
-    rank = F.row_number().over(Window.partitionBy("try", "label").orderBy(hash_key(F.col("idx"), F.col("try")), "idx"))
-    count = F.count("*").over(Window.partitionBy("try", "label"))
-    wanted = F.lit(int(k_or_percent)) if k_or_percent >= 1 else F.greatest(F.floor(count * F.lit(float(k_or_percent))), F.lit(1))
-    return tries.withColumns({"_r": rank, "_n": wanted}).where("_r <= _n").select("try", "idx", "label")
+    placed = numbered_by(tries, ["try", "label"], [hash_key(F.col("idx"), F.col("try")), F.col("idx")])
+    if k_or_percent >= 1:
+        return placed.where(F.col("turn") < int(k_or_percent)).select("try", "idx", "label")
+    counts = labels.groupBy("label").agg(F.greatest(F.floor(F.count("*") * F.lit(float(k_or_percent))), F.lit(1)).alias("_n"))
+    return placed.join(counts, "label").where("turn < _n").select("try", "idx", "label")
 
 
 def train_val_split(labels: DataFrame, p: float = 0.1, shuffle: bool = True, seed: int = 0) -> DataFrame:
     """idx, label, is_val: of each class of n the first max(1, int(p n)) are for validation, none of a class of one."""
     key = [hash_key(F.col("idx"), seed), F.col("idx")] if shuffle else [F.col("idx")]
-    w = Window.partitionBy("label")
-    n = F.count("*").over(w)
-    size = F.when(n > 1, F.greatest(F.floor(n * F.lit(p)), F.lit(1))).otherwise(0)
-    return labels.withColumn("_size", size).withColumn("_r", F.row_number().over(w.orderBy(*key))).select("idx", "label", (F.col("_r") <= F.col("_size")).alias("is_val"))
+    size = F.when(F.count("*") > 1, F.greatest(F.floor(F.count("*") * F.lit(p)), F.lit(1))).otherwise(0)
+    placed = numbered_by(labels.select("idx", "label"), "label", key)
+    return placed.join(labels.groupBy("label").agg(size.alias("_size")), "label").select("idx", "label", (F.col("turn") < F.col("_size")).alias("is_val"))
 
 
 def epoch_shard(ids: DataFrame, size: int, epoch: int, start: int, step: int, seed: int = 0, advance: int = 0) -> DataFrame:
@@ -81,7 +90,7 @@ def mixture_sample(sources: DataFrame, ratios: dict[str, float], n: int, seed: i
         pick = F.when((u >= low / total) & (u < (low + r) / total), name).otherwise(pick)
         low += r
     draws = spark.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u")).select("draw", pick.alias("source"))
-    turn = lambda df, order: written(_numbered_by(df, "source", order), "mixture")
+    turn = lambda df, order: written(numbered_by(df, "source", order), "mixture")
     d = turn(draws, [F.col("draw")])
     s = turn(sources.where(F.col("source").isin(*ratios)), [hash_key(F.col("id"), seed), F.col("id")])
     met = written(d.join(s, ["source", "turn"], "left"), "mixture")
@@ -89,14 +98,6 @@ def mixture_sample(sources: DataFrame, ratios: dict[str, float], n: int, seed: i
     return (met if empty is None else met.where(F.col("draw") < empty)).select("draw", "source", "id")
 
 
-def _numbered_by(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
-    """df with `turn`, the place within its group, where a group may be most of the rows: ranges of (by, order) are
-    numbered as a whole and each group's first number is taken off."""
-    all_ = written(numbered(df, [F.col(by), *order], "_rn"), "numbered")
-    first = all_.groupBy(by).agg(F.min("_rn").alias("_first"))
-    return all_.join(F.broadcast(first), by).withColumn("turn", F.col("_rn") - F.col("_first")).drop("_rn", "_first")  # a row for each source
-
-
 def training_pair_draw(groups: DataFrame, epoch: int) -> DataFrame:
     """group_id, a, b: two images of each group's n; if the same is drawn twice, the second is the next."""
     seed = F.col("group_id") + epoch * 10000

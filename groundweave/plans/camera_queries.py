@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundweave.functions import geometry as G
 from groundweave.operators import cameras as O
 from groundweave.plans.base import Registry, rounded
 
@@ -63,6 +64,13 @@ def scene_corners(t):
     return rounded(O.scene_corners(sized).select("scene_id", F.col("ring")[0]["x"].alias("x0"), F.col("ring")[0]["y"].alias("y0")), 2)
 
 
+@R.query(f"SELECT scene_id, l_orderkey, l_linenumber, ROUND(5000 - 5000*p - dl, 2) AS line, ROUND(5000 + 5000*(l + 0.01*z) - ds, 2) AS samp FROM ({_P})")
+def xy_to_sampline(t):
+    y, x = G.mercator(F.col("lat"), F.col("lon"))
+    points = _points(t).select("scene_id", "l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), "h")
+    return rounded(O.xy_to_sampline(points, scenes(t)).select("scene_id", "l_orderkey", "l_linenumber", "line", "samp"), 2)
+
+
 @R.query("SELECT CAST(0 AS BIGINT) AS n")
 def rpc_roundtrip_check(t):
     return O.rpc_roundtrip_check(scenes(t), 5, 3).agg(F.count("*").alias("n"))

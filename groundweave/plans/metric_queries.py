@@ -112,9 +112,9 @@ def drop_padding_rows(t):
     return M.drop_padding_rows(t("class_fx").select((F.col("idx") % 997 - 5).alias("index"), "idx"), F.col("idx"))
 
 
-@R.query("SELECT label, COUNT(*) AS n, CAST(SUM(idx) AS BIGINT) AS id_sum, MIN(idx) AS first_id, CAST(25 AS BIGINT) AS num_classes FROM class_fx GROUP BY label")
+@R.query("SELECT label, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS pos, idx, (SELECT MAX(label) + 1 FROM class_fx) AS num_classes FROM class_fx")
 def class_index(t):
-    return M.class_index(t("class_fx")).select("label", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.get("ids", F.lit(0)).alias("first_id"), "num_classes")
+    return M.class_index(t("class_fx").select("idx", "label"))
 
 
 @R.query("SELECT idx, MAX(CASE WHEN cls = 3 THEN score END) AS p0, MAX(CASE WHEN cls = 1 THEN score END) AS p1 FROM preds_fx GROUP BY idx")
