@@ -13,7 +13,7 @@ from groundweave.llm.common import table, text_batches, written
 from groundweave.llm.jaccard import shingle_components
 from groundweave.llm.langid import fit, held_out, identify
 from groundweave.llm.packing import packed_documents
-from groundweave.llm.repeats import whole_characters, without_repeats
+from groundweave.llm.repeats import without_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its best language has less than this share of the probability, or needs more bits for a byte.
@@ -37,8 +37,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 400 that occur more than once; what is left is cut to whole characters."""
     text_batches(spark)
-    rest = without_repeats(docs, keep=("lang", "source"))
-    return rest.select("doc_id", whole_characters(F.col("kept")).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rest = without_repeats(docs, characters=True, keep=("lang", "source"))
+    return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

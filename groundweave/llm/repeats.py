@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundweave.llm.common import let_go, table, text_batches, written
@@ -180,10 +180,13 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
-def cut_spans(length: int):
-    """Pandas UDF of bytes and starts (array of start, last): what is left of the bytes, and the spans that go."""
+def cut_spans(length: int, characters: bool = False):
+    """Pandas UDF of bytes and starts (array of start, last): what is left of the bytes, and the spans that go.
 
-    @F.pandas_udf("kept binary, spans array<array<long>>")
+    With characters the rest is text, without bytes that are no whole character.
+    """
+
+    @F.pandas_udf(f"kept {'string' if characters else 'binary'}, spans array<array<long>>")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         rows = []
         for t, found in zip(texts, starts, strict=True):
@@ -197,28 +200,19 @@ def cut_spans(length: int):
             for s, e in spans:
                 kept.append(t[at:s])
                 at = e
-            rows.append((b"".join([*kept, t[at:]]), spans))
+            rest = b"".join([*kept, t[at:]])
+            rows.append((rest.decode("utf-8", "ignore") if characters else rest, spans))
         return pd.DataFrame(rows, columns=["kept", "spans"])
 
     return cut
 
 
-def whole_characters(kept: Column) -> Column:
-    """Bytes as text; bytes that are no whole character are left out."""
-
-    @F.pandas_udf("string")
-    def decode(kept: pd.Series) -> pd.Series:
-        return pd.Series([x.decode("utf-8", "ignore") for x in kept], dtype=object)
-
-    return decode(kept)
-
-
-def without_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", characters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: id_col, n_bytes, kept (binary: the bytes that stay), spans (removed [start, end) in bytes).
 
     A byte goes if a `length`-byte string that covers it also starts anywhere else, in another row or in its own. Null
     texts are empty; texts shorter than length stay whole. Repeated rows remove each other if they are long enough.
-    Strings are cut at bytes, so `kept` need not be UTF-8. length must be 2 * GRAM at least. The columns in `keep` go along.
+    Strings are cut at bytes, so `kept` need not be UTF-8; with characters it is text, without cut characters. length must be 2 * GRAM at least. The columns in `keep` go along.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -226,10 +220,10 @@ def without_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
     starts = written(repeated_starts(keyed, length).groupBy("ik", "th").agg(F.collect_list(F.struct("start", "last")).alias("starts")), "starts")
     texts, others = _texts_of(keyed, starts)
     hit = texts.join(starts, ["ik", "th"], "left").select("id", "along", "t", F.coalesce("starts", F.array().cast("array<struct<start:long,last:long>>")).alias("starts"))
-    hit = hit.select("id", "along", cut_spans(length)("t", "starts").alias("c")).select("id", "along", "c.kept", "c.spans")
-    rows = others.select("id", "along", F.col("t").alias("kept"), F.array().cast("array<array<long>>").alias("spans")).unionByName(hit)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return rows.select(F.col("id").alias(id_col), (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "kept", "spans", *(F.col(f"along.`{c}`") for c in keep))
+    hit = hit.select("id", "along", F.octet_length("t").alias("n"), cut_spans(length, characters)("t", "starts").alias("c")).select("id", "along", "n", "c.kept", "c.spans")
+    whole = F.col("t").cast("string") if characters else F.col("t")
+    rows = others.select("id", "along", F.octet_length("t").alias("n"), whole.alias("kept"), F.array().cast("array<array<long>>").alias("spans")).unionByName(hit)
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_bytes"), "kept", "spans", *(F.col(f"along.`{c}`") for c in keep))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
