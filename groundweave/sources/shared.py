@@ -21,5 +21,5 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later jobs neither recompute it nor see other row orders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/groundweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # hex digests and ids halve
     return spark.read.schema(df.schema).parquet(path)
