@@ -1,8 +1,9 @@
 """Operator 10, licence scans: sentences become identifiers, ordered rules match runs of identifiers.
 
-All of it is DataFrame expressions on one row at a time, with no shuffle: a text is cut into sentences, each is normalised
-(A-Z to lower case, every run of other characters than a-z and 0-9 to one space, trimmed) and looked up among the known
-licence sentences. A rule is an ordered list of sentence identifiers; it matches where they follow each other in the
+All of it is DataFrame expressions on one row at a time, with no shuffle: a text is cut into pieces at line ends and
+marks, each is normalised (A-Z to lower case, every run of other characters than a-z and 0-9 to one space, trimmed), and
+the known licence sentences are found among them. A known sentence begins with a piece and ends with one; in between it
+may be cut anywhere, as wrapped lines and marks inside a sentence cut it. A rule is an ordered list of sentence identifiers; it matches where they follow each other in the
 text's sequence of recognised sentences. Longer rules go first, and what they match counts for no shorter rule.
 """
 
@@ -40,6 +41,9 @@ SENTENCES = {
     "T": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 
+#: Other wordings of known sentences, normalised, by identifier: fixed values.
+FORMS = {"A": ("licensed under the apache license version 2 0 the license",)}
+
 #: Ordered rules: (licence, identifiers in order), the longer first: fixed values.
 RULES = (
     ("Apache-2.0", "ABCDE"),
@@ -58,25 +62,34 @@ RULES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a line end, or at one of these marks with white space after it.
+#: A piece ends at a line end, or at one of these marks with white space after it.
 _ENDS = r"([.!?;:])[ \t\r\n\f]+"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; empty ones stay, as positions."""
+    """Normalised pieces of a text, in order; empty ones stay, as positions."""
     lower = F.translate(text, _UPPER, _LOWER)
     cut = F.split(F.regexp_replace(lower, _ENDS, "$1\n"), "\n")
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
+def _known() -> dict[str, str]:
+    """Identifiers by wording."""
+    return {v: k for k, v in SENTENCES.items()} | {v: k for k, forms in FORMS.items() for v in forms}
+
+
 def identifiers(normalised: Column) -> Column:
-    """The string of identifiers of the known sentences in an array of normalised ones."""
-    known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, k)))
-    return F.concat_ws("", F.transform(normalised, lambda s: F.try_element_at(known, s)))
+    """The string of identifiers of the known sentences in an array of normalised pieces, the longest wording first."""
+    known = _known()
+    wordings = "|".join(v.replace(" ", "[ |]+") for v in sorted(known, key=len, reverse=True))
+    joined = F.concat(F.lit("|"), F.array_join(normalised, "|"), F.lit("|"))
+    found = F.regexp_extract_all(joined, F.lit(rf"(?<=\|)(?:{wordings})(?=\|)"), F.lit(0))
+    names = F.create_map(*(F.lit(x) for item in known.items() for x in item))
+    return F.concat_ws("", F.transform(found, lambda s: F.try_element_at(names, F.regexp_replace(s, "[ |]+", " "))))
 
 
 def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of df: id_col, n_sentences (not empty), n_recognised, licences (sorted names, a comma between),
+    """One row per row of df: id_col, n_sentences (pieces that aren't empty), n_recognised, licences (sorted names, a comma between),
     n_matches (rules matched, with repeats), n_left (recognised sentences of no matched rule).
 
     Null and empty texts have no sentence and match nothing. Repeated rows stay; other columns are left out.
@@ -98,6 +111,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same where every known sentence is one piece in its main wording."""
     known = "MAP {" + ", ".join(f"'{v}': '{k}'" for k, v in SENTENCES.items()) + "}"
     steps, at = [], "r0"
     for i, (name, rule) in enumerate(RULES, 1):

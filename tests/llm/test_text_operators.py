@@ -162,6 +162,93 @@ def test_licences(spark, no_docs):
     assert "Python" not in licences.op10_licences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
+APACHE = """Copyright 2020 A. Author
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_licences_on_wrapped_originals(spark):
+    texts = {
+        "Apache-2.0": [APACHE, APACHE.split("\n\n")[1].split("\n")[0], "# " + APACHE.replace("\n", "\n# "), "Licensed under the Apache License,\nVersion 2.0."],
+        "MIT": [MIT, " * " + MIT.replace("\n", "\r\n * "), "Released under\nthe MIT License."],
+        "BSD-2-Clause": [BSD_2],
+        "BSD-3-Clause": [BSD_3],
+        "GPL-3.0-or-later": [GPL % (":", ",", 3), GPL % (";", ";", 3)],
+        "GPL-2.0-or-later": [GPL % (";", ";", 2), GPL % (":", ",", 2)],
+        "GPL-3.0": ["This work is licensed under the GNU General Public\nLicense, version 3."],
+        "GPL-2.0": ["This work is licensed under the GNU\nGeneral Public License, version 2."],
+        "CC-BY-NC-4.0": ["Licensed under\nCC BY-NC 4.0."],
+        "CC-BY-4.0": ["Licensed under CC BY\n4.0."],
+        "CC-BY-SA-4.0": ["Licensed under CC\nBY-SA 4.0."],
+    }
+    assert set(texts) == {name for name, _ in licences.RULES}
+    want = [(i, name) for i, (name, t) in enumerate((n, t) for n, own in texts.items() for t in own)]
+    rows = [(i, t) for i, t in enumerate(t for own in texts.values() for t in own)]
+    rows.append((-1, "It is not\nlicensed under CC BY 4.0 and\nreleased under the MIT License too."))
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["licences"], r["n_matches"], r["n_left"]) for r in got) == [(-1, "", 0, 0)] + [(i, n, 1, 0) for i, n in want]
+
+
+def test_licences_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    got = [tuple(r) for r in licences.op10_licences(spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got, key=str) == sorted(con.execute(licences.OP10_SQL).fetchall(), key=str)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site-header"><h1>Site</h1></header>
 <nav><ul><li>Home<li>About us</ul></nav><div class="cookie-notice">We use cookies <button>OK</button></div><!-- <p>not me</p> -->
 <%s><h2>Title</h2><p>First  paragraph, long enough to be measured: it goes on &amp; on, and on &#8212; on.<p>Short.</p><script>var x = "</p>";</script>
