@@ -1,17 +1,23 @@
 """Operator 8, main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block. A line inside a menu, header, footer, sidebar, notice, advert, form or
-comment section measures nothing; where a page marks an article, so do the lines outside it, and every line of it
-measures at least SURGE. The lengths are summed over windows of WINDOW lines: where the sum rises above SURGE the main
-text begins (surge point), where it falls to zero it ends (dive point). The lines that measure something between these points are
-kept, in page order.
+Markup is stripped to lines, one for each block. Every line measures its length, on pages with and without a marked
+article, but a line inside a menu, header, footer, sidebar, notice, advert, form or comment section, or outside an article
+and mostly of links, measures nothing. The lengths are summed over windows of WINDOW lines: where the sum rises above SURGE
+the main text begins (surge point), where it falls to zero it ends (dive point). The lines that measure something between
+these points are kept, in page order.
+
+Windows don't reach across the border of an article, so that small articles (cards, insets) surge by their own text alone.
+What measures nothing and interrupts lines of one article or one block takes no place in a window. Inside an article the
+main text begins with the lines before its surge point, as titles and first lines are short.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,6 +47,7 @@ _NAMES = frozenset(
     " hidden search form header copyright disclaimer".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -66,25 +73,35 @@ def _outside(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, float]]:
-    """Lines of a page, in order: text, place (0 outside, 1 plain, 2 in an article), share of its characters in links."""
-    lines: list[tuple[str, int, float]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, outside, main
+class Line(NamedTuple):
+    text: str
+    outside: bool
+    links: float  # share of its characters
+    article: int  # number of the article or main element, 0 without one
+    block: int  # number of the nearest element that isn't a paragraph, list or the like
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines of a page, in order. An article that is the only one in another counts as that one."""
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, int, int]] = []  # element, outside, number if main, number
     text: list[str] = []
-    linked = 0
-    outside = main = False
+    parents: dict[int, int] = {}
+    linked = number = main = 0
+    outside = False
 
     def end() -> None:
         nonlocal text, linked
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                lines.append((line, 0 if outside else 2 if main else 1, linked / max(1, sum(map(len, text)))))
+                block = next((x[3] for x in reversed(stack) if x[0] not in _TEXT and x[0] not in _INLINE), 0)
+                lines.append(Line(line, outside, linked / max(1, sum(map(len, text))), main, block))
         text, linked = [], 0
 
     def state() -> None:
         nonlocal outside, main
-        outside, main = any(x[1] for x in stack), any(x[2] for x in stack)
+        outside, main = any(x[1] for x in stack), next((x[2] for x in reversed(stack) if x[2]), 0)
 
     at, n = 0, len(page)
     links = 0
@@ -134,40 +151,69 @@ def page_lines(page: str) -> list[tuple[str, int, float]]:
             continue
         if tag == "a":
             links += 1
-        away = _outside(tag, found[3], main)
+        away = _outside(tag, found[3], main > 0)
         centre = tag in _MAIN or "articlebody" in found[3].lower() or 'role="main"' in found[3].lower()
-        if (away and not outside or centre and not main) and tag in _INLINE:
+        if (away and not outside or centre) and tag in _INLINE:
             end()
-        stack.append((tag, away, centre))
-        outside, main = outside or away, main or centre
+        number += 1
+        stack.append((tag, away, number if centre else 0, number))
+        outside = outside or away
+        if centre:
+            parents[number] = main
+            main = number
     end()
-    return lines
+    return _joined(lines, parents)
+
 
+def _joined(lines: list[Line], parents: dict[int, int]) -> list[Line]:
+    """The lines with every article that is the only one with text in another joined to it."""
+    used: set[int] = set()
+    for line in lines:
+        at = 0 if line.outside else line.article
+        while at and at not in used:
+            used.add(at)
+            at = parents[at]
+    inner = Counter(parents[x] for x in used)
+    root: dict[int, int] = {0: 0}
+    for x in sorted(parents):  # an element's number is above that of the one around it
+        root[x] = root[parents[x]] if parents[x] and inner[parents[x]] == 1 else x
+    return [line._replace(article=root[line.article]) for line in lines]
 
-def main_lines(lines: list[tuple[str, int, float]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines between the surge and dive points of the line-block distribution."""
-    marked = any(place == 2 for _, place, _ in lines)
-    if marked:
-        size = np.array([max(len(t), surge + 1) if place == 2 else 0 for t, place, _ in lines])
-    else:
-        size = np.array([len(t) if place == 1 and share <= LINKS else 0 for t, place, share in lines])
-    if not size.any():
+    parts: dict[int, list[int]] = {}  # places in lines by article; -1: a place that measures nothing
+    for i, line in enumerate(lines):
+        if line.outside:
+            continue
+        own = parts.setdefault(line.article, [])
+        if own and not line.article and lines[own[-1]].block != line.block:
+            own.extend([-1] * min(window, i - own[-1] - 1))
+        own.append(i)
+    sizes, blocks = {}, {}
+    for article, own in parts.items():
+        size = np.array([len(lines[i].text) if i >= 0 and (article or lines[i].links <= LINKS) else 0 for i in own])
+        sums = np.concatenate([[0], np.cumsum(size)])
+        n = len(size)
+        sizes[article], blocks[article] = size, sums[np.minimum(np.arange(n) + window, n)] - sums[:n]
+    most = max((b.max() for b in blocks.values()), default=0)
+    if not most:
         return []
-    sums = np.concatenate([[0], np.cumsum(size)])
-    n = len(size)
-    blocks = sums[np.minimum(np.arange(n) + window, n)] - sums[:n]
-    kept = np.zeros(n, bool)
-    level = surge if (blocks > surge).any() else blocks.max() - 1  # a page of short lines alone: its largest block
-    i = 0
-    while i < n:
-        if blocks[i] > level:
-            dive = i
-            while dive < n and blocks[dive] > 0:
-                dive += 1
-            kept[i:dive] = True
-            i = dive
-        i += 1
-    return [t for (t, _, _), k, s in zip(lines, kept, size, strict=True) if k and s]
+    level = surge if most > surge else most - 1  # a page of short lines alone: its largest block
+    kept: list[int] = []
+    for article, own in parts.items():
+        block, n, i = blocks[article], len(own), 0
+        if article and (block > level).any():
+            block = np.maximum(block, level + 1)
+        while i < n:
+            if block[i] > level:
+                dive = i
+                while dive < n and block[dive] > 0:
+                    dive += 1
+                kept += [k for k, size in zip(own[i:dive], sizes[article][i:dive], strict=True) if size]
+                i = dive
+            i += 1
+    return [lines[i].text for i in sorted(kept)]
 
 
 def main_text(page: str) -> str:

@@ -262,6 +262,40 @@ def test_html_main_text(tag):
     assert html_text.main_text(PAGE % (tag, tag)) == MAIN
 
 
+LONG = [f"Paragraph {i} of the main text, which goes on for long enough to be measured by itself, as any paragraph of this page does." for i in range(3)]
+CARD = '<article class="card"><h3>Card %d</h3><p>A few words.</p></article>'
+
+
+def paragraphs(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_html_main_text_outside_articles():
+    cards = "".join(CARD % i for i in range(6))
+    for page in ("<div>%s</div>%s", "<div>%s</div><article>A small inset</article>"):
+        body = page.replace("%s", paragraphs(*LONG), 1).replace("%s", cards)
+        assert html_text.main_text(f"<html><body>{body}</body></html>") == " ".join(LONG)
+        assert html_text.main_text(f"<html><body><main>{body}</main></body></html>").startswith(" ".join(LONG))
+    inset = f"<div>{paragraphs(*LONG[:2])}{CARD % 1}{paragraphs('Short.', LONG[2])}</div>"
+    assert html_text.main_text(inset) == " ".join([*LONG[:2], "Short.", LONG[2]])
+    both = f"<article>{paragraphs('First.', LONG[0])}</article><div>{paragraphs(LONG[1])}</div>{CARD % 1}"
+    assert html_text.main_text(both) == f"First. {LONG[0]} {LONG[1]}"
+    nested = f"<main><h1>Title</h1><article>{paragraphs(LONG[0])}</article></main>"
+    assert html_text.main_text(nested) == f"Title {LONG[0]}"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("inset", ['<div class="ad"><p>Buy</p><p>now</p><p>or</p><p>never</p></div>', "<nav><ul><li>a<li>b<li>c<li>d<li>e</ul></nav>"])
+def test_html_short_paragraphs_after_insets(tag, inset):
+    page = f"<body><nav>Menu</nav><{tag}>{paragraphs(LONG[0])}{inset}{paragraphs('Short.', 'Shorter.')}{inset}{paragraphs('Last.')}</{tag}><footer>Foot</footer></body>"
+    assert html_text.main_text(page) == f"{LONG[0]} Short. Shorter. Last."
+
+
+def test_html_main_text_ends_at_menus():
+    page = f"<div>{paragraphs(*LONG)}</div><nav><p>a</p><p>b</p><p>c</p></nav><div><p>Short and apart.</p></div>"
+    assert html_text.main_text(page) == " ".join(LONG)
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>Only a few words"), (3, "u", "<nav>menu</nav>"), (4, "u", "<article><p>cut off in the mid &am"), (None, "u", "<script>never closed <p>x"), (5, "u", "<p>" * 2000 + "deep" + "x " * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS _place")).collect()
