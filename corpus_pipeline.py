@@ -14,6 +14,7 @@ from groundweave.llm.jaccard import shingle_components
 from groundweave.llm.langid import fit, held_out, identify
 from groundweave.llm.packing import packed_documents
 from groundweave.llm.repeats import without_repeats
+from groundweave.operators.sampling import numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its best language has less than this share of the probability, or needs more bits for a byte.
@@ -27,11 +28,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return got.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("bits_per_byte") <= MOST_BITS)).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number _key, the same in rows that are equal in id and text only, and in the order of ids, null last:
+    the id where every id stands for one text, else the place among the distinct rows."""
+    own = F.xxhash64("text")
+    odd = docs.groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("doc_id is null or a <> b")
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    hashed = docs.withColumn("_hash", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    places = numbered(hashed.select("doc_id", "_hash").distinct(), [F.col("doc_id").asc_nulls_last(), F.col("_hash")], "_key").withColumnsRenamed({"doc_id": "_id", "_hash": "_own"})
+    return written(hashed.join(places, hashed["doc_id"].eqNullSafe(places["_id"]) & (hashed["_hash"] == places["_own"])).select(*COLUMNS, "_key"), "keyed")
+
+
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id; rows that repeat an id count once."""
+    """Of each component of near duplicates the document with the least id, null last. Rows that are equal in id and text
+    count once; different texts under one id, or without one, are documents of their own."""
     text_batches(spark)
-    stay = shingle_components(docs).where("component_id = doc_id or component_id is null").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    stay = shingle_components(keyed, id_col="_key").where("component_id = _key").select(F.col("_key").alias("_stay")).distinct()
+    return keyed.join(stay, keyed["_key"] == stay["_stay"], "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

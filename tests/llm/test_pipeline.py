@@ -2,6 +2,7 @@ import corpus_pipeline
 import pytest
 
 from groundweave.llm.common import table, written
+from tests.llm.conftest import text
 from tests.llm.test_joins import near_components, without
 
 
@@ -32,6 +33,16 @@ def test_one_of_each_component_stays(stages):
     assert {k for k, _ in rows(stages[2])} == want and len(rows(stages[2])) == len(want)
 
 
+def test_texts_without_their_own_id_stay(spark, odd_docs):
+    """Null ids with different texts, and texts that share an id, are near duplicates only by their texts."""
+    rows = [(None, text(60, 1)), (None, text(60, 2)), (None, text(60, 2)), (None, text(60, 1) + " end"), (None, text(60, 3)), (None, None), (None, ""), (5, text(60, 4)), (5, text(60, 5)), (5, text(60, 5)), (6, text(60, 6)), (6, text(60, 3)), (7, text(60, 7)), (8, text(60, 7)), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], odd_docs.select(*corpus_pipeline.COLUMNS).schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()]
+    first = [x for x in got if x[0] is None and x[1] in (text(60, 1), text(60, 1) + " end")]
+    want = [(None, text(60, 2)), (None, None), (None, ""), (5, text(60, 4)), (5, text(60, 5)), (6, text(60, 6)), (6, text(60, 3)), (7, text(60, 7)), (9, None), (9, "")]
+    assert len(first) == 1 and sorted(got, key=str) == sorted(want + first, key=str)
+
+
 def test_repeated_strings_go(stages):
     before = [(k, t.encode()) for k, t in rows(stages[2])]
     after = dict(rows(stages[3]))
