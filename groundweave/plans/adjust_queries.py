@@ -111,7 +111,7 @@ def edge_batches(t):
 @R.query()
 def ransac_transform(t):
     points = t("fit_fx").select("pair_id", F.col("sy").alias("ya"), F.col("sx").alias("xa"), F.col("dy").alias("yb"), F.col("dx").alias("xb")).distinct()
-    return O.ransac_transform(points, "A", 0.5, 20)
+    return O.ransac_transform(points, "A", 0.5)
 
 
 @R.query()
@@ -120,4 +120,4 @@ def merge_window_affines(t):
     h = F.array(F.lit(1.0), F.lit(0.0), -F.col("y0"), F.lit(0.0), F.lit(1.0), -F.col("x0"), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     m = F.array(F.lit(1.0), F.lit(0.0), (k % 3).cast("double"), F.lit(0.0), F.lit(1.0), (k % 2).cast("double"))
     windows = t("scenes_fx").select((k % 50).alias("pair_id"), k.alias("window_id"), h.alias("h"), m.alias("m"), (F.col("w") / 900).alias("score"))
-    return O.merge_window_affines(windows, rounds=20)
+    return O.merge_window_affines(windows)

@@ -78,13 +78,13 @@ def rpc_roundtrip_check(t):
 
 @R.query()
 def inverse_rpc_fit(t):
-    fitted = O.inverse_rpc_fit(scenes(t), 10, 6)
+    fitted = O.inverse_rpc_fit(scenes(t))
     return O.rpc_roundtrip_check(fitted, 5, 3, 1e-3).groupBy("scene_id").agg(F.count("*").alias("n")).unionByName(fitted.select("scene_id", F.lit(0).cast("long").alias("n")))
 
 
 @R.query()
 def bake_affine_into_rpc(t):
-    return O.bake_affine_into_rpc(scenes(t), 12, 6).select("scene_id", F.col("rpc.lnum")[0].alias("l0"), F.col("rpc.adj")[2].alias("a2"))
+    return O.bake_affine_into_rpc(scenes(t)).select("scene_id", F.col("rpc.lnum")[0].alias("l0"), F.col("rpc.adj")[2].alias("a2"))
 
 
 def _ties(t):
@@ -101,7 +101,7 @@ def pair_point_error(t):
 
 @R.query()
 def multiview_residuals(t):
-    return rounded(O.multiview_residuals(_ties(t), scenes(t), rounds=5), 4)
+    return rounded(O.multiview_residuals(_ties(t), scenes(t)), 4)
 
 
 def _edges(t):
@@ -117,7 +117,7 @@ def _tied(t):
 
 @R.query()
 def block_adjustment(t):
-    return rounded(O.block_adjustment(_edges(t), _tied(t), 2, max_iters=3), 3)
+    return rounded(O.block_adjustment(_edges(t), _tied(t), 2), 3)
 
 
 @R.query()

@@ -79,7 +79,7 @@ def feature_pca3(t):
 @R.query()
 def logreg_sweep(t):
     v = _vectors(t)
-    return O.logreg_sweep(v.where("id % 5 > 1"), v.where("id % 5 = 1"), v.where("id % 5 = 0"), [0.01, 1.0, 100.0], max_iter=20)
+    return O.logreg_sweep(v.where("id % 5 > 1"), v.where("id % 5 = 1"), v.where("id % 5 = 0"))
 
 
 @R.query("""SELECT r.rank, s.ts, COALESCE(s.current_task, 'Waiting...') AS current_task, s.error FROM (SELECT range AS rank FROM range(10)) r
