@@ -11,9 +11,9 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from groundweave.sources.shared import shared_dir, written
+from groundweave.sources.shared import discard, shared_dir, written
 
-__all__ = ["TEXT_BATCH", "hold", "let_go", "shared_dir", "table", "text_batches", "written"]
+__all__ = ["TEXT_BATCH", "discard", "hold", "let_go", "shared_dir", "table", "text_batches", "written"]
 
 #: Rows of an Arrow batch for operators that hold whole texts in Python.
 TEXT_BATCH = 250
@@ -41,7 +41,7 @@ def hold(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def let_go() -> None:
-    """Frees what an earlier task of this worker has kept, and gives freed memory back to the system (Arrow's pool and
+    """Frees what an earlier task of this worker (or the driver) has kept, and gives freed memory back to the system (Arrow's pool and
     the C library keep it otherwise, at the cost of the executor's other worker and JVM)."""
     _held.clear()
     gc.collect()

@@ -50,10 +50,10 @@ def test_jaccard_threshold_is_exact(spark):
     assert found(jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))) == near_components(rows)
 
 
-@pytest.mark.parametrize("frequent", [2, 32])
-def test_jaccard_near_copies(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "many"), [(2, 3), (2, 60), (32, 1024)])
+def test_jaccard_near_copies(spark, monkeypatch, frequent, many):
     """Copies of one base with more and more edits, some past the threshold: rare and frequent tokens decide."""
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent), monkeypatch.setattr(jaccard, "MANY", many)
     rng = np.random.default_rng(1)
     base = text(90).split()
     rows = []
@@ -66,6 +66,31 @@ def test_jaccard_near_copies(spark, monkeypatch, frequent):
     assert found(jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))) == near_components(rows)
 
 
+def test_jaccard_short_sets_of_frequent_tokens(spark, monkeypatch):
+    """Sets of 1 to 20 shingles around the sizes at which combinations change."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 2), monkeypatch.setattr(jaccard, "MANY", 4)
+    rows, base = [], text(24).split()
+    for n in range(5, 25):
+        rows += [(100 * n, " ".join(base[:n])), (100 * n + 1, " ".join(base[24 - n :])), (100 * n + 2, " ".join([*base[: n - 1], f"end{n}"])), (100 * n + 3, " ".join([f"at{n}", *base[1:n]]))]
+    assert found(jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))) == near_components(rows)
+
+
+def test_jaccard_hot_bucket_of_unlike_documents(spark, monkeypatch):
+    """A form that all fill in their own way: every frequent token is everywhere, yet only one pair is near; the others
+    aren't even compared, as their own tokens are too many."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    form, rows = text(80).split(), []
+    for i in range(150):
+        own = [f"own{i}w{k}" for k in range(12)]
+        rows.append((i, " ".join([*form, *own])))
+    rows.append((900, rows[11][1] + " end"))
+    compared = []
+    close = jaccard._close
+    monkeypatch.setattr(jaccard, "_close", lambda pairs, *a: compared.append(pairs.count()) or close(pairs, *a))
+    assert found(jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))) == near_components(rows)
+    assert sum(compared) < 4 * len(rows)
+
+
 def test_jaccard_brute_force(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     assert found(jaccard.op7_jaccard(spark, "/root/testdata/sf0.001")) == near_components([(r["doc_id"], r["text"]) for r in docs.collect()])
