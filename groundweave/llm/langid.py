@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import hold, table, text_batches
+from groundweave.llm.common import hold, let_go, table, text_batches
 
 #: Bytes of context. A string of ORDER + 1 bytes is an unsigned number of 8 bits a byte.
 ORDER = 4
 #: The fit reads at most about so many bytes of text of all languages together, an equal share of each; this bounds the model.
-FIT_BYTES = 16_000_000
+FIT_BYTES = 8_000_000
 #: Where a text's first context would begin before it, zero bytes stand in.
 _PAD = b"\0" * ORDER
 _SLAB = 1 << 18
@@ -179,12 +179,16 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
                 grams, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": grams.astype("int64"), "n": n})
 
-    found = rows.where(keep).select(number.alias("lang"), "t").mapInPandas(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    grams, counts = [], []
-    for i in range(len(langs)):
-        own = found[found["lang"] == i].sort_values("gram")
-        grams.append(own["gram"].to_numpy().astype("uint64"))
-        counts.append(own["n"].to_numpy().astype(float))
+    def pack(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("gram")
+        return pd.DataFrame({"lang": b["lang"].iloc[:1], "grams": [b["gram"].to_numpy().tobytes()], "counts": [b["n"].to_numpy("int32").tobytes()]})
+
+    found = rows.where(keep).select(number.alias("lang"), "t").mapInPandas(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    packed = {r["lang"]: r for r in found.groupBy("lang").applyInPandas(pack, "lang int, grams binary, counts binary").toLocalIterator()}
+    grams = [np.frombuffer(packed[i]["grams"], "uint64") if i in packed else np.zeros(0, "uint64") for i in range(len(langs))]
+    counts = [np.frombuffer(packed[i]["counts"], "int32") if i in packed else np.zeros(0, "int32") for i in range(len(langs))]
+    del packed
+    let_go()
     return ContextTrees(langs, grams, counts)
 
 
