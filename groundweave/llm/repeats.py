@@ -1,8 +1,13 @@
-"""Operator 4, removal of repeated byte strings by prefix doubling over sampled positions.
+"""Operator 4, removal of repeated byte strings, by ranking sampled positions with longer and longer strings.
+
+This is not plain prefix doubling, which sorts a pair of ranks for every byte position in each of nine rounds (figures in
+the README). What it keeps of the method: positions get ranks, pairs (rank, string further on) are ranked again with
+growing strings, and what is unique leaves in each round. What it gives up: the positions are sampled, and strings grow
+in three fixed steps, as the length is known.
 
 Every start of a `length`-byte string belongs to one sampled position, its anchor: the least hash of GRAM bytes in the
 middle of the string (winnowing). Equal strings have their anchors at the same place, so starts that share an anchor, a
-run, can be ranked together. Doubling then goes over runs with strings that grow towards the length, reranking only what isn't unique:
+run, can be ranked together. The rounds then go over runs with strings that grow towards the length:
 
 1. the string around the anchor that all starts of the run contain (`core`): runs with a unique core go;
 2. pairs (core, string that covers all strings of the run): a repeated pair settles the whole run;
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import let_go, table, text_batches, written
+from groundweave.llm.common import discard, let_go, table, text_batches, written
 
 LENGTH = 400
 GRAM = 32
@@ -151,6 +156,8 @@ def _settled(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
     whole = rows.join(kinds.where("weight > 1").select(*key), key, "left_semi")
     several = written(kinds.groupBy("core", "common").agg(F.count("*").alias("n")).where("n > 1").select("core", "common"), f"{tag}-several")
     rest = kinds.join(several, ["core", "common"]).select(*key, F.least("weight", F.lit(2)).alias("weight"), "one.*")
+    whole, rest = written(whole.select("ik", "th", "start", "last"), f"{tag}-whole"), written(rest, f"{tag}-rest")
+    discard(rows, kinds, several)
     return whole, rest
 
 
@@ -167,13 +174,17 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = written(keyed.select("ik", "th", "t").where(F.octet_length("t") >= length).mapInPandas(_runs(length), "ik string, th long, core long, whole long, start long, last long, anchor long"), "runs")
     cores = written(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     shared = written(runs.join(cores, "core").withColumns({"common": F.lit(0).cast("long"), "weight": F.lit(1).cast("long")}), "shared")
+    discard(runs, cores)
     whole, rest = _settled(shared, "runs")
     todo = written(rest.groupBy("ik", "th").agg(F.collect_list(F.struct("start", "last", "anchor", "core", "weight")).alias("runs")), "todo")
+    discard(rest)
     texts, _ = _texts_of(keyed, todo)
     blocks = texts.select("ik", "th", "t").join(todo, ["ik", "th"]).mapInPandas(_blocks(length), "ik string, th long, core long, common long, whole long, start long, last long, weight long, single array<long>")
     blocks = written(blocks, "blocks")
+    discard(todo)
     whole_blocks, rest = _settled(blocks, "blocks")
     single = written(rest.select("ik", "th", "core", "weight", "start", F.posexplode("single").alias("i", "single")), "single")
+    discard(rest)
     again = written(single.groupBy("core", "single").agg(F.sum("weight").alias("n")).where("n > 1").select("core", "single"), "again")
     singles = single.where("weight = 1").join(again, ["core", "single"]).select("ik", "th", (F.col("start") + F.col("i")).alias("start"))
     spans = [whole.select("ik", "th", "start", "last"), whole_blocks.select("ik", "th", "start", "last"), singles.select("ik", "th", "start", F.col("start").alias("last"))]
@@ -227,7 +238,8 @@ def without_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of every document stays when repeated 400-byte strings are removed."""
+    """What of every document stays when repeated 400-byte strings are removed; text: the same as text, where bytes of
+    cut characters are replaced."""
     text_batches(spark)
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select(
@@ -236,4 +248,5 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
