@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import table, text_batches, written
+from groundweave.llm.common import let_go, table, text_batches, written
 from groundweave.llm.jaccard import shingle_components
 from groundweave.llm.langid import fit, held_out, identify
 from groundweave.llm.packing import packed_documents
@@ -19,13 +19,19 @@ from groundweave.operators.sampling import numbered
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its best language has less than this share of the probability, or needs more bits for a byte.
 LEAST_SCORE, MOST_BITS = 0.5, 7.5
+#: Texts of fewer bytes are judged by score alone, as the first bytes of any text cost much.
+LEAST_BYTES = 64
+#: A passage of over 50 words is longer than so many bytes; strings of this length that occur more than once go.
+PASSAGE = 256
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter, torn between languages or unlike any go."""
     text_batches(spark)
+    let_go()
     got = identify(docs, fit(docs.where(~held_out())), keep=COLUMNS)
-    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("bits_per_byte") <= MOST_BITS)).select(*COLUMNS)
+    likely = (F.octet_length("text") < LEAST_BYTES) | (F.col("bits_per_byte") <= MOST_BITS)
+    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & likely).select(*COLUMNS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,15 +50,17 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each component of near duplicates the document with the least id, null last. Rows that are equal in id and text
     count once; different texts under one id, or without one, are documents of their own."""
     text_batches(spark)
+    let_go()
     keyed = _keyed(docs)
     stay = shingle_components(keyed, id_col="_key").where("component_id = _key").select(F.col("_key").alias("_stay")).distinct()
     return keyed.join(stay, keyed["_key"] == stay["_stay"], "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings of 400 that occur more than once; what is left is cut to whole characters."""
+    """Documents without the byte strings of PASSAGE that occur more than once; what is left is cut to whole characters.
+    A document of repeated strings alone stays, with an empty text."""
     text_batches(spark)
-    rest = without_repeats(docs, characters=True, keep=("lang", "source"))
+    rest = without_repeats(docs, PASSAGE, characters=True, keep=("lang", "source"))
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
