@@ -50,6 +50,49 @@ def to_ground(model: dict, line, samp, h) -> tuple[np.ndarray, np.ndarray]:
     return _ratio(t, model, "latnum", "latden") * model["lat_scale"] + model["lat_off"], _ratio(t, model, "lonnum", "londen") * model["lon_scale"] + model["lon_off"]
 
 
+class Models:
+    """Many models as arrays, a row for each scene, so that points of different scenes are evaluated together."""
+
+    def __init__(self, models: dict[int, dict]):
+        self.ids = np.array(sorted(models), "int64")
+        own = [models[s] for s in self.ids.tolist()]
+        self.scalars = {k: np.array([m[k] for m in own], float) for k in SCALARS}
+        self.blocks = {k: np.array([m[k] for m in own], float).reshape(len(own), 20) for k in (*DIRECT, *INVERSE)}
+        self.adj = np.array([IDENTITY if m.get("adj") is None else m["adj"] for m in own], float).reshape(len(own), 6)
+
+    def rows(self, scenes) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each scene's model, and whether it has one."""
+        wanted = np.asarray(scenes, float)
+        if not len(self.ids):
+            return np.zeros(len(wanted), "int64"), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
+        return at, self.ids[at] == wanted
+
+    def _ratio(self, t: np.ndarray, at: np.ndarray, num: str, den: str) -> np.ndarray:
+        return np.einsum("nk,nk->n", t, self.blocks[num][at]) / np.einsum("nk,nk->n", t, self.blocks[den][at])
+
+    def _norm(self, x, at: np.ndarray, k: str) -> np.ndarray:
+        return (x - self.scalars[f"{k}_off"][at]) / self.scalars[f"{k}_scale"][at]
+
+    def _plain(self, x, at: np.ndarray, k: str) -> np.ndarray:
+        return x * self.scalars[f"{k}_scale"][at] + self.scalars[f"{k}_off"][at]
+
+    def to_photo(self, at: np.ndarray, lat, lon, h) -> tuple[np.ndarray, np.ndarray]:
+        """(line, samp) of ground points, each in its own model's image."""
+        t = terms(self._norm(lat, at, "lat"), self._norm(lon, at, "lon"), self._norm(h, at, "height"))
+        a = self.adj[at].T
+        line, samp = self._plain(self._ratio(t, at, "lnum", "lden"), at, "line") - a[2], self._plain(self._ratio(t, at, "snum", "sden"), at, "samp") - a[5]
+        size = a[0] * a[4] - a[1] * a[3]
+        return (a[4] * line - a[1] * samp) / size, (a[0] * samp - a[3] * line) / size
+
+    def to_ground(self, at: np.ndarray, line, samp, h) -> tuple[np.ndarray, np.ndarray]:
+        """(lat, lon) of image points, each of its own model's image."""
+        a = self.adj[at].T
+        l, s = a[0] * line + a[1] * samp + a[2], a[3] * line + a[4] * samp + a[5]
+        t = terms(self._norm(s, at, "samp"), self._norm(l, at, "line"), self._norm(h, at, "height"))
+        return self._plain(self._ratio(t, at, "latnum", "latden"), at, "lat"), self._plain(self._ratio(t, at, "lonnum", "londen"), at, "lon")
+
+
 def virtual_grid(model: dict, xy: int, z: int) -> np.ndarray:
     """(N, 5) line, samp, lat, lon, h of a grid over the model's range, without points outside the image."""
     axis = lambda k, n: np.linspace(model[f"{k}_off"] - model[f"{k}_scale"], model[f"{k}_off"] + model[f"{k}_scale"], n)

@@ -1,12 +1,13 @@
 """Projection between scenes, model fits, tie residuals and the global block adjustment.
 
-A scene's camera model is the struct column `rpc` (RPC). Points meet the model of their scene by a join on scene_id;
-the maths of a batch runs once for each scene in it.
+A scene's camera model is the struct column `rpc` (RPC). Points meet the model of their scene by scene_id; the maths
+runs once for each batch of points, with a model for each row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,53 +30,70 @@ BROADCAST_SCENES = 20_000
 SALTS = 16
 
 
-def _projected(points: pd.DataFrame, models: dict, run: Callable, args: tuple[str, ...], names: tuple[str, str], key: str) -> pd.DataFrame:
-    out = points.assign(**{n: np.nan for n in names})
-    for scene, own in points.groupby(key):
-        model = models.get(scene)
-        if model is not None:
-            a, b = run(_model(model), *(own[c].to_numpy(float) for c in args))
-            out.loc[own.index, names[0]], out.loc[own.index, names[1]] = a, b
+class Step(NamedTuple):
+    """One projection: Models.to_photo or to_ground of the columns args by the model of the scene in key, into names."""
+
+    run: Callable
+    args: tuple[str, ...]
+    names: tuple[str, str]
+    key: str = "scene_id"
+
+
+def _projected(points: pd.DataFrame, models: C.Models, steps: tuple[Step, ...]) -> pd.DataFrame:
+    out = points.reset_index(drop=True)
+    for run, args, names, key in steps:
+        at, known = models.rows(out[key])
+        both = np.full((2, len(out)), np.nan)
+        both[:, known] = run(models, at[known], *(out[c].to_numpy(float)[known] for c in args))
+        out = out.assign(**dict(zip(names, both, strict=True)))
     return out
 
 
-def _by_scene(points: DataFrame, scenes: DataFrame, run: Callable[[dict, pd.DataFrame], tuple], args: tuple[str, ...], names: tuple[str, str], key: str = "scene_id") -> DataFrame:
-    """points with two columns that run(model, arguments) gives, NaN for scenes without a model."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + f", {names[0]} double, {names[1]} double"
-    models = scenes.select(F.col("scene_id").alias("_s"), "rpc")
+def _of_one_scene(step: Step) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(points: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        own = {s: _model(r) for s, r in zip(models["_s"], models["rpc"], strict=True)}
+        return _projected(points.drop(columns="_salt"), C.Models(own), (step,))
+
+    return run
+
+
+def _by_scene(points: DataFrame, scenes: DataFrame, *steps: Step) -> DataFrame:
+    """points with two more columns for each step, NaN for scenes without a model. A batch of points is evaluated at once,
+    whatever scenes it holds."""
+    models = scenes.select(F.col("scene_id").alias("_s"), "rpc").where("_s is not null and rpc is not null")
     few = models.limit(BROADCAST_SCENES + 1).collect()
+    kinds = lambda df, *some: ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for s in some for n in s.names])
     if len(few) <= BROADCAST_SCENES:
-        sent = scenes.sparkSession.sparkContext.broadcast({r["_s"]: r["rpc"].asDict() for r in few if r["rpc"] is not None})
+        sent = scenes.sparkSession.sparkContext.broadcast(C.Models({r["_s"]: r["rpc"].asDict() for r in few}))
 
         def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in parts:
-                yield _projected(b.reset_index(drop=True), sent.value, run, args, names, key)
-
-        return points.mapInPandas(batches, kinds)
-    # A hot scene's points are dealt over all salts, with its model beside them.
-    dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
-    both = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(key, F.col("_s"))
+                yield _projected(b, sent.value, steps)
 
-    def grouped(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _projected(a.drop(columns="_salt").reset_index(drop=True), dict(zip(b["_s"], b["rpc"], strict=True)), run, args, names, key)
+        return points.mapInPandas(batches, kinds(points, *steps))
+    for step in steps:
+        # A hot scene's points are dealt over all salts, with its model beside them.
+        dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
+        both = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(step.key, F.col("_s"))
 
-    return dealt.groupBy(key, "_salt").cogroup(both.groupBy(key, "_salt")).applyInPandas(grouped, kinds)
+        points = dealt.groupBy(step.key, "_salt").cogroup(both.groupBy(step.key, "_salt")).applyInPandas(_of_one_scene(step), kinds(points, step))
+    return points
 
 
 def rpc_obj2photo(points: DataFrame, scenes: DataFrame) -> DataFrame:
     """points (scene_id, lat, lon, h) with line, samp; NaN where the scene has no model."""
-    return _by_scene(points, scenes, C.to_photo, ("lat", "lon", "h"), ("line", "samp"))
+    return _by_scene(points, scenes, Step(C.Models.to_photo, ("lat", "lon", "h"), ("line", "samp")))
 
 
 def rpc_photo2obj(points: DataFrame, scenes: DataFrame) -> DataFrame:
     """points (scene_id, line, samp, h) with lat, lon."""
-    return _by_scene(points, scenes, C.to_ground, ("line", "samp", "h"), ("lat", "lon"))
+    return _by_scene(points, scenes, Step(C.Models.to_ground, ("line", "samp", "h"), ("lat", "lon")))
 
 
 def project_between_scenes(points: DataFrame, scenes: DataFrame) -> DataFrame:
     """points (scene_a, scene_b, line, samp, h) with line_b, samp_b: through the ground at height h."""
-    ground = _by_scene(points, scenes, C.to_ground, ("line", "samp", "h"), ("lat", "lon"), key="scene_a")
-    return _by_scene(ground, scenes, C.to_photo, ("lat", "lon", "h"), ("line_b", "samp_b"), key="scene_b").drop("lat", "lon")
+    ground = Step(C.Models.to_ground, ("line", "samp", "h"), ("lat", "lon"), "scene_a")
+    return _by_scene(points, scenes, ground, Step(C.Models.to_photo, ("lat", "lon", "h"), ("line_b", "samp_b"), "scene_b")).drop("lat", "lon")
 
 
 def xy_to_sampline(points: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -131,8 +149,8 @@ def pair_point_error(pairs: DataFrame, ties: DataFrame, scenes: DataFrame, unit:
         e = F.sqrt(F.pow(F.col("line_b") - F.col("line_i"), 2) + F.pow(F.col("samp_b") - F.col("samp_i"), 2))
         out = project_between_scenes(points, scenes).withColumn("e", e)
     else:
-        ground = lambda d, s, o: _by_scene(d.withColumns({f"l{s}": F.col(f"line_{s}"), f"p{s}": F.col(f"samp_{s}"), f"z{s}": F.col(f"h_{s}")}), scenes, C.to_ground, (f"l{s}", f"p{s}", f"z{s}"), (f"lat{o}", f"lon{o}"), key=s)
-        out = ground(ground(met.withColumn("dh", dh), "i", 0), "j", 1).withColumn("e", G.haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")))
+        ground = [Step(C.Models.to_ground, (f"line_{s}", f"samp_{s}", f"h_{s}"), (f"lat{o}", f"lon{o}"), s) for o, s in enumerate("ij")]
+        out = _by_scene(met.withColumn("dh", dh), scenes, *ground).withColumn("e", G.haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")))
     return out.groupBy("i", "j").agg(F.avg("e").alias("mean"), F.percentile("e", 0.5).alias("median"), F.max("e").alias("max"), F.count("*").alias("n"), F.avg("dh").alias("dh"))
 
 
@@ -142,25 +160,20 @@ def multiview_residuals(ties: DataFrame, scenes: DataFrame, fusion: str = "media
     height = F.percentile("h", 0.5) if fusion == "median" else F.avg("h")
     fused = ties.groupBy("tie_id").agg(height.alias("h"))
     observed = ties.drop("h").join(fused, "tie_id").select("tie_id", "scene_id", "line", "samp", "h")
-    start = rpc_photo2obj(observed, scenes)
+    start = written(rpc_photo2obj(observed, scenes), "back-projections")
     models = _cameras(scenes)
     buckets = max(1, start.count() // 20_000)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["scene_id"].isin(models.value)].sort_values(["tie_id", "scene_id"]).reset_index(drop=True)
+        stacked = models.value
+        rows = rows[stacked.rows(rows["scene_id"])[1]].sort_values(["tie_id", "scene_id"]).reset_index(drop=True)
         if rows.empty:
             return pd.DataFrame({"tie_id": [], "scene_id": [], "residual": []})
         _, own = np.unique(rows["tie_id"], return_inverse=True)
         at = rows.groupby("tie_id")[["lat", "lon"]].median().to_numpy()
         h, seen = rows["h"].to_numpy(float), rows[["line", "samp"]].to_numpy(float)
-        by = {s: np.asarray(i) for s, i in rows.groupby("scene_id").indices.items()}
-
-        def place(p: np.ndarray) -> np.ndarray:
-            out = np.empty((len(rows), 2))
-            for s, i in by.items():
-                out[i] = np.stack(C.to_photo(models.value[s], p[own[i], 0], p[own[i], 1], h[i]), axis=1)
-            return out
-
+        scene = stacked.rows(rows["scene_id"])[0]
+        place = lambda p: np.stack(stacked.to_photo(scene, p[own, 0], p[own, 1], h), axis=1)
         eps = 1e-7
         for _ in range(rounds):
             r = place(at) - seen
@@ -228,7 +241,8 @@ def _edge_system(rows: pd.DataFrame, models: dict[int, dict], affines: dict[int,
 
 
 def _systems(ties: DataFrame, models, affines: dict[int, list[float]]) -> DataFrame:
-    """Sums over all ties by block: rows a, b, k (place in the block), v; a = b = -1 holds squares and counts."""
+    """Sums over all ties: rows a, b, v with the 36 numbers of block (a, b), a's gradient where b is -1, and the squares
+    and their count where both are -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -236,53 +250,96 @@ def _systems(ties: DataFrame, models, affines: dict[int, list[float]]) -> DataFr
             for (i, j), rows in batch.groupby(["i", "j"]):
                 big, g, squares, n = _edge_system(rows, models.value, affines)
                 for x, p in ((i, 0), (j, 6)):
-                    out += [(x, -1, k, g[p + k]) for k in range(6)]
-                    out += [(x, y, 6 * k + m, big[p + k, q + m]) for y, q in ((i, 0), (j, 6)) for k in range(6) for m in range(6)]
-                out += [(-1, -1, 0, squares), (-1, -1, 1, float(n))]
-            yield pd.DataFrame(out, columns=["a", "b", "k", "v"])
+                    out.append((x, -1, [*g[p : p + 6], *[0.0] * 30]))
+                    out += [(x, y, big[p : p + 6, q : q + 6].ravel().tolist()) for y, q in ((i, 0), (j, 6))]
+                out.append((-1, -1, [squares, float(n), *[0.0] * 34]))
+            yield pd.DataFrame(out, columns=["a", "b", "v"])
+
+    each = ties.select("i", "j", "line_i", "samp_i", "line_j", "samp_j", "h").mapInPandas(run, "a long, b long, v array<double>")
+    return each.groupBy("a", "b").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(36))).alias("v"))
 
-    return ties.select("i", "j", "line_i", "samp_i", "line_j", "samp_j", "h").mapInPandas(run, "a long, b long, k int, v double").groupBy("a", "b", "k").agg(F.sum("v").alias("v"))
 
+def _cameras(scenes: DataFrame, plain: bool = False):
+    """Models of all scenes, 170 numbers each, as a broadcast value (stacked, or by scene if plain): for blocks of up to
+    MOST_SCENES, counted first."""
+    known = scenes.select("scene_id", "rpc").where("scene_id is not null and rpc is not null")
+    if known.limit(MOST_SCENES + 1).count() > MOST_SCENES:
+        raise ValueError(f"more than {MOST_SCENES} scenes at once; split the block")
+    models = {r["scene_id"]: r["rpc"].asDict() for r in known.toLocalIterator()}
+    return scenes.sparkSession.sparkContext.broadcast(models if plain else C.Models(models))
 
-def _cameras(scenes: DataFrame):
-    """Models of all scenes, 170 numbers each, as a broadcast value: for blocks of up to about 100,000 scenes."""
-    rows = scenes.select("scene_id", "rpc").collect()
-    if len(rows) > 100_000:
-        raise ValueError("more scenes than a block is solved with at once; split the block")
-    return scenes.sparkSession.sparkContext.broadcast({r["scene_id"]: r["rpc"].asDict() for r in rows})
+
+#: Scenes of a block; unknowns up to which it is solved by elimination, and by conjugate gradients beyond.
+MOST_SCENES = 20_000
+DENSE = 3_000
 
 
 def adjustment_rms(ties: DataFrame, scenes: DataFrame, affines: dict[int, list[float]] | None = None) -> DataFrame:
     """rms over the four residuals of all ties (i, j, line_i, samp_i, line_j, samp_j, h) for the given affines."""
-    models = _cameras(scenes)
+    models = _cameras(scenes, plain=True)
     own = {s: list(C.IDENTITY) for s in models.value} | (affines or {})
-    sums = _systems(ties, models, own).where("a = -1 and b = -1")
-    return sums.agg((F.sqrt(F.try_divide(F.max(F.when(F.col("k") == 0, F.col("v"))), F.max(F.when(F.col("k") == 1, F.col("v")))))).alias("rms"))
+    return _systems(ties, models, own).where("a = -1 and b = -1").agg(F.sqrt(F.try_divide(F.max(F.col("v")[0]), F.max(F.col("v")[1]))).alias("rms"))
+
+
+def solve_blocks(a: np.ndarray, b: np.ndarray, blocks: np.ndarray, right: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """x (n, 6) with H x = right, H given as 6 x 6 blocks at (a, b), each place once: by elimination up to DENSE unknowns,
+    else by conjugate gradients with the diagonal blocks' inverses, which hold no more than the blocks."""
+    n = len(right)
+    if 6 * n <= DENSE:
+        big = np.zeros((n, 6, n, 6))
+        big[a, :, b, :] = blocks
+        return np.linalg.solve(big.reshape(6 * n, 6 * n), right.ravel()).reshape(n, 6)
+    order = np.argsort(a, kind="stable")
+    b, blocks = b[order], blocks[order]
+    start = np.searchsorted(a[order], np.arange(n))
+    own = np.zeros((n, 6, 6))
+    own[a[a == b[np.argsort(order)]]] = blocks[np.argsort(order)][a == b[np.argsort(order)]]
+    inverse = np.linalg.inv(own)
+    times = lambda x: np.add.reduceat(np.einsum("mij,mj->mi", blocks, x[b]), start, axis=0)
+    x, r = np.zeros((n, 6)), right.copy()
+    z = np.einsum("nij,nj->ni", inverse, r)
+    p, rz = z.copy(), float((r * z).sum())
+    first = rz
+    for _ in range(60 * n):
+        if rz <= tol * tol * first:
+            break
+        hp = times(p)
+        step = rz / float((p * hp).sum())
+        x, r = x + step * p, r - step * hp
+        z = np.einsum("nij,nj->ni", inverse, r)
+        rz, was = float((r * z).sum()), rz
+        p = z + rz / was * p
+    return x
 
 
 def block_adjustment(ties: DataFrame, scenes: DataFrame, anchor: int, max_iters: int = 15, tol: float = 1e-6, damping: float = 1e-6) -> DataFrame:
-    """scene_id, m, rms: the affines of all scenes that bring the ties' residuals down together, the anchor's fixed to
-    identity, and the last rms. Each round sums 6 x 6 blocks over the ties on the executors and solves the small system
-    of 6 (scenes - 1) unknowns on the driver."""
-    models, ties = _cameras(scenes), written(ties, "ties")
+    """scene_id, m, rms: the affines of all scenes that bring the ties' residuals down together in at most max_iters steps,
+    the anchor's fixed to identity, and the rms of these affines. Each round sums 6 x 6 blocks over the ties on the
+    executors; the driver gets one block for each two linked scenes and solves for the steps. damping is added to the
+    diagonal as it is."""
+    models, ties = _cameras(scenes, plain=True), written(ties, "ties")
     ids = sorted(models.value)
-    place = {s: n for n, s in enumerate(x for x in ids if x != anchor)}
+    variable = np.array([s for s in ids if s != anchor], "int64")
     affines = {s: list(C.IDENTITY) for s in ids}
-    last = rms = float("nan")
-    for _ in range(max_iters + 1):
-        big, g, total = np.zeros((6 * len(place), 6 * len(place))), np.zeros(6 * len(place)), {0: 0.0, 1: 0.0}
-        for a, b, k, v in _systems(ties, models, affines).collect():  # 36 numbers for each pair of linked scenes
-            if a == -1:
-                total[k] = v
-            elif a in place and b == -1:
-                g[6 * place[a] + k] += v
-            elif a in place and b in place:
-                big[6 * place[a] + k // 6, 6 * place[b] + k % 6] += v
-        last, rms = rms, float(np.sqrt(total[0] / total[1])) if total[1] else float("nan")
-        if not place or not total[1] or abs(last - rms) < tol:
+    rms = float("nan")
+    for turn in range(max_iters + 1):
+        sums = _systems(ties, models, affines)
+        found = (sums.where("a = -1") if turn == max_iters else sums).toPandas()
+        a, b = found["a"].to_numpy("int64"), found["b"].to_numpy("int64")
+        v = np.stack(found["v"].to_numpy()) if len(found) else np.zeros((0, 36))
+        squares, n = v[a == -1][0, :2] if (a == -1).any() else (0.0, 0.0)
+        last, rms = rms, float(np.sqrt(squares / n)) if n else float("nan")
+        if not len(variable) or not n or turn == max_iters or abs(last - rms) < tol:
             break
-        scale = np.sqrt(np.maximum(np.diag(big), 1e-12))  # rows and columns to one scale before damping
-        step = np.linalg.solve(big / np.outer(scale, scale) + damping * np.eye(len(big)), -g / scale) / scale
-        for s, n in place.items():
-            affines[s] = (np.asarray(affines[s]) + step[6 * n : 6 * n + 6]).tolist()
+        at = lambda s: np.minimum(np.searchsorted(variable, s), len(variable) - 1)
+        known = lambda s: variable[at(s)] == s
+        g, linked = known(a) & (b == -1), known(a) & known(b)
+        right = np.zeros((len(variable), 6))
+        right[at(a[g])] = -v[g][:, :6]
+        alone = np.setdiff1d(np.arange(len(variable)), at(a[linked]))  # scenes without a tie stay as they are
+        rows, columns = np.concatenate([at(a[linked]), alone]), np.concatenate([at(b[linked]), alone])
+        blocks = np.concatenate([v[linked].reshape(-1, 6, 6), np.zeros((len(alone), 6, 6))])
+        blocks[rows == columns] += damping * np.eye(6)
+        for s, step in zip(variable.tolist(), solve_blocks(rows, columns, blocks, right), strict=True):
+            affines[s] = (np.asarray(affines[s]) + step).tolist()
     return scenes.sparkSession.createDataFrame([(s, affines[s], rms) for s in ids], "scene_id long, m array<double>, rms double")
