@@ -82,23 +82,27 @@ def logreg_sweep(t):
     return O.logreg_sweep(v.where("id % 5 > 1"), v.where("id % 5 = 1"), v.where("id % 5 = 0"))
 
 
-@R.query("""SELECT r.rank, s.ts, COALESCE(s.current_task, 'Waiting...') AS current_task, s.error FROM (SELECT range AS rank FROM range(10)) r
+@R.query("""SELECT r.rank, s.ts, COALESCE(s.current_task, 'Waiting...') AS current_task, COALESCE(s.progress, '-') AS progress, COALESCE(s.level, '-') AS level, COALESCE(s.current_step, '-') AS current_step, s.error FROM (SELECT range AS rank FROM range(10)) r
   LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY ts DESC, event_id DESC) AS n FROM status_fx) WHERE n = 1) s ON r.rank = s.rank""")
 def latest_status(t):
     return M.with_waiting(M.latest_status(t("status_fx")), 10)
 
 
-@R.query("SELECT event_id, ts, rank, current_task, error FROM status_fx WHERE length(error) > 0")
+@R.query("SELECT event_id, ts, rank, current_task, progress, level, current_step, error FROM status_fx WHERE length(error) > 0")
 def crash_alerts(t):
     return M.crash_alerts(t("status_fx"))
 
 
-@R.query("SELECT event_id, ts, rank, current_task, error FROM status_fx WHERE length(error) > 0 ORDER BY ts, event_id LIMIT 1")
+@R.query("SELECT event_id, ts, rank, current_task, progress, level, current_step, error FROM status_fx WHERE length(error) > 0 ORDER BY ts, event_id LIMIT 1")
 def first_crash(t):
     return M.first_crash(t("status_fx"))
 
 
-@R.query("""SELECT event_id, ts, rank, current_task, error FROM (SELECT *, lag(current_task) OVER w AS bt, lag(error) OVER w AS be, row_number() OVER w AS n FROM status_fx WINDOW w AS (PARTITION BY rank ORDER BY ts, event_id))
-  WHERE n = 1 OR bt IS DISTINCT FROM current_task OR be IS DISTINCT FROM error""")
+_FIELDS = ("current_task", "progress", "level", "error", "current_step")
+
+
+@R.query(f"""SELECT event_id, ts, rank, current_task, progress, level, current_step, error
+  FROM (SELECT *, {", ".join(f"lag({c}) OVER w AS b_{c}" for c in _FIELDS)}, row_number() OVER w AS n FROM status_fx WINDOW w AS (PARTITION BY rank ORDER BY ts, event_id))
+  WHERE n = 1 OR {" OR ".join(f"b_{c} IS DISTINCT FROM {c}" for c in _FIELDS)}""")
 def status_changes(t):
     return M.status_changes_batch(t("status_fx"))

@@ -31,6 +31,8 @@ FIXTURES = {
                l_discount*CAST(250 AS DOUBLE)+CAST(l_linenumber AS DOUBLE)*CAST(0.25 AS DOUBLE) AS yb FROM {lineitem}""",
     "status_fx": """
         SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id % 8 AS rank, event_type AS current_task,
+               CONCAT(CAST(event_id % 3 AS VARCHAR(20)), '/3') AS progress, CASE WHEN event_type='error' THEN 'high' ELSE '-' END AS level,
+               CONCAT('step ', CAST(user_id % 3 AS VARCHAR(20))) AS current_step,
                CASE WHEN event_type='error' AND event_id % 97 = 0 THEN CONCAT('E', CAST(event_id AS VARCHAR(20))) ELSE NULL END AS error
         FROM {events}""",
     "metric_fx": "SELECT event_type AS metric, event_id AS step, value FROM {events}",

@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATUS = "event_id long, ts timestamp, rank long, current_task string, error string"
+STATUS = "event_id long, ts timestamp, rank long, current_task string, progress string, level string, current_step string, error string"
 LOG = "timestamp double, msg string"
-FORCED = ("current_task", "error")
+#: A change of these is always written; of the others at most every so often.
+FORCED = ("current_task", "progress", "level", "error")
+FIELDS = (*FORCED, "current_step")
+SHOWN = ("current_task", "progress", "level", "current_step", "error")
 
 
 def latest_status(stream: DataFrame) -> DataFrame:
-    """rank, ts, current_task, error: the last row of each rank by time and event; for streams in complete or update mode."""
-    last = F.max_by(F.struct("ts", "current_task", "error"), F.struct("ts", "event_id"))
+    """rank, ts and the fields of the last row of each rank by time and event; for streams in complete or update mode."""
+    last = F.max_by(F.struct("ts", *SHOWN), F.struct("ts", "event_id"))
     return stream.groupBy("rank").agg(last.alias("s")).select("rank", "s.*")
 
 
 def with_waiting(latest: DataFrame, world_size: int) -> DataFrame:
-    """latest for all ranks under world_size; ranks never seen show Waiting... (used on each batch of a stream)."""
+    """latest for all ranks under world_size; ranks never seen show Waiting... and - (used on each batch of a stream)."""
     ranks = latest.sparkSession.range(world_size).withColumnRenamed("id", "rank")
-    return ranks.join(latest, "rank", "left").withColumn("current_task", F.coalesce("current_task", F.lit("Waiting...")))
+    unseen = {"current_task": "Waiting...", "progress": "-", "level": "-", "current_step": "-"}
+    return ranks.join(latest, "rank", "left").withColumns({c: F.when(F.col("ts").isNull(), v).otherwise(F.col(c)) for c, v in unseen.items()})
 
 
 def log_tail(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
@@ -46,7 +50,7 @@ def first_crash(statuses: DataFrame) -> DataFrame:
 def _changes(rows: pd.DataFrame, last: tuple | None, at: float, gap: float) -> tuple[list[bool], tuple | None, float]:
     """Which rows, in order, are emitted after the state (last fields, time of the last emission)."""
     out = []
-    for ts, *fields in rows[["ts", *FORCED, "progress"]].itertuples(index=False):
+    for ts, *fields in rows[["ts", *FIELDS]].itertuples(index=False):
         now, own = ts.timestamp(), tuple(None if pd.isna(f) else f for f in fields)
         changed = last is None or own != last
         forced = last is None or own[: len(FORCED)] != last[: len(FORCED)]
@@ -60,21 +64,21 @@ def _changes(rows: pd.DataFrame, last: tuple | None, at: float, gap: float) -> t
 
 
 def status_changes(stream: DataFrame, min_gap_s: float = 0.1) -> DataFrame:
-    """Rows of a stream (event_id, ts, rank, current_task, error, progress) in which a field changed: always if it is the
-    task or error, else at most every min_gap_s. The state of a rank is its last fields and the time of its last emission."""
+    """Rows of a stream of STATUS in which a field changed: always if one of FORCED did, else at most every min_gap_s.
+    The state of a rank is its last fields and the time of its last emission."""
+    n = len(FIELDS)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last, at = (tuple(state.get[:3]), state.get[3]) if state.exists else (None, 0.0)
+        last, at = (tuple(state.get[:n]), state.get[n]) if state.exists else (None, 0.0)
         emit, last, at = _changes(rows, last, at, min_gap_s)
         state.update((*last, at))
         yield rows[emit]
 
-    return stream.groupBy("rank").applyInPandasWithState(step, STATUS + ", progress double", "current_task string, error string, progress double, at double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("rank").applyInPandasWithState(step, STATUS, ", ".join(f"{c} string" for c in FIELDS) + ", at double", "append", GroupStateTimeout.NoTimeout)
 
 
 def status_changes_batch(statuses: DataFrame) -> DataFrame:
-    """The batch twin for statuses of task and error alone: rows that differ from the rank's row before."""
-    w = Window.partitionBy("rank").orderBy("ts", "event_id")
-    before = F.lag(F.struct("current_task", "error")).over(w)
-    return statuses.withColumn("_b", before).where(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(F.struct("current_task", "error"))).drop("_b")
+    """The batch twin without a gap: rows of which a field differs from the rank's row before, and each rank's first."""
+    before = F.lag(F.struct(*FIELDS)).over(Window.partitionBy("rank").orderBy("ts", "event_id"))
+    return statuses.withColumn("_b", before).where(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(F.struct(*FIELDS))).drop("_b")

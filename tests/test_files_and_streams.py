@@ -59,7 +59,7 @@ def run(df, mode, name):
 def statuses(spark):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF)
-    shape = lambda d: d.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 8).alias("rank"), F.col("event_type").alias("current_task"), F.when((F.col("event_type") == "error") & (F.col("event_id") % 97 == 0), F.concat(F.lit("E"), F.col("event_id").cast("string"))).alias("error"))
+    shape = lambda d: d.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 8).alias("rank"), F.col("event_type").alias("current_task"), F.concat((F.col("event_id") % 3).cast("string"), F.lit("/3")).alias("progress"), F.when(F.col("event_type") == "error", "high").otherwise("-").alias("level"), F.concat(F.lit("step "), (F.col("user_id") % 5).cast("string")).alias("current_step"), F.when((F.col("event_type") == "error") & (F.col("event_id") % 97 == 0), F.concat(F.lit("E"), F.col("event_id").cast("string"))).alias("error"))
     return shape(stream), shape(spark.read.parquet(f"{SF}/events.parquet"))
 
 
@@ -68,17 +68,17 @@ def test_streams_equal_batch_twins(spark):
     rows = lambda d: sorted(map(str, d.collect()))
     assert rows(run(monitor.latest_status(stream), "complete", "latest")) == rows(monitor.latest_status(batch))
     assert rows(run(monitor.crash_alerts(stream), "append", "crashes")) == rows(monitor.crash_alerts(batch))
-    changed = run(monitor.status_changes(stream.withColumn("progress", F.lit(0.0))), "append", "changes").drop("progress")
+    changed = run(monitor.status_changes(stream, min_gap_s=-1), "append", "changes")
     assert rows(changed) == rows(monitor.status_changes_batch(batch))
 
 
 def test_status_gap():
     import pandas as pd
 
-    times = pd.to_datetime([1.0, 1.05, 1.08, 1.2, 1.21], unit="s")
-    rows = pd.DataFrame({"ts": times, "current_task": ["a", "a", "b", "b", "b"], "error": [None] * 5, "progress": [0.0, 1.0, 1.0, 2.0, 2.0]})
-    emit, last, at = monitor._changes(rows, None, 0.0, 0.1)
-    assert emit == [True, False, True, True, False] and last == ("b", None, 2.0)
+    times = pd.to_datetime([1.0, 1.05, 1.08, 1.2, 1.31, 1.32, 1.33], unit="s")
+    fields = {"current_task": list("aabbbbb"), "progress": ["0/2"] * 6 + ["1/2"], "level": ["-"] * 7, "error": [None] * 7, "current_step": list("xyyzwvv")}
+    emit, last, at = monitor._changes(pd.DataFrame({"ts": times, **fields}), None, 0.0, 0.1)
+    assert emit == [True, False, True, True, True, False, True] and last == ("b", "1/2", "-", None, "v") and at == 1.33
 
 
 def test_log_tail(spark, tmp_path):
