@@ -25,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bounds the rows of Arrow batches, and so the memory of Python workers that get whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows of Arrow batches, and so the memory of Python workers that get whole texts. As frames run lazily,
+    the session keeps the bound; a bound that is tighter already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 _held: dict[Hashable, Any] = {}

@@ -1,6 +1,6 @@
 """Operator 2, exact top-k by inner product over norm-sorted vectors.
 
-Within a part of the candidates the vectors stand by descending length. An orthogonal rotation (the eigenvectors of the
+Candidates are parted by ranges of length, and within a part they stand by descending length. An orthogonal rotation (the eigenvectors of the
 sum of outer products, as an SVD gives them) brings most of every product into the first coordinates, the head. For a
 query with least score s so far, a block is skipped if |q| times its greatest length is under s; else a vector is
 scored exactly only if its head product plus the product of both tails' lengths (Cauchy-Schwarz) reaches s. The first
@@ -24,7 +24,7 @@ SCALE = 1024
 HEAD = 24
 SEEDS = 2048
 BLOCK = 1024
-PART, QUERIES = 1 << 15, 1 << 15
+PART, QUERIES = 1 << 13, 1 << 15
 #: Queries that are compared with a block at once.
 AT_ONCE = 1 << 11
 
@@ -102,11 +102,13 @@ def search(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, c: np.ndarray, c
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """Rows query_id, rank (from 1), vec_id, score: each query's k best by whole-number inner product, all if fewer.
 
-    vectors and queries are as of whole_numbers; ids are unique. A query meets vectors of its own dimension but never the one with
-    its id; ties go to the smaller id. Queries and candidates are dealt in parts by hash and each part of queries meets each
-    part of candidates once. No vectors or no queries give no rows.
+    vectors and queries are as of whole_numbers. Rows that repeat an id count once, with the vector of the greatest length
+    (then the greatest by its components). A query meets vectors of its own dimension but never the one with
+    its id; ties go to the smaller id. Candidates are dealt in parts by ranges of length, queries by hash; a query goes to
+    those parts only whose greatest length times its own reaches its first bound. No vectors or no queries give no rows.
     """
-    vectors, queries = written(vectors, "vectors"), written(queries, "queries")
+    one = lambda df: df.groupBy("id").agg(F.max(F.struct("norm2", "v", "dim")).alias("x")).select("id", "x.v", "x.dim", "x.norm2")
+    vectors, queries = written(one(vectors), "vectors"), written(one(queries), "queries")
     turn = vectors.sparkSession.sparkContext.broadcast(rotations(vectors))
     seeds = vectors.orderBy(F.desc("norm2"), "id").limit(SEEDS).select("id", "v", "dim").toPandas()
     first = vectors.sparkSession.sparkContext.broadcast({int(d): (np.stack(x["v"].to_numpy()) if d else np.zeros((len(x), 0)), x["id"].to_numpy("int64")) for d, x in seeds.groupby("dim")})
@@ -125,11 +127,16 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> Da
 
     n, m = vectors.count(), queries.count()
     parts, blocks = max(1, -(-n // PART)), max(1, -(-m // QUERIES))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cuts = sorted(set(vectors.approxQuantile("norm2", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    part = sum((F.when(F.col("norm2") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    ranged = written(vectors.select("id", "v", "dim", "norm2", part.alias("p")), "ranged")
+    most = {(r["dim"], r["p"]): r["m"] for r in ranged.groupBy("dim", "p").agg(F.max("norm2").alias("m")).collect()}  # a row for each part
     asked = queries.mapInPandas(bounds, "id long, v array<double>, dim int, norm2 double, bound double")
-    asked = asked.select("id", "v", "dim", "bound", deal(blocks).alias("q"), spread(parts).alias("p"))
-    given = vectors.select("id", "v", "dim", deal(parts).alias("p"), spread(blocks).alias("q"))
+    reach = F.sqrt(F.col("norm2")) * (1 + 1e-9)
+    there = F.array(*(F.when((F.col("dim") == d) & (reach * float(np.sqrt(x)) + 1e-6 >= F.col("bound")), F.lit(p)) for (d, p), x in most.items())) if most else F.array().cast("array<int>")
+    asked = asked.select("id", "v", "dim", "bound", block.alias("q"), F.explode(F.array_compact(there)).alias("p"))
+    given = ranged.select("id", "v", "dim", "p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")

@@ -191,6 +191,13 @@ def test_topk_parts_meet_once(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.op2_topk(spark, "/root/testdata/sf0.001").collect()) == brute_topk(rows, 10)
 
 
+def test_topk_repeated_ids_count_once(spark):
+    rows = [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 0.5]), (2, [-4.0, 1.0]), (200, [1.0, 2.0])]
+    vectors = topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted(tuple(r) for r in topk.top_inner_products(vectors, vectors.where("id % 100 = 0"), 10).collect())
+    assert got == brute_topk([(100, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [-4.0, 1.0]), (200, [1.0, 2.0])], 10)
+
+
 def test_topk_empty(spark):
     none = topk.whole_numbers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_inner_products(none, none).count() == 0
