@@ -46,13 +46,17 @@ _NAMES = frozenset(
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments respond replies disqus share sharing social related recommended"
     " hidden search form header copyright disclaimer".split()
 )
+# Words that name a part of a page only together with others of _NAMES, as in an article they are words like others.
+_SHAPES = frozenset("area bar block box button buttons container content group inner item items link links list panel section slot title unit wrap wrapper".split())
+_PLAIN = frozenset("alert banner comment copyright disclaimer form header hidden menu notice notices related respond search share sharing social".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 def _outside(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element opens a part of the page that isn't main text."""
+    """Whether an element opens a part of the page that isn't main text. In an article a name must be of such words as a
+    whole (share-buttons, not related-work), and paragraphs and the like aren't judged by words of _PLAIN alone."""
     if tag in _OUTSIDE:
         return True
     if tag == "header":
@@ -68,7 +72,9 @@ def _outside(tag: str, attributes: str, in_main: bool) -> bool:
         parts = _WORD.findall(name)
         if parts and parts[0] not in ("has", "with", "no", "without", "is"):
             hit = _NAMES.intersection(parts)
-            if hit and not (in_main and hit == {"header"}):
+            if hit and not in_main:
+                return True
+            if hit and hit != {"header"} and _NAMES.union(_SHAPES).issuperset(parts) and not (tag in _TEXT and _PLAIN.issuperset(hit)):
                 return True
     return False
 
@@ -84,10 +90,11 @@ class Line(NamedTuple):
 def page_lines(page: str) -> list[Line]:
     """Lines of a page, in order. An article that is the only one in another counts as that one."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, outside, number if main, number
+    stack: list[tuple[str, bool, int, int]] = []  # element; outside, main and block around it
+    depth: Counter[str] = Counter()  # open elements by name
     text: list[str] = []
     parents: dict[int, int] = {}
-    linked = number = main = 0
+    linked = number = main = block = 0
     outside = False
 
     def end() -> None:
@@ -95,13 +102,16 @@ def page_lines(page: str) -> list[Line]:
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                block = next((x[3] for x in reversed(stack) if x[0] not in _TEXT and x[0] not in _INLINE), 0)
                 lines.append(Line(line, outside, linked / max(1, sum(map(len, text))), main, block))
         text, linked = [], 0
 
-    def state() -> None:
-        nonlocal outside, main
-        outside, main = any(x[1] for x in stack), next((x[2] for x in reversed(stack) if x[2]), 0)
+    def close(tag: str) -> None:
+        """Closes the innermost open element of this name and those in it."""
+        nonlocal outside, main, block
+        last = ""
+        while last != tag:
+            last, outside, main, block = stack.pop()
+            depth[last] -= 1
 
     at, n = 0, len(page)
     links = 0
@@ -123,30 +133,25 @@ def page_lines(page: str) -> list[Line]:
                 links = max(0, links - 1)
             if tag == "br":
                 text.append(" ")
-            if any(x[0] == tag for x in stack):
+            if depth[tag]:
                 if tag not in _INLINE:
                     end()
-                while stack.pop()[0] != tag:
-                    pass
-                state()
+                close(tag)
             elif tag not in _INLINE:
                 end()
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else n
+            after = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = after.end() if after else n
             continue
         if tag == "br":
             text.append(" ")
         if tag not in _INLINE and tag != "br":
             end()
             if tag in _CLOSES_P and any(x[0] == "p" for x in stack[-3:]):
-                while stack.pop()[0] != "p":
-                    pass
-                state()
+                close("p")
             elif tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-                state()
+                close("li")
         if tag in _VOID or found[3].rstrip().endswith("/"):
             continue
         if tag == "a":
@@ -156,8 +161,11 @@ def page_lines(page: str) -> list[Line]:
         if (away and not outside or centre) and tag in _INLINE:
             end()
         number += 1
-        stack.append((tag, away, number if centre else 0, number))
+        stack.append((tag, outside, main, block))
+        depth[tag] += 1
         outside = outside or away
+        if tag not in _TEXT and tag not in _INLINE:
+            block = number
         if centre:
             parents[number] = main
             main = number

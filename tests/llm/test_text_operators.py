@@ -296,6 +296,39 @@ def test_html_main_text_ends_at_menus():
     assert html_text.main_text(page) == " ".join(LONG)
 
 
+def test_html_names_in_articles_are_whole_roles():
+    parts = '<div class="related-work"><p>Earlier work measured the same.</p></div><p class="share">A share of one tenth.</p><div class="share-buttons">Tweet</div><div class="ad-slot">Buy</div><div class="comments"><p>First!</p></div>'
+    assert html_text.main_text(f"<article><p>{'A long paragraph of the article. ' * 9}</p>{parts}</article>").endswith("Earlier work measured the same. A share of one tenth.")
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * n + "deep text " * 20 + "</div>" * n) == ("deep text " * 20).strip()
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_html_distribution_brute_force():
+    """Surge and dive points of lines outside articles, by the definition: a line is kept if it measures something and a
+    window over SURGE begins at or before it with no window of 0 between."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = rng.choice([0, 5, 30, 60, 200], int(rng.integers(1, 30)))
+        lines = [html_text.Line("x" * int(n or 7), False, 0.0 if n else 1.0, 0, 0) for n in sizes]
+        sums = [int(sizes[i : i + html_text.WINDOW].sum()) for i in range(len(sizes))]
+        level = html_text.SURGE if max(sums) > html_text.SURGE else max(sums) - 1
+        want = []
+        for i, n in enumerate(sizes):
+            before = [k for k in range(i + 1) if sums[k] > level]
+            if n and before and all(sums[before[-1] : i + 1]):
+                want.append(lines[i].text)
+        assert html_text.main_lines(lines) == (want if max(sums) else [])
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>Only a few words"), (3, "u", "<nav>menu</nav>"), (4, "u", "<article><p>cut off in the mid &am"), (None, "u", "<script>never closed <p>x"), (5, "u", "<p>" * 2000 + "deep" + "x " * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS _place")).collect()
