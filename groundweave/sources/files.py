@@ -18,7 +18,6 @@ NAMES = {"line": "LINE", "samp": "SAMP", "lat": "LAT", "lon": "LONG", "height":
 UNITS = {"line": "pixels", "samp": "pixels", "lat": "degrees", "lon": "degrees", "height": "meters"}
 #: Names in the other, bracketed format: fixed by it.
 RPB = {"line_off": "lineOffset", "samp_off": "sampOffset", "lat_off": "latOffset", "lon_off": "longOffset", "height_off": "heightOffset", "line_scale": "lineScale", "samp_scale": "sampScale", "lat_scale": "latScale", "lon_scale": "longScale", "height_scale": "heightScale", "lnum": "lineNumCoef", "lden": "lineDenCoef", "snum": "sampNumCoef", "sden": "sampDenCoef"}
-_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 
 def _folder(path: Column) -> Column:
@@ -76,8 +75,11 @@ def read_rpc_text(spark: SparkSession, path: str) -> DataFrame:
 def read_rpb(spark: SparkSession, path: str) -> DataFrame:
     """name (of the folder), rpc of bracketed model files: `key = value;` and `key = ( .. );` lists of twenty."""
     text = F.col("value")
-    scalars = [F.regexp_extract(text, rf"{RPB[k]}\s*=\s*({_NUMBER})", 1).cast("double") for k in SCALARS]
-    blocks = [F.transform(F.regexp_extract_all(F.regexp_extract(text, rf"(?s){RPB[k]}\s*=\s*\((.*?)\)", 1), F.lit(f"({_NUMBER})")), lambda x: x.cast("double")) for k in DIRECT]
+    after = lambda k: F.element_at(F.split(text, rf"\b{RPB[k]}\s*="), -1)
+    number = lambda x: F.trim(F.regexp_replace(x, r"\s", "")).try_cast("double")
+    scalars = [number(F.split_part(after(k), F.lit(";"), F.lit(1))) for k in SCALARS]
+    listed = lambda k: F.split(F.split_part(F.split_part(after(k), F.lit("("), F.lit(2)), F.lit(")"), F.lit(1)), ",")
+    blocks = [F.transform(listed(k), number) for k in DIRECT]
     read = _texts(spark, path).select("name", F.concat(F.array(*scalars), *blocks).alias("v"))
     return read.select("name", _rpc(F.col("v"), F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))).alias("rpc"))
 
@@ -123,9 +125,6 @@ def read_dem_tiles(spark: SparkSession, path: str, tile: int = 256, usgs: bool =
     return chosen.mapInPandas(cut, "name string, tile_r int, tile_c int, h int, w int, v array<float>")
 
 
-GROUP_ATTRIBUTES = ("processing_crs", "window_bounds", "window_size_m", "output_size_px", "resolution_m_per_px", "global_indices", "source_paths", "complete")
-
-
 def append_sample_groups(groups: DataFrame, images: DataFrame, parallax: DataFrame, path: str) -> None:
     """Appends groups (group_id and their attributes), images and sparse parallax under path, by group."""
     for name, df in (("groups", groups), ("group_images", images), ("parallax", parallax)):
