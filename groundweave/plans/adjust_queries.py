@@ -108,16 +108,27 @@ def edge_batches(t):
     return O.edge_batches(edges, 7)
 
 
-@R.query()
+def _numbers(fitted, *columns: str):
+    """The six numbers of m as columns, without negative zeros."""
+    return fitted.select("pair_id", *((F.round(F.col("m")[i], 4) + 0.0).alias(f"m{i}") for i in range(6)), *columns)
+
+
+@R.query("""SELECT l_suppkey AS pair_id, 0.99::DOUBLE AS m0, (-0.02)::DOUBLE AS m1, (-5)::DOUBLE AS m2, 2::DOUBLE AS m3, 1.01::DOUBLE AS m4, 3::DOUBLE AS m5,
+  COUNT(*) AS n, CAST(SUM(CASE WHEN l_linenumber % 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_inliers FROM lineitem GROUP BY l_suppkey""")
 def ransac_transform(t):
-    points = t("fit_fx").select("pair_id", F.col("sy").alias("ya"), F.col("sx").alias("xa"), F.col("dy").alias("yb"), F.col("dx").alias("xb")).distinct()
-    return O.ransac_transform(points, "A", 0.5)
+    """Matches of one affine for each supplier, but every fourth line's row is 100 off."""
+    y, x = F.col("l_discount") * 1000, F.col("l_extendedprice") / 100
+    off = F.when(F.col("l_linenumber") % 4 == 0, 100.0).otherwise(0.0)
+    points = t("lineitem").select(F.col("l_suppkey").alias("pair_id"), y.alias("ya"), x.alias("xa"), (y * 0.99 - x * 0.02 - 5 + off).alias("yb"), (y * 2 + x * 1.01 + 3).alias("xb"))
+    return _numbers(O.ransac_transform(points, "A", 0.5), "n", "n_inliers")
 
 
-@R.query()
+@R.query("SELECT DISTINCT c_custkey//30 AS pair_id, 1::DOUBLE AS m0, 0::DOUBLE AS m1, CAST(c_custkey//30 % 3 AS DOUBLE) AS m2, 0::DOUBLE AS m3, 1::DOUBLE AS m4, CAST(c_custkey//30 % 2 AS DOUBLE) AS m5 FROM customer")
 def merge_window_affines(t):
-    k = F.col("scene_id")
+    """Pairs of thirty windows that all moved alike, but every seventh is 1,000 off."""
+    k, pair = F.col("scene_id"), F.floor(F.col("scene_id") / 30)
     h = F.array(F.lit(1.0), F.lit(0.0), -F.col("y0"), F.lit(0.0), F.lit(1.0), -F.col("x0"), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    m = F.array(F.lit(1.0), F.lit(0.0), (k % 3).cast("double"), F.lit(0.0), F.lit(1.0), (k % 2).cast("double"))
-    windows = t("scenes_fx").select((k % 50).alias("pair_id"), k.alias("window_id"), h.alias("h"), m.alias("m"), (F.col("w") / 900).alias("score"))
-    return O.merge_window_affines(windows)
+    off = F.when(k % 7 == 0, 1000.0).otherwise(0.0)
+    m = F.array(F.lit(1.0), F.lit(0.0), pair % 3 + off, F.lit(0.0), F.lit(1.0), pair % 2 - off)
+    windows = t("scenes_fx").select(pair.alias("pair_id"), k.alias("window_id"), h.alias("h"), m.alias("m"), (F.col("w") / 900).alias("score"))
+    return _numbers(O.merge_window_affines(windows))

@@ -71,20 +71,29 @@ def xy_to_sampline(t):
     return rounded(O.xy_to_sampline(points, scenes(t)).select("scene_id", "l_orderkey", "l_linenumber", "line", "samp"), 2)
 
 
-@R.query("SELECT CAST(0 AS BIGINT) AS n")
+@R.query("SELECT s_suppkey AS scene_id, CAST(2500*i AS DOUBLE) AS line, CAST(2500*j AS DOUBLE) AS samp, CAST(500*k AS DOUBLE) AS h, CAST(5 AS DOUBLE) AS error FROM supplier, range(5) a(i), range(5) b(j), range(3) c(k) WHERE s_suppkey % 3 = 0")
 def rpc_roundtrip_check(t):
-    return O.rpc_roundtrip_check(scenes(t), 5, 3).agg(F.count("*").alias("n"))
+    """Every third model's way to the ground is off by five lines."""
+    off = F.when(F.col("scene_id") % 3 == 0, _block(t0=0.001, t1=-1)).otherwise(_block(t1=-1))
+    return rounded(O.rpc_roundtrip_check(scenes(t).withColumn("rpc", F.col("rpc").withField("latnum", off)), 5, 3), 3)
 
 
-@R.query()
+@R.query("SELECT l_suppkey AS scene_id, l_orderkey, l_linenumber, ROUND(l_suppkey % 10 + 30 - 0.1*((l_quantity*100 + l_suppkey % 3 - 5000)/5000) + 1e-7, 6) AS lat, ROUND(l_suppkey % 7 + 100 + 0.1*((l_quantity*50 + l_suppkey % 5 - 5000)/5000 - 0.01*((l_tax*1000-500)/500)) + 1e-7, 6) AS lon FROM lineitem")
 def inverse_rpc_fit(t):
-    fitted = O.inverse_rpc_fit(scenes(t))
-    return O.rpc_roundtrip_check(fitted, 5, 3, 1e-3).groupBy("scene_id").agg(F.count("*").alias("n")).unionByName(fitted.select("scene_id", F.lit(0).cast("long").alias("n")))
+    """Points taken to the ground by the fitted inverse of models whose own inverse is void."""
+    void = F.array_repeat(F.lit(0.0), 20)
+    fitted = O.inverse_rpc_fit(scenes(t).withColumn("rpc", F.col("rpc").withField("latnum", void).withField("lonnum", void)))
+    points = t("lineitem").select(F.col("l_suppkey").alias("scene_id"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).alias("line"), (F.col("l_quantity") * 50).alias("samp"), (F.col("l_tax") * 1000).alias("h"))
+    return rounded(O.rpc_photo2obj(points, fitted).select("scene_id", "l_orderkey", "l_linenumber", (F.col("lat") + 1e-7).alias("lat"), (F.col("lon") + 1e-7).alias("lon")))
 
 
-@R.query()
+@R.query(f"SELECT scene_id, l_orderkey, l_linenumber, ROUND(5000 - 5000*p - dl, 1) AS line, ROUND(5000 + 5000*(l + 0.01*z) - ds, 1) AS samp, CAST(0 AS DOUBLE) AS a2 FROM ({_P})")
 def bake_affine_into_rpc(t):
-    return O.bake_affine_into_rpc(scenes(t)).select("scene_id", F.col("rpc.lnum")[0].alias("l0"), F.col("rpc.adj")[2].alias("a2"))
+    """Points projected by models with their affine worked in, and what is left of the affine's shift."""
+    baked = O.bake_affine_into_rpc(scenes(t))
+    left = baked.select(F.col("scene_id").alias("_s"), F.col("rpc.adj")[2].alias("a2"))
+    projected = O.rpc_obj2photo(_points(t), baked)
+    return rounded(projected.join(left, projected["scene_id"] == left["_s"]).select("scene_id", "l_orderkey", "l_linenumber", "line", "samp", "a2"), 1)
 
 
 def _ties(t):
@@ -93,15 +102,30 @@ def _ties(t):
     return t("tie_obs_fx").select("tie_id", k.alias("scene_id"), F.lit(0.0).alias("e"), (F.lit(5000.0) - F.col("line") * 10 + F.col("err")).alias("line"), (F.lit(5000.0) + F.col("samp")).alias("samp"), F.col("height").alias("h"))
 
 
-@R.query()
+_GROUND = """o AS (SELECT tie_id, img + 1 AS s, 5000 - line*10 + err AS line, 5000 + samp AS samp, height AS h FROM tie_obs_fx),
+  g AS (SELECT *, s % 10 + 30 - 0.1*((line + s % 3 - 5000)/5000) AS lat, s % 7 + 100 + 0.1*((samp + s % 5 - 5000)/5000 - 0.01*((h - 500)/500)) AS lon FROM o)"""
+
+
+@R.query(f"""WITH {_GROUND}, p AS (SELECT DISTINCT img + 1 AS i, img % 7 + 2 AS j FROM tie_obs_fx WHERE img + 1 <> img % 7 + 2),
+  e AS (SELECT p.i, p.j, a.h - b.h AS dh, SQRT(POW(5000 - 50000*(b.lat - a.s % 10 - 30) - a.s % 3 - a.line, 2) + POW(5000 + 5000*((b.lon - a.s % 7 - 100)/0.1 + 0.01*((b.h - 500)/500)) - a.s % 5 - a.samp, 2)) AS e
+    FROM p JOIN g a ON a.s = p.i JOIN g b ON b.s = p.j AND b.tie_id = a.tie_id)
+  SELECT i, j, ROUND(AVG(e), 3) AS mean, ROUND(quantile_cont(e, 0.5), 3) AS median, ROUND(MAX(e), 3) AS max, COUNT(*) AS n, ROUND(AVG(dh), 3) AS dh FROM e GROUP BY i, j""")
 def pair_point_error(t):
     pairs = t("tie_obs_fx").select((F.col("img") + 1).alias("i"), (F.col("img") % 7 + 2).alias("j")).distinct().where("i <> j")
-    return rounded(O.pair_point_error(pairs, _ties(t), scenes(t)), 4)
+    return rounded(O.pair_point_error(pairs, _ties(t), scenes(t)), 3)
 
 
-@R.query()
+@R.query("""WITH o AS (SELECT tie_id, img + 1 AS s, 5000 + err AS line, 5000 + samp/10 AS samp, height FROM tie_obs_fx),
+  h AS (SELECT tie_id, quantile_cont(height, 0.5) AS h FROM o GROUP BY tie_id),
+  g AS (SELECT s, tie_id, line + s % 3 AS y, samp + s % 5 AS x FROM o JOIN h USING (tie_id)),
+  e AS (SELECT s, SQRT(POW(y - AVG(y) OVER (PARTITION BY tie_id), 2) + POW(x - AVG(x) OVER (PARTITION BY tie_id), 2)) AS e FROM g)
+  SELECT s AS scene_id, COUNT(*) AS n, ROUND(AVG(e), 4) AS mean, ROUND(MAX(e), 4) AS max FROM e GROUP BY s""")
 def multiview_residuals(t):
-    return rounded(O.multiview_residuals(_ties(t), scenes(t)), 4)
+    """By scene. Scenes over one place, whose models differ in their shifts alone: the best fit is the mean of what they see."""
+    over = scenes(t).withColumn("rpc", F.col("rpc").withField("lat_off", F.lit(30.0)).withField("lon_off", F.lit(100.0)))
+    ties = t("tie_obs_fx").select("tie_id", (F.col("img") + 1).alias("scene_id"), (F.col("err") + 5000).alias("line"), (F.col("samp") / 10 + 5000).alias("samp"), F.col("height").alias("h"))
+    found = O.multiview_residuals(ties, over)
+    return rounded(found.groupBy("scene_id").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.max("residual").alias("max")), 4)
 
 
 def _edges(t):

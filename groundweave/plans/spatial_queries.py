@@ -111,10 +111,16 @@ def overlap_points(t):
     return points.groupBy("pair_id").agg(F.count("*").alias("n"), F.sum(inside.cast("long")).alias("inside"))
 
 
-@R.query()
+_KEY = "(scene_id*1000003 + trial) % 2147483647"
+
+
+@R.query(f"""WITH d AS (SELECT scene_id AS tie_id, trial, x0, y0, w, h, x0 + w/3 - ({_KEY}*2654435761 + 42*40503) % 4294967296/4294967296.0::DOUBLE*400 AS x, y0 + h/2 - ({_KEY}*2654435761 + 43*40503) % 4294967296/4294967296.0::DOUBLE*400 AS y
+    FROM scenes_fx, range(200) r(trial)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY tie_id ORDER BY trial) AS n FROM d WHERE x >= x0 AND y >= y0 AND x + 400 <= x0 + w AND y + 400 <= y0 + h)
+  SELECT tie_id, CAST(trial AS INTEGER) AS trial, ROUND(x, 4) AS x, ROUND(y, 4) AS y FROM k WHERE n <= 4""")
 def windows_around_tie_points(t):
     ties = t("scenes_fx").select(F.col("scene_id").alias("tie_id"), F.col("scene_id").alias("pair_id"), (F.col("x0") + F.col("w") / 3).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"))
-    return O.windows_around_tie_points(ties, scenes(t).withColumnRenamed("scene_id", "pair_id"), 400.0)
+    return rounded(O.windows_around_tie_points(ties, scenes(t).withColumnRenamed("scene_id", "pair_id"), 400.0), 4)
 
 
 # ---- columns

@@ -125,6 +125,23 @@ def read_dem_tiles(spark: SparkSession, path: str, tile: int = 256, usgs: bool =
     return chosen.mapInPandas(cut, "name string, tile_r int, tile_c int, h int, w int, v array<float>")
 
 
+def write_dem(grids: DataFrame, path: str) -> None:
+    """One dem.npy for each grid (name, h, w, v by row) under path/name. A task that runs again writes the same bytes."""
+
+    def save(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        at, root = fs.FileSystem.from_uri(path)
+        for row in rows:
+            content = io.BytesIO()
+            np.save(content, np.array(row["v"], "float32").reshape(row["h"], row["w"]))
+            at.create_dir(f"{root}/{row['name']}")
+            with at.open_output_stream(f"{root}/{row['name']}/dem.npy") as f:
+                f.write(content.getvalue())
+
+    grids.foreachPartition(save)
+
+
 def append_sample_groups(groups: DataFrame, images: DataFrame, parallax: DataFrame, path: str) -> None:
     """Appends groups (group_id and their attributes), images and sparse parallax under path, by group."""
     for name, df in (("groups", groups), ("group_images", images), ("parallax", parallax)):
