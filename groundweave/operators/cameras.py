@@ -111,12 +111,18 @@ def scene_corners(scenes: DataFrame) -> DataFrame:
     return placed.groupBy("scene_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("ring"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt to all tasks, for small tables whose rows take long."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _refit(scenes: DataFrame, fit: Callable[[dict], dict]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"scene_id": b["scene_id"], "rpc": [fit(_model(r)) for r in b["rpc"]]})
 
-    return scenes.select("scene_id", "rpc").mapInPandas(run, f"scene_id long, rpc {RPC}")
+    return _spread(scenes.select("scene_id", "rpc")).mapInPandas(run, f"scene_id long, rpc {RPC}")
 
 
 def inverse_rpc_fit(scenes: DataFrame, xy: int = 30, z: int = 20) -> DataFrame:
@@ -317,7 +323,7 @@ def block_adjustment(ties: DataFrame, scenes: DataFrame, anchor: int, max_iters:
     the anchor's fixed to identity, and the rms of these affines. Each round sums 6 x 6 blocks over the ties on the
     executors; the driver gets one block for each two linked scenes and solves for the steps. damping is added to the
     diagonal as it is."""
-    models, ties = _cameras(scenes, plain=True), written(ties, "ties")
+    models, ties = _cameras(scenes, plain=True), written(_spread(ties), "ties")
     ids = sorted(models.value)
     variable = np.array([s for s in ids if s != anchor], "int64")
     affines = {s: list(C.IDENTITY) for s in ids}

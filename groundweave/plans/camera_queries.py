@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from groundweave.functions import geometry as G
 from groundweave.operators import cameras as O
 from groundweave.plans.base import Registry, rounded
+from groundweave.sources.shared import written
 
 R = Registry()
 
@@ -82,7 +83,7 @@ def rpc_roundtrip_check(t):
 def inverse_rpc_fit(t):
     """Points taken to the ground by the fitted inverse of models whose own inverse is void."""
     void = F.array_repeat(F.lit(0.0), 20)
-    fitted = O.inverse_rpc_fit(scenes(t).withColumn("rpc", F.col("rpc").withField("latnum", void).withField("lonnum", void)))
+    fitted = written(O.inverse_rpc_fit(scenes(t).withColumn("rpc", F.col("rpc").withField("latnum", void).withField("lonnum", void))), "fitted")
     points = t("lineitem").select(F.col("l_suppkey").alias("scene_id"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).alias("line"), (F.col("l_quantity") * 50).alias("samp"), (F.col("l_tax") * 1000).alias("h"))
     return rounded(O.rpc_photo2obj(points, fitted).select("scene_id", "l_orderkey", "l_linenumber", (F.col("lat") + 1e-7).alias("lat"), (F.col("lon") + 1e-7).alias("lon")))
 
@@ -90,7 +91,7 @@ def inverse_rpc_fit(t):
 @R.query(f"SELECT scene_id, l_orderkey, l_linenumber, ROUND(5000 - 5000*p - dl, 1) AS line, ROUND(5000 + 5000*(l + 0.01*z) - ds, 1) AS samp, CAST(0 AS DOUBLE) AS a2 FROM ({_P})")
 def bake_affine_into_rpc(t):
     """Points projected by models with their affine worked in, and what is left of the affine's shift."""
-    baked = O.bake_affine_into_rpc(scenes(t))
+    baked = written(O.bake_affine_into_rpc(scenes(t)), "baked")
     left = baked.select(F.col("scene_id").alias("_s"), F.col("rpc.adj")[2].alias("a2"))
     projected = O.rpc_obj2photo(_points(t), baked)
     return rounded(projected.join(left, projected["scene_id"] == left["_s"]).select("scene_id", "l_orderkey", "l_linenumber", "line", "samp", "a2"), 1)
@@ -139,11 +140,28 @@ def _tied(t):
     return scenes(t).join(t("tie_obs_fx").select((F.col("img") + 1).alias("scene_id")).distinct(), "scene_id", "left_semi")
 
 
-@R.query()
+def _over(t):
+    """The scenes that have tie points, all over one place."""
+    return _tied(t).withColumn("rpc", F.col("rpc").withField("lat_off", F.lit(30.0)).withField("lon_off", F.lit(100.0)))
+
+
+def _planted(t):
+    """Ties of ground points spread over the scenes, which image k sees k % 4 lines down and k % 3 samples to the left."""
+    o = t("tie_obs_fx").select("tie_id", (F.col("img") + 1).alias("k"), F.lit(500.0).alias("h"))
+    line, samp = 3000 + F.col("tie_id") % 97 * 40 + F.col("k") % 4, 3300 + F.col("tie_id") % 89 * 40 - F.col("k") % 3
+    side = lambda s: o.select("tie_id", F.col("k").alias(s), line.cast("double").alias(f"line_{s}"), samp.cast("double").alias(f"samp_{s}"), F.col("h").alias(f"h_{s}"))
+    return side("i").join(side("j"), "tie_id").where("i < j").select("i", "j", "line_i", "samp_i", "line_j", "samp_j", F.col("h_i").alias("h"))
+
+
+@R.query("SELECT DISTINCT img + 1 AS scene_id, 1::DOUBLE AS m0, 0::DOUBLE AS m1, CAST(2 - (img + 1) % 4 AS DOUBLE) AS m2, 0::DOUBLE AS m3, 1::DOUBLE AS m4, CAST((img + 1) % 3 - 2 AS DOUBLE) AS m5, 0::DOUBLE AS rms FROM tie_obs_fx")
 def block_adjustment(t):
-    return rounded(O.block_adjustment(_edges(t), _tied(t), 2), 3)
+    """Affines against the anchor 2 that undo the planted shifts."""
+    found = O.block_adjustment(_planted(t), _over(t), 2)
+    return found.select("scene_id", *((F.round(F.col("m")[i], 3) + 0.0).alias(f"m{i}") for i in range(6)), F.round("rms", 3).alias("rms"))
 
 
-@R.query()
+@R.query("""WITH o AS (SELECT tie_id, img + 1 AS s, 5000 - line*10 + err - 50000*((img + 1) % 10) AS y, 5000 + samp + 50000*((img + 1) % 7) AS x FROM tie_obs_fx)
+  SELECT ROUND(SQRT(SUM(POW(a.y - b.y, 2) + POW(a.x - b.x, 2))/2/(4*COUNT(*))), 3) AS rms FROM o a JOIN o b ON a.tie_id = b.tie_id AND a.s < b.s""")
 def adjustment_rms(t):
+    """Two scenes of equal slopes share what separates them in halves."""
     return rounded(O.adjustment_rms(_edges(t), _tied(t)), 3)
