@@ -16,11 +16,27 @@ from pyspark.sql import functions as F
 
 from groundweave.sources.shared import written
 
+#: Queries whose similarities to a block are held at once.
+STRIP = 256
+
 
 def _blocks(df: DataFrame, block: int) -> int:
     return max(1, -(-df.count() // block))
 
 
+def best_of(sims: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column, value of each row's `want` greatest, ties to the smaller column, NaN last."""
+    below = -sims
+    want = min(want, sims.shape[1])
+    least = np.partition(below, want - 1, axis=1)[:, want - 1 : want]
+    rows, columns = np.nonzero(~(below > least))
+    order = np.lexsort((columns, below[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, np.arange(len(sims)))
+    held = np.arange(len(rows)) - first[rows] < want
+    return rows[held], columns[held], sims[rows[held], columns[held]]
+
+
 def knn_join(queries: DataFrame, train: DataFrame, k: int, skip_first: bool = False, block: int = 8192) -> DataFrame:
     """q, rank (from 1), id, sim: each query's k best by dot product, ties to the smaller id; all if there are fewer.
 
@@ -37,9 +53,12 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, skip_first: bool = Fa
         if q.empty or t.empty:
             return pd.DataFrame({"q": [], "id": [], "sim": []})
         t = t.sort_values("id")
-        ids, sims = t["id"].to_numpy(), np.stack(q["v"].to_numpy()) @ np.stack(t["v"].to_numpy()).T
-        out = np.argsort(-sims, axis=1, kind="stable")[:, :want]
-        return pd.DataFrame({"q": np.repeat(q["id"].to_numpy(), out.shape[1]), "id": ids[out].ravel(), "sim": np.take_along_axis(sims, out, axis=1).ravel()})
+        ids, own, right = t["id"].to_numpy(), q["id"].to_numpy(), np.stack(t["v"].to_numpy()).T
+        parts = []
+        for at in range(0, len(q), STRIP):
+            rows, columns, sims = best_of(np.stack(q["v"].iloc[at : at + STRIP].to_numpy()) @ right, want)
+            parts.append(pd.DataFrame({"q": own[at : at + STRIP][rows], "id": ids[columns], "sim": sims}))
+        return pd.concat(parts)
 
     found = q.groupBy("a", "b").cogroup(t.groupBy("a", "b")).applyInPandas(best, "q long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id")) - int(skip_first)

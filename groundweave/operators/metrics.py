@@ -7,11 +7,13 @@ collapse rows of equal class and score.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundweave.operators.sampling import numbered_by
+from groundweave.operators.sampling import numbered_by, percentiles, running
+from groundweave.sources.shared import written
 
 
 def error_report(errors: DataFrame, d: str = "d", by: tuple[str, ...] = ()) -> DataFrame:
@@ -20,16 +22,25 @@ def error_report(errors: DataFrame, d: str = "d", by: tuple[str, ...] = ()) -> D
     A NaN error counts and is never under a threshold, and makes mean, median, max and rmse of its group NaN. A null
     error counts as NaN. Without rows the overall row has count 0 and NaN.
     """
-    x = F.coalesce(F.col(d).cast("double"), F.lit(float("nan")))
-    bad = F.max(F.isnan(x))
-    nan = F.lit(float("nan"))
+    keys, nan = list(by), F.lit(float("nan"))
+    counted = written(errors.groupBy(*keys, F.coalesce(F.col(d).cast("double"), nan).alias("_d")).agg(F.count("*").alias("_n")), "errors")
+    x, n = F.col("_d"), F.col("_n")
     kept = F.when(~F.isnan(x), x)
-    poisoned = lambda c: F.when(F.coalesce(bad, F.lit(True)), nan).otherwise(c)
-    under = lambda t: F.coalesce(F.try_divide(F.sum(F.when(F.isnan(x), 0.0).when(x < t, 100.0).otherwise(0.0)), F.count(F.lit(1))), nan)
-    aggregates = [F.count(F.lit(1)).alias("count"), poisoned(F.avg(kept)).alias("mean"), poisoned(F.percentile(kept, 0.5)).alias("median"), poisoned(F.max(kept)).alias("max"), poisoned(F.sqrt(F.avg(kept * kept))).alias("rmse"), *(under(t).alias(f"lt{t}_percent") for t in (1, 3, 5))]
-    if not by:
-        return errors.agg(*aggregates)
-    return errors.groupingSets([list(by), []], *by).agg(*aggregates)
+    poisoned = lambda c: F.when(F.coalesce(F.max(F.isnan(x)), F.lit(True)), nan).otherwise(c)
+    mean = lambda c: F.try_divide(F.sum(c * n), F.sum(n).cast("double"))
+    under = lambda t: F.coalesce(mean(F.when(F.isnan(x), 0.0).when(x < t, 100.0).otherwise(0.0)), nan)
+    first = [F.coalesce(F.sum(n), F.lit(0)).alias("count"), poisoned(mean(kept)).alias("mean")]
+    rest = [poisoned(F.max(kept)).alias("max"), poisoned(F.sqrt(mean(kept * kept))).alias("rmse"), *(under(t).alias(f"lt{t}_percent") for t in (1, 3, 5))]
+
+    def report(of: list[str]) -> DataFrame:
+        found = counted.groupBy(*of).agg(*first, *rest)
+        medians = percentiles(counted.where(~F.isnan(x)), of, "_d", [0.5], n).select(*(F.col(c).alias(f"_by_{c}") for c in of), F.col("p")[0].alias("_m"))
+        met = found.join(medians, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in of), F.lit(True)), "left")
+        median = F.when(F.isnan("mean"), nan).otherwise(F.col("_m")).alias("median")
+        names = found.columns[len(of) :]
+        return met.select(*(F.col(c) if c in of else F.lit(None).cast(errors.schema[c].dataType).alias(c) for c in keys), *names[:2], median, *names[2:])
+
+    return report(keys).unionByName(report([])) if keys else report([])
 
 
 def ranked(preds: DataFrame) -> DataFrame:
@@ -83,8 +94,9 @@ def multiclass_outcomes(preds: DataFrame) -> DataFrame:
 def auroc(preds: DataFrame) -> DataFrame:
     """cls, auroc: one class against the rest, by average ranks. A class without members or without others has null."""
     same = preds.groupBy("cls", "score").agg(F.sum((F.col("target") == F.col("cls")).cast("long")).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy("cls").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = same.select("cls", "pos", (F.col("n") - F.col("pos")).alias("neg"), (F.col("pos") * (before + (F.col("n") - F.col("pos")) / 2)).alias("u"))
+    neg = F.col("n") - F.col("pos")
+    upto = running(same, ["cls"], [F.col("score")], {"upto": neg})
+    wins = upto.select("cls", "pos", neg.alias("neg"), (F.col("pos") * (F.col("upto") - neg / 2)).alias("u"))
     return wins.groupBy("cls").agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg").cast("double")).alias("auroc"))
 
 
@@ -92,11 +104,11 @@ def average_precision(scores: DataFrame, kind: str = "macro") -> DataFrame:
     """cls, ap of rows (cls, score, actual). `macro` sums precision at each step of recall; `voc2007` averages the
     best precision at recalls 0, 0.1 .. 1. Classes without members have null."""
     same = scores.groupBy("cls", "score").agg(F.sum("actual").alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy("cls").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = same.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "all": F.sum("pos").over(Window.partitionBy("cls"))})
-    steps = steps.withColumns({"precision": F.col("tp") / F.col("seen"), "recall": F.try_divide(F.col("tp"), F.col("all"))})
+    steps = running(same, ["cls"], [F.desc("score")], {"tp": F.col("pos"), "seen": F.col("n")}).withColumn("precision", F.col("tp") / F.col("seen"))
     if kind == "macro":
-        return steps.groupBy("cls").agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.max("all")).alias("ap"))
+        return steps.groupBy("cls").agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.max("tp")).alias("ap"))
+    whole = same.groupBy("cls").agg(F.sum("pos").alias("all"))
+    steps = steps.join(whole, "cls").withColumn("recall", F.try_divide("tp", "all"))
     best = [F.coalesce(F.max(F.when(F.col("recall") >= i / 10, F.col("precision"))), F.lit(0.0)) for i in range(11)]
     return steps.groupBy("cls").agg(F.when(F.max("all") > 0, reduce(lambda a, b: a + b, best) / 11).alias("ap"))
 

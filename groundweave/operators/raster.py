@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundweave.operators.sampling import percentiles
+
 
 def _clean(v: str = "v") -> Column:
     return F.when(~F.isnan(v), F.col(v))
@@ -63,7 +65,8 @@ def percentile_stretch(cells: DataFrame, lo: float = 2.0, hi: float = 98.0) -> D
     """cells with level 0..255: between the percentiles of valid cells (or least and greatest, if those are equal),
     truncated; missing cells 0. Grids of one value alone are dropped."""
     v = _clean()
-    stats = cells.groupBy("grid_id").agg(F.percentile(v, F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("p"), F.min(v).alias("a"), F.max(v).alias("b"))
+    at = percentiles(cells.select("grid_id", v.alias("_v")), ["grid_id"], "_v", [lo / 100, hi / 100])
+    stats = cells.groupBy("grid_id").agg(F.min(v).alias("a"), F.max(v).alias("b")).join(at, "grid_id")
     ends = stats.select("grid_id", F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[0]).otherwise(F.col("a")).alias("a"), F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[1]).otherwise(F.col("b")).alias("b")).where("b > a")
     scaled = (v - F.col("a")) / (F.col("b") - F.col("a")) * 255
     return cells.join(ends, "grid_id").select(*cells.columns, F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int"), F.lit(0)).alias("level"))

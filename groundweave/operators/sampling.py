@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,31 @@ def numbered_by(df: DataFrame, by: str | list[str], order: list[Column], name: s
     return all_.join(first, keys).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_first")
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with each of sums added up from the first row of its group to the row itself, where a group may be most of the
+    rows: ranges of (by, order) are summed apart, and each starts with what its group has in the ranges before it."""
+    ranged = written(df.withColumns({f"_{n}": v for n, v in sums.items()}).repartitionByRange(*map(F.col, by), *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    whole = ranged.groupBy(*by, "_part").agg(*(F.sum(f"_{n}").alias(f"_of_{n}") for n in sums))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = whole.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_at"), *(F.sum(f"_of_{n}").over(before).alias(f"_of_{n}") for n in sums))
+    met = ranged.join(base, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_part") == F.col("_at")))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return met.select(*df.columns, *((F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) + F.coalesce(f"_of_{n}", F.lit(0))).alias(n) for n in sums))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], times: Column | int = 1) -> DataFrame:
+    """by, p: exact percentiles of each group's values (array, between neighbours in proportion; nulls don't count), a
+    row standing for `times` values. Equal values are counted first and their counts added up by ranges, so that no group's values come together."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(times if isinstance(times, Column) else F.lit(times).cast("long")).alias("_n"))
+    placed = written(running(counts, by, [F.col(value)], {"_upto": F.col("_n")}), "counted")
+    size = placed.groupBy(*by).agg(F.max("_upto").alias("_size")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    met = placed.join(size, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.lit(True)))
+    at = [(F.col("_size") - 1) * share for share in shares]
+    value_at = lambda i: F.min(F.when(F.col("_upto") > i, F.col(value)))
+    found = met.groupBy(*by).agg(*(x for i, a in enumerate(at) for x in (value_at(F.floor(a)).alias(f"_l{i}"), value_at(F.ceil(a)).alias(f"_h{i}"), F.max(a - F.floor(a)).alias(f"_r{i}"))))
+    return found.where("_l0 is not null").select(*by, F.array(*(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_r{i}") for i in range(len(at)))).alias("p"))
+
+
 def sample_groups(groups: DataFrame, n: int | None = None, select: list[int] | None = None, seed: int = 42, key: str = "group_id") -> DataFrame:
     """n groups without replacement in hash order, or the groups at the given positions of the id order."""
     if select is not None:
@@ -120,9 +148,19 @@ def assign_group_ids(windows: DataFrame, existing: DataFrame, max_groups: int |
     return out if max_groups is None else out.where(F.col("group_id") < (0 if last is None else last + 1) + max_groups)
 
 
-def smoothed_metric(metrics: DataFrame, window: int = 20) -> DataFrame:
-    """metric, step, median (the lower middle), avg of the last `window` values, global_avg of all so far."""
-    by = Window.partitionBy("metric").orderBy("step")
-    last, so_far = by.rowsBetween(1 - window, 0), by.rowsBetween(Window.unboundedPreceding, 0)
+def smoothed_metric(metrics: DataFrame, window: int = 20, chunk: int = 100_000) -> DataFrame:
+    """metric, step, median (the lower middle), avg of the last `window` values, global_avg of all so far.
+
+    A metric may be most of the rows: its values are numbered by ranges and meet in chunks, each with the values just before it.
+    """
+    order = [F.col("step"), F.col("value")]
+    sums = {"_place": F.lit(1).cast("long"), "_seen": F.col("value").isNotNull().cast("long"), "_total": F.col("value").cast("double")}
+    placed = written(running(metrics.select("metric", "step", "value"), ["metric"], order, sums), "placed")
+    own = F.floor((F.col("_place") - 1) / chunk)
+    again = F.floor((F.col("_place") - 1 + window - 1) / chunk)  # the chunk that needs the value for its first rows
+    dealt = placed.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_distinct(F.array(own, again))))
+    last = Window.partitionBy("metric", "_chunk").orderBy("_place").rowsBetween(1 - window, 0)
     held = F.sort_array(F.collect_list("value").over(last))
-    return metrics.select("metric", "step", F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")).alias("median"), F.avg("value").over(last).alias("avg"), F.avg("value").over(so_far).alias("global_avg"))
+    median = F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")).alias("median")
+    found = dealt.select("metric", "step", median, F.avg("value").over(last).alias("avg"), F.try_divide("_total", F.col("_seen").cast("double")).alias("global_avg"), (F.col("_chunk") == F.col("_own")).alias("_mine"))
+    return found.where("_mine").drop("_mine")
