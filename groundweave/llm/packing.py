@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from groundweave.llm.common import hold, table, text_batches, written
 
 CAPACITY = 2048
-#: Parts into which the pieces of one length are dealt, so that a frequent length is ranked by many tasks.
-SALTS = 64
+#: About as many pieces of one length are ranked by one task; a length with more is dealt to as many tasks as it takes.
+RANKED = 1_000_000
 
 
 def _encoder(path: str) -> Callable[[str], bytes]:
@@ -133,33 +133,34 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
     """pieces with sequence_id and offset; lengths must lie between 1 and capacity.
 
-    Only the histogram (lengths x salts, at most capacity x SALTS rows) reaches the driver. An empty table gives no
-    rows. Rows that are equal in all columns may swap their slots.
+    Only the histogram reaches the driver: a row for each length, and one more for each `ranked` pieces. An empty table
+    gives no rows. Rows that are equal in all columns may swap their slots.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    found = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    salts = F.lit(np.array([1 + found.get(x, 0) // ranked for x in range(capacity + 1)]))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in pieces.columns)), F.get(salts, F.col("length").cast("int"))))
     seen = salted.groupBy("length", "_salt").count().orderBy("length", "_salt").collect()
-    counts: dict[int, int] = {}
-    first = np.zeros((capacity + 1, salts), "int64")
-    for length, salt, n in seen:
-        first[length, salt] = counts.get(length, 0)
+    group, first, counts = np.zeros(len(seen), "int64"), np.zeros(len(seen), "int64"), {}
+    for i, (length, salt, n) in enumerate(seen):
+        group[i], first[i] = (length << 32) + salt, counts.get(length, 0)
         counts[length] = counts.get(length, 0) + n
     slots = sorted(plan_slots(counts, capacity))
     table_of = {n: np.array([s[i] for s in slots], "int64") for i, n in enumerate(("length", "first", "n", "sequence", "offset"))}
     key = (table_of["length"] << 44) + table_of["first"]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece")) - 1)
+    placed = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece")) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             length = b["length"].to_numpy()
-            rank = first[length, b.pop("_salt").to_numpy()] + b.pop("_rank").to_numpy()
+            rank = first[np.searchsorted(group, (length << 32) + b.pop("_salt").to_numpy())] + b.pop("_rank").to_numpy()
             at = np.searchsorted(key, (length << 44) + rank, side="right") - 1
             yield b.assign(sequence_id=table_of["sequence"][at] + rank - table_of["first"][at], offset=table_of["offset"][at])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return placed.mapInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,17 @@ def test_packing_fills_sequences_without_gaps(spark):
     assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
 
 
+def test_packing_deals_a_frequent_length_and_equal_rows(spark):
+    rows = [(i if i % 3 else None, i % 2, 7 if i % 5 else 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    got = packing.pack(df, 10, ranked=8).collect()
+    assert sorted((r["doc_id"] or -1, r["piece"], r["length"]) for r in got) == sorted((i or -1, p, n) for i, p, n in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(by) == 160 and all(o == (n if len(v) > 1 and i else 0) for v in by.values() for i, (o, _) in enumerate(sorted(v)) for n in [sorted(v)[0][1]])
+
+
 def test_packing_plan_matches_best_fit():
     counts = {9: 3, 7: 2, 4: 5, 2: 7, 1: 4, 10: 1}
     bins = []
