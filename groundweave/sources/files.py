@@ -143,9 +143,16 @@ def write_dem(grids: DataFrame, path: str) -> None:
 
 
 def append_sample_groups(groups: DataFrame, images: DataFrame, parallax: DataFrame, path: str) -> None:
-    """Appends groups (group_id and their attributes), images and sparse parallax under path, by group."""
-    for name, df in (("groups", groups), ("group_images", images), ("parallax", parallax)):
-        df.write.mode("append").partitionBy("group_id").parquet(f"{path}/{name}")
+    """Appends groups (group_id and their attributes), images and sparse parallax under path, by group. Groups that are
+    there already are left as they are. The table of groups is written last, so a group that it names is whole."""
+    spark = groups.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/groups")
+    there = None
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        there = spark.read.schema(groups.schema).parquet(f"{path}/groups").select("group_id").distinct()
+    for name, df in (("group_images", images), ("parallax", parallax), ("groups", groups)):
+        new = df if there is None else df.join(there, "group_id", "left_anti")
+        new.write.mode("append").partitionBy("group_id").parquet(f"{path}/{name}")
 
 
 def path_key(path: Column) -> Column:

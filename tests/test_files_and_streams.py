@@ -86,3 +86,15 @@ def test_log_tail(spark, tmp_path):
     (tmp_path / "rank0.json").write_text("\n".join(lines))
     assert [r["msg"] for r in run(monitor.log_tail(spark, str(tmp_path)), "append", "log").orderBy("at").collect()] == ["one", "two"]
     assert monitor.log_tail(spark, str(tmp_path), stream=False).count() == 2
+
+
+def test_sample_groups_that_are_there_stay(spark, tmp_path):
+    from groundweave.sources.files import append_sample_groups
+
+    for ids, value in (([1, 2], 1.0), ([2, 3], 2.0)):
+        groups = spark.createDataFrame([(i, True) for i in ids], "group_id long, complete boolean")
+        rows = spark.createDataFrame([(i, value) for i in ids], "group_id long, v double")
+        append_sample_groups(groups, rows, rows, f"file://{tmp_path}/g")
+    for name in ("group_images", "parallax"):
+        read = spark.read.schema("v double, group_id long").parquet(f"file://{tmp_path}/g/{name}")
+        assert sorted((r["group_id"], r["v"]) for r in read.collect()) == [(1, 1.0), (2, 1.0), (3, 2.0)]
