@@ -2,7 +2,8 @@
 
 Modular prefix arrays of a text give the hash of any span by one difference, so span equality is one comparison and the
 longest common extension of two positions a binary search. A fingerprint is the hash of the whole text under two primes
-and, for likeness, a sketch of the hashes of all spans of SPAN code points: the least hash in each of BINS classes.
+and, for likeness, a sketch of the hashes of all spans of SPAN code points: the least hash in each of BINS classes. How
+far two texts agree from their starts on is their longest common extension there, under both primes.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ class Prefixes:
         self.base, self.p, self.inverse = base, np.uint64(p), pow(base, -1, p)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64")
         self.n = len(points)
-        self.sums = np.zeros(self.n + 1, "uint64")
-        np.cumsum((points + np.uint64(1)) * powers(base, p, self.n) % self.p, out=self.sums[1:])
-        self.sums %= self.p
+        sums = np.zeros(self.n + 1, "uint64")
+        np.cumsum((points + np.uint64(1)) * powers(base, p, self.n) % self.p, out=sums[1:])
+        self.sums = (sums % self.p).astype("uint32")  # half the memory while a text waits for the next
 
     def span(self, start: np.ndarray | int, length: int) -> np.ndarray:
         """Hashes of the spans of one length at the given starts; equal spans have equal hashes wherever they stand."""
@@ -58,20 +59,23 @@ class Prefixes:
 
 def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     """The longest common extension of position i of a and j of b, by binary search over span equality."""
+    p = int(a.p)
+    (x, u), (y, v) = ((int(s.sums[k]), int(powers(s.inverse, p, s.n + 1)[k])) for s, k in ((a, i), (b, j)))
     low, high = 0, min(a.n - i, b.n - j)
     while low < high:
         mid = (low + high + 1) // 2
-        if a.span(i, mid) == b.span(j, mid):
+        if (int(a.sums[i + mid]) - x) * u % p == (int(b.sums[j + mid]) - y) * v % p:
             low = mid
         else:
             high = mid - 1
     return low
 
 
-def sketch(text: str) -> tuple[str, np.ndarray]:
-    """Fingerprint of a text and the numbers of its sketch; an empty class holds 65536 and shows as `----`."""
-    first = Prefixes(text)
-    whole = f"{int(first.sums[-1]):08x}{int(Prefixes(text, BASE2, P2).sums[-1]):08x}{first.n:08x}"
+def sketch(text: str) -> tuple[str, np.ndarray, tuple[Prefixes, Prefixes]]:
+    """Fingerprint of a text, the numbers of its sketch, and its prefix arrays under both primes; an empty class of the
+    sketch holds 65536 and shows as `----`."""
+    first, second = Prefixes(text), Prefixes(text, BASE2, P2)
+    whole = f"{int(first.sums[-1]):08x}{int(second.sums[-1]):08x}{first.n:08x}"
     slots = np.full(BINS, 65536, "uint64")
     if first.n:
         mixed = first.spans(min(SPAN, first.n)) * np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +85,7 @@ def sketch(text: str) -> tuple[str, np.ndarray]:
         np.minimum.at(least, (mixed & np.uint64(BINS - 1)).astype("int64"), mixed >> np.uint64(6))
         held = least != np.iinfo("uint64").max
         slots[held] = least[held] & np.uint64(65535)
-    return whole + "".join("----" if s == 65536 else f"{s:04x}" for s in slots.tolist()), slots
+    return whole + "".join("----" if s == 65536 else f"{s:04x}" for s in slots.tolist()), slots, (first, second)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -90,19 +94,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b)[held].mean()) if held.any() else 1.0
 
 
-def _row(key, text: str, own: tuple[str, np.ndarray], after: str, next_own: tuple[str, np.ndarray]) -> tuple:
+def common_start(a: tuple[Prefixes, Prefixes], b: tuple[Prefixes, Prefixes]) -> int:
+    """How many code points two texts have in common from their starts on; both primes must agree."""
+    return min(common_extension(x, 0, y, 0) for x, y in zip(a, b, strict=True))
+
+
+def _row(key, text: str, own: tuple, after: str, next_own: tuple) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     changed = sketch(edited)
-    return key, len(text), hashlib.sha256(edited.encode()).hexdigest(), own[0], changed[0], likeness(own[1], changed[1]), likeness(own[1], next_own[1])
+    near = (likeness(own[1], x[1]) for x in (changed, next_own))
+    return key, len(text), hashlib.sha256(edited.encode()).hexdigest(), own[0], changed[0], *near, common_start(own[2], changed[2]), common_start(own[2], next_own[2])
 
 
-_COLUMNS = ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_KINDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited", "common_next"]
+_KINDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 
 def edited_neighbours(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of df with the fingerprints of its text and of its edited text.
+    """One row per row of df with the fingerprints of its text and of its edited text, their likeness (near_) to each
+    other and to the next text's, and how many code points the texts have in common from their starts on (common_).
 
     The edited text has its last half (rounded down) replaced by as many first code points of the next text, in order of
     id and text, the first text after the last. Null texts are empty. Rows are sorted into ranges of ids; within a range
@@ -125,8 +136,9 @@ def edited_neighbours(df: DataFrame, text_col: str = "text", id_col: str = "doc_
                 held = now
             yield pd.DataFrame(rows, columns=[*_COLUMNS, "edge", "t"])
         if held:
-            edges = [(first[0], *[None] * 6, 1, first[1]), (held[0], *[None] * 6, 2, held[1])]
-            yield pd.DataFrame(edges, columns=[*_COLUMNS, "edge", "t"]).astype({"n_chars": "Int64"})
+            none = [None] * (len(_COLUMNS) - 1)
+            edges = [(first[0], *none, 1, first[1]), (held[0], *none, 2, held[1])]
+            yield pd.DataFrame(edges, columns=[*_COLUMNS, "edge", "t"]).astype(dict.fromkeys(("n_chars", "common_edited", "common_next"), "Int64"))
 
     source = df.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ranges = source.repartitionByRange("k").sortWithinPartitions("k", "t")
@@ -147,6 +159,6 @@ def edited_neighbours(df: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, its edited text's, and their likeness."""
+    """Every document's fingerprint, its edited text's, their likeness and common starts."""
     text_batches(spark)
     return edited_neighbours(table(spark, sf_dir, "documents"))

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -346,6 +347,24 @@ def test_html_edges(spark):
     assert sorted((str(r["page_id"]), r["text"][:40]) for r in got) == [("1", ""), ("2", ""), ("3", ""), ("3", "Only a few words"), ("4", "cut off in the mid &am"), ("5", ("deep" + "x " * 18)), ("None", "")]
 
 
+def plain_sketch(t: str) -> tuple[str, list[int]]:
+    """A fingerprint and its sketch by whole numbers of Python, each span hashed from its own code points."""
+    hashed = lambda x, base, p: sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(x)) % p
+    size, mask, least = min(fingerprints.SPAN, len(t)), (1 << 64) - 1, {}
+    for i in range(len(t) - size + 1 if t else 0):
+        x = hashed(t[i : i + size], fingerprints.BASE1, fingerprints.P1) * 0x9E3779B97F4A7C15 & mask
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+        least[x % fingerprints.BINS] = min(least.get(x % fingerprints.BINS, mask), x >> 6)
+    slots = [least[i] & 65535 if i in least else 65536 for i in range(fingerprints.BINS)]
+    whole = f"{hashed(t, fingerprints.BASE1, fingerprints.P1):08x}{hashed(t, fingerprints.BASE2, fingerprints.P2):08x}{len(t):08x}"
+    return whole + "".join("----" if s == 65536 else f"{s:04x}" for s in slots), slots
+
+
+def plain_likeness(a: list[int], b: list[int]) -> float:
+    held = [x == y for x, y in zip(a, b, strict=True) if (x, y) != (65536, 65536)]
+    return sum(held) / len(held) if held else 1.0
+
+
 def test_fingerprints_brute_force(spark, odd_docs, no_docs):
     for source in (odd_docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
         rows = sorted(((r[0], r[1] or "") for r in source.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -354,8 +373,9 @@ def test_fingerprints_brute_force(spark, odd_docs, no_docs):
             after = rows[(i + 1) % len(rows)][1]
             half = len(own) // 2
             edited = own[: len(own) - half] + after[:half]
-            a, b, c = (fingerprints.sketch(x) for x in (own, edited, after))
-            want.append((str(key), len(own), hashlib.sha256(edited.encode()).hexdigest(), a[0], b[0], fingerprints.likeness(a[1], b[1]), fingerprints.likeness(a[1], c[1])))
+            (a, sa), (b, sb), (_, sc) = (plain_sketch(x) for x in (own, edited, after))
+            common = (len(os.path.commonprefix([own, x])) for x in (edited, after))
+            want.append((str(key), len(own), hashlib.sha256(edited.encode()).hexdigest(), a, b, plain_likeness(sa, sb), plain_likeness(sa, sc), *common))
         got = [tuple(r) for r in fingerprints.edited_neighbours(source).collect()]
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert fingerprints.edited_neighbours(no_docs).count() == 0
