@@ -137,7 +137,7 @@ def relative_corruption_error(scores: DataFrame, reference: DataFrame) -> DataFr
 
     scores: type, level, accuracy; reference: type, level, error.
     """
-    both = scores.join(F.broadcast(reference), ["type", "level"])  # a fixed table of corruption types and levels
+    both = scores.join(reference, ["type", "level"])
     per = both.groupBy("type").agg((F.avg(1 - F.col("accuracy")) / F.avg("error")).alias("ce"))
     return per.agg(F.avg("ce").alias("mce"))
 
