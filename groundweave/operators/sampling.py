@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundweave.sources.shared import written
+from groundweave.sources.shared import discard, written
 
 MODULUS = 4294967296
 
@@ -25,24 +25,30 @@ def uniform(key: Column, seed: Column | int = 0) -> Column:
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rn", start: int = 0) -> DataFrame:
     """df with consecutive numbers in one order, without gathering it: ranges are sorted apart, and each range starts
-    where the ranges before it end. order should have no ties; tied rows may swap."""
+    where the ranges before it end. order should have no ties; tied rows may swap. The result reads a written table, which
+    discard(result) removes."""
     ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # a row for each partition
-    before, seen = {}, start
-    for part in sorted(counts):
-        before[part], seen = seen, seen + counts[part]
-    base = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else F.create_map(F.lit(0), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn(name, (inside + F.element_at(base, F.col("_part"))).cast("long")).drop("_part")
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    base = ranged.groupBy("_part").count().select(F.col("_part").alias("_at"), (F.coalesce(before, F.lit(0)) + F.lit(start - 1)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    met = ranged.join(base, F.col("_part") == F.col("_at"))
+    out = met.withColumn(name, (F.col("_base") + inside).cast("long")).drop("_part", "_at", "_base")
+    out.written_to = vars(ranged).pop("written_to")
+    return out
 
 
 def numbered_by(df: DataFrame, by: str | list[str], order: list[Column], name: str = "turn") -> DataFrame:
     """df with the place (from 0) of each row within its group, where a group may be most of the rows: ranges of (by,
-    order) are numbered as a whole and each group's first number is taken off."""
+    order) are numbered as a whole and each group's first number is taken off. discard(result) removes what it reads."""
     keys = [by] if isinstance(by, str) else by
-    all_ = written(numbered(df, [*map(F.col, keys), *order], "_rn"), "numbered")
-    first = all_.groupBy(*keys).agg(F.min("_rn").alias("_first"))
-    return all_.join(first, keys).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_first")
+    places = numbered(df, [*map(F.col, keys), *order], "_rn")
+    all_ = written(places, "numbered")
+    discard(places)
+    first = all_.groupBy(*keys).agg(F.min("_rn").alias("_first")).withColumnsRenamed({c: f"_by_{c}" for c in keys})
+    met = all_.join(first, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in keys)))
+    out = met.select(*df.columns, (F.col("_rn") - F.col("_first")).alias(name))
+    out.written_to = vars(all_).pop("written_to")
+    return out
 
 
 def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -54,14 +60,18 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, C
     base = whole.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_at"), *(F.sum(f"_of_{n}").over(before).alias(f"_of_{n}") for n in sums))
     met = ranged.join(base, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_part") == F.col("_at")))
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return met.select(*df.columns, *((F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) + F.coalesce(f"_of_{n}", F.lit(0))).alias(n) for n in sums))
+    out = met.select(*df.columns, *((F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) + F.coalesce(f"_of_{n}", F.lit(0))).alias(n) for n in sums))
+    out.written_to = vars(ranged).pop("written_to")
+    return out
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], times: Column | int = 1) -> DataFrame:
     """by, p: exact percentiles of each group's values (array, between neighbours in proportion; nulls don't count), a
     row standing for `times` values. Equal values are counted first and their counts added up by ranges, so that no group's values come together."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(times if isinstance(times, Column) else F.lit(times).cast("long")).alias("_n"))
-    placed = written(running(counts, by, [F.col(value)], {"_upto": F.col("_n")}), "counted")
+    sums = running(counts, by, [F.col(value)], {"_upto": F.col("_n")})
+    placed = written(sums, "counted")
+    discard(sums)
     size = placed.groupBy(*by).agg(F.max("_upto").alias("_size")).withColumnsRenamed({c: f"_by_{c}" for c in by})
     met = placed.join(size, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.lit(True)))
     at = [(F.col("_size") - 1) * share for share in shares]
@@ -118,10 +128,17 @@ def mixture_sample(sources: DataFrame, ratios: dict[str, float], n: int, seed: i
         pick = F.when((u >= low / total) & (u < (low + r) / total), name).otherwise(pick)
         low += r
     draws = spark.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u")).select("draw", pick.alias("source"))
-    turn = lambda df, order: written(numbered_by(df, "source", order), "mixture")
+
+    def turn(df: DataFrame, order: list[Column]) -> DataFrame:
+        placed = numbered_by(df, "source", order)
+        out = written(placed, "mixture")
+        discard(placed)
+        return out
+
     d = turn(draws, [F.col("draw")])
     s = turn(sources.where(F.col("source").isin(*ratios)), [hash_key(F.col("id"), seed), F.col("id")])
     met = written(d.join(s, ["source", "turn"], "left"), "mixture")
+    discard(d, s)
     empty = met.where("id is null").agg(F.min("draw").alias("m")).first()["m"]
     return (met if empty is None else met.where(F.col("draw") < empty)).select("draw", "source", "id")
 
@@ -155,7 +172,9 @@ def smoothed_metric(metrics: DataFrame, window: int = 20, chunk: int = 100_000)
     """
     order = [F.col("step"), F.col("value")]
     sums = {"_place": F.lit(1).cast("long"), "_seen": F.col("value").isNotNull().cast("long"), "_total": F.col("value").cast("double")}
-    placed = written(running(metrics.select("metric", "step", "value"), ["metric"], order, sums), "placed")
+    summed = running(metrics.select("metric", "step", "value"), ["metric"], order, sums)
+    placed = written(summed, "placed")
+    discard(summed)
     own = F.floor((F.col("_place") - 1) / chunk)
     again = F.floor((F.col("_place") - 1 + window - 1) / chunk)  # the chunk that needs the value for its first rows
     dealt = placed.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_distinct(F.array(own, again))))
