@@ -8,6 +8,7 @@ from groundweave.llm.html_text import op8_html
 from groundweave.llm.jaccard import op7_jaccard
 from groundweave.llm.langid import op1_langid
 from groundweave.llm.licences import OP10_SQL, op10_licences
+from groundweave.llm.merkle import OP11_SQL, op11_merkle
 from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
 from groundweave.llm.repeats import op4_repeats
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL = {
     "op2_topk": OP2_SQL,
     "op6_chat": OP6_SQL,
     "op10_licences": OP10_SQL,
+    "op11_merkle": OP11_SQL,
 }
