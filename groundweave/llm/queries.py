@@ -13,6 +13,7 @@ from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
 from groundweave.llm.repeats import op4_repeats
 from groundweave.llm.topk import OP2_SQL, op2_topk
+from groundweave.llm.variants import OP12_SQL, op12_variants
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
     "op11_merkle": op11_merkle,
+    "op12_variants": op12_variants,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op6_chat": OP6_SQL,
     "op10_licences": OP10_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_variants": OP12_SQL,
 }
