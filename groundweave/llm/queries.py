@@ -12,6 +12,7 @@ from groundweave.llm.merkle import OP11_SQL, op11_merkle
 from groundweave.llm.packing import op9_packing
 from groundweave.llm.pieces import op5_sentencepiece
 from groundweave.llm.repeats import op4_repeats
+from groundweave.llm.secrets import op13_secrets
 from groundweave.llm.topk import OP2_SQL, op2_topk
 from groundweave.llm.variants import OP12_SQL, op12_variants
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_licences": op10_licences,
     "op11_merkle": op11_merkle,
     "op12_variants": op12_variants,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL = {

@@ -66,5 +66,5 @@ def test_variants_of_documents(spark, tmp_path, odd_docs, no_docs):
     counted = {w: n for w, n in seen.items() if len(w) >= 6 and n >= 5}
     assert len(counted) > len(stock) - 3
     assert rows(variants.op12_variants(spark, str(tmp_path))) == brute(counted)
-    assert variants.variant_groups(variants.word_counts(odd_docs)).count() > 0
+    assert variants.variant_groups(variants.word_counts(odd_docs, shortest=3)).count() > 0
     assert variants.variant_groups(variants.word_counts(no_docs)).count() == 0
