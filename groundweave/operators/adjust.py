@@ -181,37 +181,92 @@ def moved(m: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q if m.shape == (2, 3) else q[:, :2] / (q[:, 2:] + 1e-7)
 
 
+def _draws(n: int, need: int, rounds: int, seed: int) -> np.ndarray:
+    """(rounds, need) different numbers under n in each row, all such choices alike."""
+    rng = np.random.default_rng(seed)
+    picks = np.zeros((rounds, 0), "int64")
+    for k in range(need):
+        at = rng.integers(0, n - k, rounds)
+        for p in np.sort(picks, axis=1).T:  # skip those that are taken, the least first
+            at += at >= p
+        picks = np.column_stack([picks, at])
+    return picks
+
+
+def _models_of(src: np.ndarray, dst: np.ndarray, kind: str) -> np.ndarray:
+    """(rounds, 3, 3) models of minimal samples (rounds, need, 2); NaN where a sample fixes none."""
+    ones = np.ones((*src.shape[:2], 1))
+    out = np.full((len(src), 3, 3), np.nan)
+    if kind == "A":
+        a = np.concatenate([src, ones], axis=2)
+        ok = np.abs(np.linalg.det(a)) > 1e-9
+        out[ok, :2] = np.swapaxes(np.linalg.solve(a[ok], dst[ok]), 1, 2)
+    elif kind == "R":
+        a, b = src.mean(1, keepdims=True), dst.mean(1, keepdims=True)
+        u, _, vt = np.linalg.svd(np.swapaxes(src - a, 1, 2) @ (dst - b))
+        turn = np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)
+        flip = np.ones((len(src), 2))
+        flip[:, 1] = np.sign(np.linalg.det(turn))
+        r = np.swapaxes(vt, 1, 2) * flip[:, None, :] @ np.swapaxes(u, 1, 2)
+        out[:, :2, :2], out[:, :2, 2] = r, b[:, 0] - np.einsum("nij,nj->ni", r, a[:, 0])
+    else:
+        p, none = np.concatenate([src, ones], axis=2), np.zeros((*src.shape[:2], 3))
+        rows = [np.concatenate([p, none, -dst[..., :1] * p], axis=2), np.concatenate([none, p, -dst[..., 1:] * p], axis=2)]
+        h = np.linalg.svd(np.concatenate(rows, axis=1))[2][:, -1].reshape(-1, 3, 3)
+        size = h[:, 2:, 2:]
+        return h / np.where(np.abs(size) > 1e-12, size, 1)
+    out[:, 2] = 0, 0, 1
+    return out
+
+
+#: Hypothesis by point distances that are held at once.
+HELD = 4_000_000
+
+
 def ransac(src: np.ndarray, dst: np.ndarray, kind: str = "H", thr: float = 1.0, rounds: int = 1000, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
-    """The model with most points within thr, refitted on them, and which they are. None if there are too few points."""
+    """The model with most points within thr, refitted on them, and which they are. None if there are too few points.
+    All hypotheses are drawn and fitted at once and scored in strips."""
     fit, need = {"H": (fit_homography, 4), "A": (fit_affine, 3), "R": (fit_rigid, 3)}[kind]
     best = np.zeros(len(src), bool)
     if len(src) < need:
         return None, best
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        some = rng.choice(len(src), need, replace=False)
-        model = fit(src[some], dst[some])
-        ok = np.linalg.norm(moved(model, src) - dst, axis=1) <= thr
-        if ok.sum() > best.sum():
-            best = ok
-            if ok.all():
-                break
+    draws = _draws(len(src), need, rounds, seed)
+    models = _models_of(src[draws], dst[draws], kind)
+    points = np.column_stack([src, np.ones(len(src))]).T
+    strip = max(1, HELD // len(src))
+    for at in range(0, rounds, strip):
+        q = models[at : at + strip] @ points
+        with np.errstate(all="ignore"):
+            ok = np.hypot(*(q[:, k] / (q[:, 2] + (1e-7 if kind == "H" else 0)) - dst[:, k] for k in (0, 1))) <= thr
+        most = int(ok.sum(axis=1).argmax())
+        if ok[most].sum() > best.sum():
+            best = ok[most]
+        if best.all():
+            break
     if best.sum() < need:
         return None, best
     return fit(src[best], dst[best]), best
 
 
+def _seed(key: tuple) -> int:
+    return 0 if pd.isna(key[0]) else abs(int(key[0]))
+
+
+def _key(key: tuple) -> pd.Series:
+    return pd.Series([None if pd.isna(key[0]) else int(key[0])], dtype="Int64")
+
+
 def ransac_transform(matches: DataFrame, kind: str = "H", thr: float = 1.0, rounds: int = 200) -> DataFrame:
     """pair_id, m (6 or 9 numbers; null with too few points), n, n_inliers of rows (pair_id, ya, xa, yb, xb), (row, col).
 
     A pair's matches come together in one task: they are the points of two images, bounded by their tiles. The draws
-    are seeded by the pair.
+    are seeded by the pair. Rows without a pair_id are a pair of their own, with a null pair_id; those without a place don't count.
     """
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ya", "xa", "yb", "xb"])
-        model, ok = ransac(rows[["ya", "xa"]].to_numpy(float), rows[["yb", "xb"]].to_numpy(float), kind, thr, rounds, abs(int(key[0])))
-        return pd.DataFrame({"pair_id": [key[0]], "m": [None if model is None else model.ravel().tolist()], "n": [len(rows)], "n_inliers": [int(ok.sum())]})
+        rows = rows.dropna(subset=["ya", "xa", "yb", "xb"]).sort_values(["ya", "xa", "yb", "xb"])
+        model, ok = ransac(rows[["ya", "xa"]].to_numpy(float), rows[["yb", "xb"]].to_numpy(float), kind, thr, rounds, _seed(key))
+        return pd.DataFrame({"pair_id": _key(key), "m": [None if model is None else model.ravel().tolist()], "n": [len(rows)], "n_inliers": [int(ok.sum())]})
 
     return matches.groupBy("pair_id").applyInPandas(fit, "pair_id long, m array<double>, n long, n_inliers long")
 
@@ -220,7 +275,8 @@ def merge_window_affines(windows: DataFrame, thr: float = 20.0, grid: int = 4, s
     """pair_id, m: one affine of each pair from its windows (pair_id, window_id, h, m, score).
 
     A grid x grid of cell centres of each window goes back by the inverse homography, and forward again after the
-    window's affine; the inliers of a robust fit at thr are fitted with weights score / mean score.
+    window's affine; the inliers of a robust fit at thr are fitted with weights score / mean score. Windows without a
+    pair_id are a pair of their own.
     """
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -235,8 +291,8 @@ def merge_window_affines(windows: DataFrame, thr: float = 20.0, grid: int = 4, s
             dst.append(moved(back, moved(np.reshape(m, (2, 3)), points)))
             weight.append(np.full(len(points), score / mean))
         src, dst, weight = np.concatenate(src), np.concatenate(dst), np.concatenate(weight)
-        _, ok = ransac(src, dst, "A", thr, rounds, abs(int(key[0])))
+        _, ok = ransac(src, dst, "A", thr, rounds, _seed(key))
         m = fit_affine(src[ok], dst[ok], np.maximum(weight[ok], 0) + 1e-10) if ok.sum() >= 3 else np.array([[1.0, 0, 0], [0, 1, 0]])
-        return pd.DataFrame({"pair_id": [key[0]], "m": [m.ravel().tolist()]})
+        return pd.DataFrame({"pair_id": _key(key), "m": [m.ravel().tolist()]})
 
     return windows.groupBy("pair_id").applyInPandas(merge, "pair_id long, m array<double>")

@@ -24,17 +24,32 @@ def dem_nearest(points: DataFrame, dem: DataFrame) -> DataFrame:
     return at.join(dem.select("grid_id", "r", "c", F.col("v").alias("height")), ["grid_id", "r", "c"], "left").select(*points.columns, "height")
 
 
-def dem_bilinear(points: DataFrame, dem: DataFrame, rows: int, cols: int) -> DataFrame:
-    """points with the height between their four neighbours; outside a grid of rows x cols the edge value is repeated.
+def grid_sizes(cells: DataFrame, key: str = "grid_id") -> DataFrame:
+    """key, rows, cols of each grid, from its cells with the greatest row and column."""
+    return cells.groupBy(key).agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
 
-    A missing neighbour makes the height null.
+
+def dem_bilinear(points: DataFrame, dem: DataFrame) -> DataFrame:
+    """points with the height between their four neighbours; outside a grid, whose size is that of its cells, the edge value is repeated.
+
+    A missing neighbour of any weight makes the height null, as does a grid without cells, a null id or a null place. Each row of points
+    stays, repeated ones too: the four cells are fetched once for each distinct corner, and points meet them by the corner.
     """
-    r0, c0 = F.floor("line"), F.floor("samp")
-    corner = lambda dr, dc: F.struct(F.least(F.greatest(r0 + dr, F.lit(0)), F.lit(rows - 1)).alias("r"), F.least(F.greatest(c0 + dc, F.lit(0)), F.lit(cols - 1)).alias("c"), (F.when(F.lit(dr == 1), F.col("line") - r0).otherwise(r0 + 1 - F.col("line")) * F.when(F.lit(dc == 1), F.col("samp") - c0).otherwise(c0 + 1 - F.col("samp"))).alias("weight"))
-    four = points.withColumn("_n", F.explode(F.array(*(corner(a, b) for a in (0, 1) for b in (0, 1))))).select(*points.columns, "_n.r", "_n.c", "_n.weight")
-    met = four.join(dem.select("grid_id", "r", "c", _clean().alias("v")), ["grid_id", "r", "c"], "left")
-    whole = F.count(F.when(F.col("v").isNotNull() | (F.col("weight") == 0), 1)) == 4
-    return met.groupBy(*points.columns).agg(F.when(whole, F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * F.col("weight"))).alias("height"))
+    sizes = grid_sizes(dem.where("grid_id is not null")).select(F.col("grid_id").alias("_g"), F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
+    inside = lambda v, n: F.least(F.greatest(F.col(v).cast("double"), F.lit(0.0)), (F.col(n) - 1).cast("double"))
+    at = points.join(sizes, F.col("grid_id") == F.col("_g"), "left").withColumns({"_y": inside("line", "_rows"), "_x": inside("samp", "_cols")})
+    at = at.withColumns({"_r": F.when(F.col("line").isNotNull(), F.floor("_y")), "_c": F.when(F.col("samp").isNotNull(), F.floor("_x"))})
+    near = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("_r") + k // 2).alias("r"), (F.col("_c") + k % 2).alias("c")) for k in range(4))))
+    corners = at.where("_g is not null and _r is not null and _c is not null").select("_g", "_r", "_c").distinct()
+    four = corners.withColumn("_n", near).select("_g", "_r", "_c", "_n.k", F.col("_n.r").alias("r"), F.col("_n.c").alias("c"))
+    met = four.join(dem.select(F.col("grid_id").alias("_g"), "r", "c", _clean().cast("double").alias("v")), ["_g", "r", "c"])
+    values = met.groupBy("_g", "_r", "_c").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_v{k}") for k in range(4)))
+    values = values.select(*(F.col(f"{c}").alias(f"{c}at") for c in ("_g", "_r", "_c")), *(f"_v{k}" for k in range(4)))
+    back = at.join(values, (F.col("_g") == F.col("_gat")) & (F.col("_r") == F.col("_rat")) & (F.col("_c") == F.col("_cat")), "left")
+    fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
+    weights = ((1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx)
+    part = lambda k, w: F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(f"_v{k}"))
+    return back.select(*(F.col(f"`{c}`") for c in points.columns), reduce(lambda x, y: x + y, (part(k, w) for k, w in enumerate(weights))).alias("height"))
 
 
 def block_nanmedian(cells: DataFrame, a: int, fill: float | str = -1) -> DataFrame:
@@ -63,7 +78,7 @@ def block_center_sample(cells: DataFrame, k: int) -> DataFrame:
 
 def percentile_stretch(cells: DataFrame, lo: float = 2.0, hi: float = 98.0) -> DataFrame:
     """cells with level 0..255: between the percentiles of valid cells (or least and greatest, if those are equal),
-    truncated; missing cells 0. Grids of one value alone are dropped."""
+    truncated; missing cells 0. Grids of one value alone are dropped, as are those without a value."""
     v = _clean()
     at = percentiles(cells.select("grid_id", v.alias("_v")), ["grid_id"], "_v", [lo / 100, hi / 100])
     stats = cells.groupBy("grid_id").agg(F.min(v).alias("a"), F.max(v).alias("b")).join(at, "grid_id")
@@ -92,14 +107,18 @@ def point_parallax(matches: DataFrame, w: int, h: int) -> DataFrame:
     return in_bounds_points(points, w, h).groupBy("group_id", "img", "py", "px").agg(F.percentile("d", 0.5).cast("float").alias("v"))
 
 
-def confident_matches(matches: DataFrame, conf: DataFrame, rows: int, cols: int, thr: float = 0.5, min_matches: int = 4, scale: float = 3000 / 3456) -> DataFrame:
-    """Matches confident on both sides (conf over thr at the clipped, truncated cell), scaled; groups under min_matches go.
+def confident_matches(matches: DataFrame, conf: DataFrame, thr: float = 0.5, min_matches: int = 4, scale: float = 3000 / 3456) -> DataFrame:
+    """Matches confident on both sides (conf over thr at the truncated cell, places outside taken to the edge), scaled; groups under min_matches go.
 
-    conf: img, r, c, conf.
+    conf: img, r, c, conf; an image is as large as its cells say. Matches of images without cells go.
     """
-    cell = lambda v, n: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(n - 1))).cast("long")
+    sizes = grid_sizes(conf, "img")
+    cell = lambda v, n: F.least(F.greatest(F.col(v), F.lit(0.0)), (F.col(n) - 1).cast("double")).cast("long")
     side = lambda s: conf.where(F.col("conf") > thr).select(F.col("img").alias(f"img_{s}"), F.col("r").alias(f"r{s}"), F.col("c").alias(f"c{s}"))
-    at = matches.withColumns({f"{k}{s}": cell(F.col(f"{v}{s}"), n) for s in "ab" for k, v, n in (("r", "y", rows), ("c", "x", cols))})
+    at = matches
+    for s in "ab":
+        own = sizes.select(F.col("img").alias(f"img_{s}"), F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
+        at = at.join(own, f"img_{s}").withColumns({f"r{s}": cell(f"y{s}", "_rows"), f"c{s}": cell(f"x{s}", "_cols")}).drop("_rows", "_cols")
     kept = at.join(side("a"), ["img_a", "ra", "ca"], "left_semi").join(side("b"), ["img_b", "rb", "cb"], "left_semi")
     enough = kept.groupBy("group_id", "img_a", "img_b").count().where(F.col("count") >= min_matches).drop("count")
     return kept.join(enough, ["group_id", "img_a", "img_b"], "left_semi").select("group_id", "img_a", "img_b", *((F.col(x) * scale).alias(x) for x in ("xa", "ya", "xb", "yb")))
@@ -190,8 +209,9 @@ def group_integrity(groups: DataFrame, images: DataFrame, parallax: DataFrame, m
     per = images.groupBy("group_id").agg(F.count("*").alias("n"), F.min("img").alias("first"), F.max("img").alias("last"), F.countDistinct("h", "w").alias("shapes"))
     found = [keys, both.where("ia <> ib").select("group_id", F.lit("shapes differ").alias("violation")), per.where("shapes > 1").select("group_id", F.lit("shapes differ").alias("violation"))]
     found += [per.where(F.col("n") < min_cover).select("group_id", F.lit("too few images").alias("violation")), per.where("first <> 0 OR last <> n - 1").select("group_id", F.lit("keys not consecutive").alias("violation"))]
-    span = groups.agg(F.min("group_id").alias("a"), F.max("group_id").alias("b")).where("a is not null")
-    gaps = span.select(F.explode(F.sequence("a", "b")).alias("group_id")).join(groups, "group_id", "left_anti").select("group_id", F.lit("missing group").alias("violation"))
+    span = groups.agg(F.min("group_id").alias("a"), F.max("group_id").alias("b")).first()
+    ids = groups.sparkSession.range(span["a"], span["b"] + 1) if span["a"] is not None else groups.sparkSession.range(0)
+    gaps = ids.select(F.col("id").cast(groups.schema["group_id"].dataType).alias("group_id")).join(groups, "group_id", "left_anti").select("group_id", F.lit("missing group").alias("violation"))
     out = gaps
     for f in found:
         out = out.unionByName(f)

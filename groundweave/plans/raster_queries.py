@@ -23,12 +23,12 @@ def dem_nearest(t):
 
 
 @R.query(f"""WITH k AS (SELECT tie_id, img, line, samp, CAST(floor(line) AS BIGINT) AS r0, CAST(floor(samp) AS BIGINT) AS c0 FROM {_POINTS}),
-  n AS (SELECT k.*, LEAST(GREATEST(r0+dr, 0), 3) AS r, LEAST(GREATEST(c0+dc, 0), 49) AS c, (CASE WHEN dr=1 THEN line-r0 ELSE r0+1-line END)*(CASE WHEN dc=1 THEN samp-c0 ELSE c0+1-samp END) AS weight
-    FROM k CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) o(dr, dc))
+  n AS (SELECT k.*, LEAST(GREATEST(r0+dr, 0), last_r) AS r, LEAST(GREATEST(c0+dc, 0), last_c) AS c, (CASE WHEN dr=1 THEN line-r0 ELSE r0+1-line END)*(CASE WHEN dc=1 THEN samp-c0 ELSE c0+1-samp END) AS weight
+    FROM k CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) o(dr, dc) CROSS JOIN (SELECT MAX(r) AS last_r, MAX(c) AS last_c FROM cells_fx) e)
   SELECT n.tie_id, n.img, CASE WHEN COUNT(CASE WHEN v IS NOT NULL OR weight = 0 THEN 1 END) = 4 THEN ROUND(SUM(COALESCE(v, 0)*weight), 3) END AS height
   FROM n LEFT JOIN cells_fx d ON d.r = n.r AND d.c = n.c GROUP BY n.tie_id, n.img, line, samp""")
 def dem_bilinear(t):
-    return rounded(O.dem_bilinear(_points(t), t("cells_fx"), 4, 50).select("tie_id", "img", "height"), 3)
+    return rounded(O.dem_bilinear(_points(t), t("cells_fx")).select("tie_id", "img", "height"), 3)
 
 
 @R.query("SELECT grid_id, CAST(floor(r/4) AS BIGINT) AS br, CAST(floor(c/4) AS BIGINT) AS bc, ROUND(COALESCE(quantile_cont(v, 0.5), -1), 6) AS v FROM cells_fx GROUP BY 1, 2, 3")
@@ -72,12 +72,13 @@ def point_parallax(t):
     return O.point_parallax(t("matches_fx"), 25, 25).withColumn("v", F.round(F.col("v").cast("double"), 5))
 
 
-@R.query("""WITH k AS (SELECT c % 4 AS img, r, c, conf FROM cells_fx WHERE r < 4),
-  m AS (SELECT *, CAST(trunc(LEAST(GREATEST(ya, 0), 3)) AS BIGINT) AS ra, CAST(trunc(LEAST(GREATEST(xa, 0), 49)) AS BIGINT) AS ca, CAST(trunc(LEAST(GREATEST(yb, 0), 3)) AS BIGINT) AS rb, CAST(trunc(LEAST(GREATEST(xb, 0), 49)) AS BIGINT) AS cb FROM matches_fx),
+@R.query("""WITH k AS (SELECT c % 4 AS img, r, c, conf FROM cells_fx), e AS (SELECT img, MAX(r) AS r, MAX(c) AS c FROM k GROUP BY img),
+  m AS (SELECT f.*, CAST(trunc(LEAST(GREATEST(ya, 0), a.r)) AS BIGINT) AS ra, CAST(trunc(LEAST(GREATEST(xa, 0), a.c)) AS BIGINT) AS ca, CAST(trunc(LEAST(GREATEST(yb, 0), b.r)) AS BIGINT) AS rb, CAST(trunc(LEAST(GREATEST(xb, 0), b.c)) AS BIGINT) AS cb
+    FROM matches_fx f JOIN e a ON a.img = img_a JOIN e b ON b.img = img_b),
   s AS (SELECT m.*, COUNT(*) OVER (PARTITION BY group_id, img_a, img_b) AS n FROM m JOIN k a ON a.img = img_a AND a.r = ra AND a.c = ca AND a.conf > 0.5 JOIN k b ON b.img = img_b AND b.r = rb AND b.c = cb AND b.conf > 0.5)
   SELECT group_id, img_a, img_b, ROUND(xa*2, 6) AS xa, ROUND(ya*2, 6) AS ya, ROUND(xb*2, 6) AS xb, ROUND(yb*2, 6) AS yb FROM s WHERE n >= 4""")
 def confident_matches(t):
-    return rounded(O.confident_matches(t("matches_fx"), t("cells_fx").where("r < 4").select((F.col("c") % 4).alias("img"), "r", "c", "conf"), 4, 50, scale=2.0))
+    return rounded(O.confident_matches(t("matches_fx"), t("cells_fx").select((F.col("c") % 4).alias("img"), "r", "c", "conf"), scale=2.0))
 
 
 @R.query("""WITH s AS (SELECT r % 5 AS id, c % 5 AS rank, AVG(CASE WHEN COALESCE(v, -1)/60 < 3 THEN 1.0 ELSE 0.0 END) AS g, AVG(CASE WHEN COALESCE(v, -1)/60 > 5 THEN 1.0 ELSE 0.0 END) AS b FROM cells_fx GROUP BY 1, 2)
