@@ -80,9 +80,16 @@ def similarities(a: DataFrame, b: DataFrame, candidates: DataFrame) -> DataFrame
     return candidates.join(a.select(F.col("id").alias("i"), F.col("v").alias("va")), "i").join(b.select(F.col("id").alias("j"), F.col("v").alias("vb")), "j").select("i", "j", dot.alias("sim"))
 
 
-def mutual_nn_match(a: DataFrame, b: DataFrame, candidates: DataFrame, temperature: float = 0.1, threshold: float = 0.2) -> DataFrame:
-    """i, j, score of pairs that are each other's best among the candidates (i, j); the score is the softmax over i's
-    candidates times that over j's, and must be over threshold. Ties go to the smaller id."""
+def mutual_nn_match(a: DataFrame, b: DataFrame, candidates: DataFrame | None = None, temperature: float = 0.1, threshold: float = 0.2, block: int = 4096) -> DataFrame:
+    """i, j, score of pairs that are each other's best among the candidates (i, j), or among all pairs of a and b; the score is the
+    softmax over i's candidates times that over j's, and must be over threshold. Ties go to the smaller id.
+
+    Without candidates no table of pairs is made: blocks of a meet blocks of b, and of each block a row and a column
+    keep their best and their sum of exponentials about it, which add up over blocks (see _mutual_of_all). Rows without
+    an id or a vector match nothing.
+    """
+    if candidates is None:
+        return _mutual_of_all(a, b, temperature, threshold, block)
     sims = similarities(a, b, candidates)
     soft = lambda by: F.exp((F.col("sim") - F.max("sim").over(Window.partitionBy(by))) / temperature)
     both = sims.withColumns({"ei": soft("i"), "ej": soft("j")})
@@ -91,6 +98,57 @@ def mutual_nn_match(a: DataFrame, b: DataFrame, candidates: DataFrame, temperatu
     return share.withColumns({"ri": first("i", "j"), "rj": first("j", "i")}).where((F.col("ri") == 1) & (F.col("rj") == 1) & (F.col("score") > threshold)).select("i", "j", "score")
 
 
+#: Similarities are compared to so many places, as equal vectors' differ in the last bits with their place in a block.
+PLACES = 12
+
+
+def _mutual_of_all(a: DataFrame, b: DataFrame, temperature: float, threshold: float, block: int) -> DataFrame:
+    """Of i's row of similarities with maximum M, softmax at the maximum is 1 / sum(exp((sim - M) / temperature)). A part of the row
+    gives (its maximum m, the least id there, its sum s about m); parts add up as s * exp((m - M) / temperature). Columns alike.
+    A pair that is best both ways has the score 1 / (i's sum * j's sum), so only the two tables of best partners are joined."""
+    a, b = (d.select("id", "v").where("id is not null and v is not null") for d in (a, b))
+    na, nb = _blocks(a, block), _blocks(b, block)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.select("id", "v", deal(na).alias("a"), spread(nb).alias("b"))
+    right = b.select("id", "v", spread(na).alias("a"), deal(nb).alias("b"))
+
+    def parts(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame([], columns=["side", "id", "best", "other", "total"])
+        x, y = x.sort_values("id"), y.sort_values("id")
+        ids, others, against = x["id"].to_numpy(), y["id"].to_numpy(), np.stack(y["v"].to_numpy()).T
+        best, other, total = np.full(len(y), -np.inf), np.zeros(len(y), ids.dtype), np.zeros(len(y))
+        out = []
+        for at in range(0, len(x), STRIP):
+            sims = np.round(np.stack(x["v"].iloc[at : at + STRIP].to_numpy()) @ against, PLACES)
+            own = ids[at : at + STRIP]
+            top = sims.argmax(axis=1)  # the first of equals has the least id
+            most = sims[np.arange(len(own)), top]
+            out.append(pd.DataFrame({"side": 0, "id": own, "best": most, "other": others[top], "total": np.exp((sims - most[:, None]) / temperature).sum(axis=1)}))
+            top = sims.argmax(axis=0)
+            most = sims[top, np.arange(len(others))]
+            up = np.maximum(best, most)
+            other = np.where(most > best, own[top], other)
+            total = total * np.exp((best - up) / temperature) + np.exp((sims - up) / temperature).sum(axis=0)
+            best = up
+        out.append(pd.DataFrame({"side": 1, "id": others, "best": best, "other": other, "total": total}))
+        return pd.concat(out)
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(parts, "side int, id long, best double, other long, total double")
+    held = found.groupBy("side", "id").agg(F.sort_array(F.collect_list(F.struct("best", "other", "total"))).alias("p"))  # one for each block
+    top = F.array_max(F.transform("p", lambda p: p["best"]))
+    merged = held.withColumn("_m", top).select(
+        "side", "id",
+        F.array_min(F.transform(F.filter("p", lambda p: p["best"] == F.col("_m")), lambda p: p["other"])).alias("other"),
+        F.aggregate("p", F.lit(0.0), lambda s, p: s + p["total"] * F.exp((p["best"] - F.col("_m")) / temperature)).alias("total"),
+    )
+    table = written(merged, "best-partners")
+    ours = table.where("side = 0").select(F.col("id").alias("i"), F.col("other").alias("j"), F.col("total").alias("_i"))
+    theirs = table.where("side = 1").select(F.col("id").alias("j"), F.col("other").alias("i"), F.col("total").alias("_j"))
+    return ours.join(theirs, ["i", "j"]).select("i", "j", (1 / (F.col("_i") * F.col("_j"))).alias("score")).where(F.col("score") > threshold)
+
+
 def best_match_confident(a: DataFrame, b: DataFrame, thr: float = 0.5) -> DataFrame:
     """q, id, sim: the most similar of b by cosine for points of a (id, v, conf) with conf over thr, or over 0 if none is."""
     any_ = a.where(F.col("conf") > thr).limit(1).count() > 0
@@ -98,11 +156,58 @@ def best_match_confident(a: DataFrame, b: DataFrame, thr: float = 0.5) -> DataFr
     return knn_join(unit(a.where(F.col("conf") > (thr if any_ else 0.0))), unit(b), 1).select("q", "id", "sim")
 
 
-def embedding_spread(vectors: DataFrame, topk: int = 1, eps: float = 1e-8) -> DataFrame:
-    """spread: mean of -log(distance to the topk nearest other vectors + eps) of unit vectors (id, v)."""
+def knn_in_groups(vectors: DataFrame, k: int, group: str, block: int = 8192) -> DataFrame:
+    """_group, q, rank (from 1), id, sim: each vector's k best others of its own group (id, v, group; null is a group), ties to the smaller id.
+
+    Groups of up to `block` vectors come whole and many to a task; larger ones are dealt into blocks that meet each
+    other, so that no group is one task.
+    """
+    own = vectors.select(F.col(group).alias("_group"), "id", "v").where("id is not null and v is not null")
+    sizes = written(own.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumnRenamed("_group", "_of"), "group-sizes")
+    met = own.join(sizes, F.col("_group").eqNullSafe(F.col("_of"))).drop("_of")
+    work = sizes.agg(F.sum(F.col("_n") * F.col("_blocks"))).first()[0] or 0
+    tasks = max(1, -(-int(work) // block))
+    mine = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    to = F.pmod(F.xxhash64("_group", "a", "b"), F.lit(tasks)).cast("int").alias("_task")
+    q = met.withColumn("a", mine).withColumn("b", every).select("_group", "a", "b", "id", "v", to)
+    t = met.withColumn("b", mine).withColumn("a", every).select("_group", "a", "b", "id", "v", to)
+    t = t.select(*(F.col(c).alias(c) for c in t.columns))  # columns of its own, as both sides come from one table
+
+    def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        units = dict(iter(t.groupby(["_group", "a", "b"], dropna=False, sort=False)))
+        nulls = [u for key, u in units.items() if pd.isna(key[0])]
+        out = []
+        for key, own in q.groupby(["_group", "a", "b"], dropna=False, sort=False):
+            other = units.get(key)
+            if other is None and pd.isna(key[0]):  # null keys don't equal each other
+                other = next((u for u in nulls if (u["a"].iloc[0], u["b"].iloc[0]) == key[1:]), None)
+            if other is None:
+                continue
+            other = other.sort_values("id")
+            ids, asked, right = other["id"].to_numpy(), own["id"].to_numpy(), np.stack(other["v"].to_numpy()).T
+            for at in range(0, len(own), STRIP):
+                rows, columns, sims = best_of(np.stack(own["v"].iloc[at : at + STRIP].to_numpy()) @ right, k + 1)
+                some = asked[at : at + STRIP][rows]
+                out.append(pd.DataFrame({"_group": pd.Series([own["_group"].iloc[0]] * len(some), dtype=own["_group"].dtype), "q": some, "id": ids[columns], "sim": sims}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["_group", "q", "id", "sim"])
+
+    kind = own.schema["_group"].dataType.simpleString()
+    found = q.groupBy("_task").cogroup(t.groupBy("_task")).applyInPandas(best, f"_group {kind}, q long, id long, sim double").where("q <> id")
+    rank = F.row_number().over(Window.partitionBy("_group", "q").orderBy(F.desc("sim"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("_group", "q", "rank", "id", "sim")
+
+
+def embedding_spread(vectors: DataFrame, topk: int = 1, eps: float = 1e-8, group: str | None = None) -> DataFrame:
+    """spread: mean of -log(distance to the topk nearest other vectors + eps) of unit vectors (id, v); with a group column, a row for each group with
+    neighbours taken from the group alone (null for a group of one vector)."""
+    d = F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)))
+    if group:
+        spread = knn_in_groups(vectors, topk, group).groupBy("_group").agg(F.avg(-F.log(d + eps)).alias("spread"))
+        all_ = vectors.where("id is not null and v is not null").groupBy(group).agg(F.count("*").alias("n"))
+        return all_.join(spread, F.col(group).eqNullSafe(F.col("_group")), "left").select(group, "n", "spread")
     found = knn_join(vectors, vectors, topk + 1).where(F.col("id") != F.col("q"))
     near = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("_r") <= topk)
-    d = F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0)))
     return near.agg(F.avg(-F.log(d + eps)).alias("spread"))
 
 

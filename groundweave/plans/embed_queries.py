@@ -37,14 +37,20 @@ def knn_vote(t):
     return rounded(O.knn_vote(labelled, (5, 20)))
 
 
-@R.query(f"""WITH {_E}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+@R.query(f"""WITH {_E}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, ROUND(list_inner_product(a.v, b.v), 12) AS sim FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
   x AS (SELECT *, exp(sim/0.1)/SUM(exp(sim/0.1)) OVER (PARTITION BY i)*exp(sim/0.1)/SUM(exp(sim/0.1)) OVER (PARTITION BY j) AS score, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY sim DESC, i) AS rj FROM s)
-  SELECT i, j, ROUND(score, 6) AS score FROM x WHERE ri = 1 AND rj = 1 AND score > 0.01""")
+  SELECT i, j, ROUND(score, 6) AS score FROM x WHERE ri = 1 AND rj = 1 AND score > 0.0001""")
 def mutual_nn_match(t):
+    """Vectors of even against those of odd id, all of them."""
     v = _vectors(t)
-    a, b = v.where("id % 2 = 0"), v.where("id % 2 = 1")
-    candidates = a.select(F.col("id").alias("i"), "label").join(b.select(F.col("id").alias("j"), "label"), "label").select("i", "j")
-    return rounded(O.mutual_nn_match(a, b, candidates, threshold=0.01))
+    return rounded(O.mutual_nn_match(v.where("id % 2 = 0"), v.where("id % 2 = 1"), threshold=0.0001))
+
+
+@R.query(f"""WITH {_E}, g AS (SELECT *, CASE WHEN label = 3 THEN NULL ELSE label % 4 END AS grp FROM e), s AS (SELECT a.grp, a.vec_id AS q, MAX(list_inner_product(a.v, b.v)) AS sim FROM g a JOIN g b ON a.grp IS NOT DISTINCT FROM b.grp AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+  SELECT grp, COUNT(*) AS n, ROUND(AVG(-ln(sqrt(GREATEST(2 - 2*sim, 0)) + 1e-8)), 4) AS spread FROM s GROUP BY grp""")
+def embedding_spread_groups(t):
+    grouped = _vectors(t).withColumn("grp", F.when(F.col("label") != 3, F.col("label") % 4))
+    return rounded(O.embedding_spread(grouped, group="grp"), 4)
 
 
 @R.query(f"""WITH {_E}, s AS (SELECT a.vec_id AS q, b.vec_id AS id, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id % 2 = 0 AND a.label % 2 = 1 AND b.vec_id % 2 = 1)

@@ -71,3 +71,35 @@ def test_homographies_of_crops_meet_the_corners(spark):
         for quad, h in ((r["quad_a"], r["h_a"]), (r["quad_b"], r["h_b"])):
             there = np.c_[np.reshape(quad, (4, 2)), np.ones(4)] @ np.reshape(h, (3, 3)).T
             assert np.abs(there[:, :2] / there[:, 2:] - target).max() < 1e-5
+
+
+def test_mutual_matches_of_all_pairs_equal_those_of_candidates(spark):
+    """Blocks of 16, so that rows and columns add up over many; equal vectors, null ids and vectors."""
+    from pyspark.sql import functions as F
+
+    v = vectors(spark).limit(300).select("id", "v")
+    a = v.where("id % 3 = 0").unionByName(v.where("id = 1").withColumn("id", F.lit(9000).cast("long")))
+    b = v.where("id % 3 <> 0").unionByName(spark.createDataFrame([(None, [1.0] * 3), (99999, None)], "id long, v array<double>"))
+    every = a.select(F.col("id").alias("i")).crossJoin(b.where("id is not null and v is not null").select(F.col("id").alias("j")))
+    want = {(r["i"], r["j"]): r["score"] for r in embed.mutual_nn_match(a, b, every, threshold=1e-6).collect()}
+    got = {(r["i"], r["j"]): r["score"] for r in embed.mutual_nn_match(a, b, threshold=1e-6, block=16).collect()}
+    assert got.keys() == want.keys() and len(got) > 20 and (9000, 1) in got
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert embed.mutual_nn_match(a.limit(0), b).count() == 0
+
+
+def test_spread_of_groups_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    v = vectors(spark).select("id", "v", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"))
+    more = v.unionByName(v.limit(1).withColumn("g", F.lit(77).cast("long")))
+    rows = more.collect()
+    for block in (8192, 32):
+        found = {(r["_group"], r["q"]): r["sim"] for r in embed.knn_in_groups(more, 1, "g", block).collect()}
+        for g in (0, 1, 2, None):
+            x = {r["id"]: np.array(r["v"]) for r in rows if r["g"] == g}
+            assert {q for k, q in found if k == g} == set(x)
+            for q in list(x)[:20]:
+                assert abs(found[g, q] - max(x[q] @ u for i, u in x.items() if i != q)) < 1e-9
+    got = {r["g"]: r for r in embed.embedding_spread(more, group="g").collect()}
+    assert set(got) == {0, 1, 2, None, 77} and got[77]["spread"] is None and got[77]["n"] == 1
