@@ -11,12 +11,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundweave.functions import cameras as C
 from groundweave.functions import geometry as G
-from groundweave.sources.shared import written
+from groundweave.operators.adjust import graph_components
+from groundweave.operators.raster import dem_bilinear
+from groundweave.operators.sampling import numbered, percentiles
+from groundweave.sources.shared import discard, written
 
 RPC = "struct<" + ",".join([f"{k}:double" for k in C.SCALARS] + [f"{k}:array<double>" for k in (*C.DIRECT, *C.INVERSE, "adj")]) + ">"
 
@@ -102,6 +105,40 @@ def xy_to_sampline(points: DataFrame, scenes: DataFrame) -> DataFrame:
     return rpc_obj2photo(points.withColumns({"lat": lat, "lon": lon}), scenes).drop("lat", "lon")
 
 
+def xy_to_sampline_on_dem(points: DataFrame, scenes: DataFrame, dem: DataFrame, max_iter: int = 20, tol: float = 1.0) -> DataFrame:
+    """points (scene_id, x, y) in Mercator metres with line, samp and height: where the ground of the scene's own grid of heights meets the image.
+
+    scenes: scene_id, rpc, h, w, ring (corners tl, tr, br, bl); dem: grid_id (the scene), r, c, v. The first guess lies between two
+    opposite corners as the point does; then the height there is looked up, the point projected at it, and so on until
+    it moves by no more than tol pixels. Only points that still move go into the next round; those that do so after max_iter rounds keep
+    their last place. Null where the scene has no model or the place no height.
+    """
+    place = numbered(points.select("scene_id", "x", "y").distinct(), [F.col("scene_id").asc_nulls_first(), F.col("x"), F.col("y")], "_n")
+    first, opposite = F.col("ring")[0], F.col("ring")[2]
+    share = lambda k: (F.col(k) - first[k]) / (opposite[k] - first[k])
+    known = scenes.where("rpc is not null").select(F.col("scene_id").alias("_s"), F.col("h").alias("_rows"), F.col("w").alias("_cols"), "ring")
+    start = place.join(known, F.col("scene_id") == F.col("_s")).select("_n", "scene_id", "x", "y", (share("y") * F.col("_rows")).alias("line"), (share("x") * F.col("_cols")).alias("samp"))
+    moving, settled = written(start, "guesses"), []
+    discard(place)
+    models = scenes.select("scene_id", "rpc")
+    lat, lon = G.mercator_inv(F.col("y"), F.col("x"))
+    for turn in range(max_iter):
+        high = dem_bilinear(moving.withColumn("grid_id", F.col("scene_id")), dem).where("height is not null")
+        asked = high.select("_n", "scene_id", "x", "y", F.col("line").alias("_line"), F.col("samp").alias("_samp"), F.col("height").alias("h"), lat.alias("lat"), lon.alias("lon"))
+        moved = F.sqrt(F.pow(F.col("line") - F.col("_line"), 2) + F.pow(F.col("samp") - F.col("_samp"), 2))
+        found = written(rpc_obj2photo(asked, models).where(~F.isnan("line")).select("_n", "scene_id", "x", "y", "line", "samp", F.col("h").alias("height"), (moved > tol).alias("moves")), "guesses")
+        discard(moving)
+        settled.append(found if turn == max_iter - 1 else found.where("not moves"))
+        moving = found.where("moves").select("_n", "scene_id", "x", "y", "line", "samp")
+        if moving.isEmpty():
+            break
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    got = out.select(F.col("scene_id").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"), "line", "samp", "height")
+    return points.join(got, (F.col("scene_id") == F.col("_s")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").drop("_s", "_x", "_y")
+
+
 def scene_corners(scenes: DataFrame) -> DataFrame:
     """scene_id, ring of Mercator x, y: the corners tl, tr, br, bl of scenes (h, w, heights: array of 4, NaN is 0)."""
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), line.cast("double").alias("line"), samp.cast("double").alias("samp"), F.get("heights", F.lit(i)).alias("z")) for i, (line, samp) in enumerate(((F.lit(0), F.lit(0)), (F.lit(0), F.col("w") - 1), (F.col("h") - 1, F.col("w") - 1), (F.col("h") - 1, F.lit(0)))))))
@@ -157,28 +194,60 @@ def pair_point_error(pairs: DataFrame, ties: DataFrame, scenes: DataFrame, unit:
     else:
         ground = [Step(C.Models.to_ground, (f"line_{s}", f"samp_{s}", f"h_{s}"), (f"lat{o}", f"lon{o}"), s) for o, s in enumerate("ij")]
         out = _by_scene(met.withColumn("dh", dh), scenes, *ground).withColumn("e", G.haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1")))
-    return out.groupBy("i", "j").agg(F.avg("e").alias("mean"), F.percentile("e", 0.5).alias("median"), F.max("e").alias("max"), F.count("*").alias("n"), F.avg("dh").alias("dh"))
+    errors = written(out.select("i", "j", "e", "dh"), "pair-errors")
+    medians = percentiles(errors, ["i", "j"], "e", [0.5]).select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("p")[0].alias("median"))
+    sums = errors.groupBy("i", "j").agg(F.avg("e").alias("mean"), F.max("e").alias("max"), F.count("*").alias("n"), F.avg("dh").alias("dh"))
+    return sums.join(medians, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left").select("i", "j", "mean", "median", "max", "n", "dh")
+
+
+def _ranged(df: DataFrame, per_task: int, *order: Column) -> DataFrame:
+    """df written with _b, the number of its range in order, ranges of about per_task rows: what lies together needs the same
+    few models."""
+    held = written(df, "unranged")
+    ranges = max(1, -(-held.count() // per_task))
+    out = written(held.repartitionByRange(ranges, *order).withColumn("_b", F.spark_partition_id()), "ranged")
+    discard(held)
+    return out
+
+
+def _models_of(ranged: DataFrame, scenes: DataFrame, *keys: str) -> DataFrame:
+    """_b, scene_id, rpc: each range with the models of the scenes that it names. A model travels once to a range, a range
+    holds no more of them than it has rows, and no task or driver has all."""
+    named = ranged.select("_b", F.explode(F.array_distinct(F.array(*keys))).alias("scene_id")).distinct()
+    known = scenes.select(F.col("scene_id").alias("_s"), "rpc").where("_s is not null and rpc is not null")
+    return written(named.join(known, F.col("scene_id") == F.col("_s")).select("_b", "scene_id", "rpc"), "models")
+
+
+def _stacked(models: pd.DataFrame) -> C.Models:
+    return C.Models({s: _model(r) for s, r in zip(models["scene_id"], models["rpc"], strict=True)})
+
 
+#: Observations or ties of a task.
+OBSERVED = 20_000
 
-def multiview_residuals(ties: DataFrame, scenes: DataFrame, fusion: str = "median", rounds: int = 50) -> DataFrame:
+
+def multiview_residuals(ties: DataFrame, scenes: DataFrame, fusion: str = "median", rounds: int = 50, observed: int = OBSERVED) -> DataFrame:
     """tie_id, scene_id, residual in pixels: of each tie point the ground place (at the fused height) that fits all its
-    observations (tie_id, scene_id, line, samp, h) best, by Gauss-Newton from the median of the back-projections."""
+    observations (tie_id, scene_id, line, samp, h) best, by Gauss-Newton from the median of the back-projections.
+    Observations without a tie or a model are left out. For any number of scenes: ties go by range of their least scene, and a range fetches its own models."""
     height = F.percentile("h", 0.5) if fusion == "median" else F.avg("h")
-    fused = ties.groupBy("tie_id").agg(height.alias("h"))
-    observed = ties.drop("h").join(fused, "tie_id").select("tie_id", "scene_id", "line", "samp", "h")
-    start = written(rpc_photo2obj(observed, scenes), "back-projections")
-    models = _cameras(scenes)
-    buckets = max(1, start.count() // 20_000)
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        stacked = models.value
+    ties = ties.where("tie_id is not null")
+    fused = ties.groupBy("tie_id").agg(height.alias("h"), F.min("scene_id").alias("_first"))
+    seen = ties.drop("h").join(fused, "tie_id").select("tie_id", "scene_id", "line", "samp", "h", "_first")
+    dealt = _ranged(seen, observed, F.col("_first"), F.col("tie_id"))
+
+    def solve(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or models.empty:
+            return pd.DataFrame([], columns=["tie_id", "scene_id", "residual"])
+        stacked = _stacked(models)
         rows = rows[stacked.rows(rows["scene_id"])[1]].sort_values(["tie_id", "scene_id"]).reset_index(drop=True)
         if rows.empty:
-            return pd.DataFrame({"tie_id": [], "scene_id": [], "residual": []})
+            return pd.DataFrame([], columns=["tie_id", "scene_id", "residual"])
         _, own = np.unique(rows["tie_id"], return_inverse=True)
-        at = rows.groupby("tie_id")[["lat", "lon"]].median().to_numpy()
         h, seen = rows["h"].to_numpy(float), rows[["line", "samp"]].to_numpy(float)
         scene = stacked.rows(rows["scene_id"])[0]
+        back = pd.DataFrame(np.stack(stacked.to_ground(scene, *seen.T, h), axis=1))
+        at = back.groupby(own).median().to_numpy()
         place = lambda p: np.stack(stacked.to_photo(scene, p[own, 0], p[own, 1], h), axis=1)
         eps = 1e-7
         for _ in range(rounds):
@@ -193,8 +262,31 @@ def multiview_residuals(ties: DataFrame, scenes: DataFrame, fusion: str = "media
                 break
         return pd.DataFrame({"tie_id": rows["tie_id"], "scene_id": rows["scene_id"], "residual": np.linalg.norm(place(at) - seen, axis=1)})
 
-    dealt = start.withColumn("_b", F.pmod(F.xxhash64("tie_id"), F.lit(buckets)))
-    return dealt.groupBy("_b").applyInPandas(solve, "tie_id long, scene_id long, residual double")
+    models = _models_of(dealt, scenes, "scene_id")
+    return dealt.groupBy("_b").cogroup(models.groupBy("_b")).applyInPandas(solve, "tie_id long, scene_id long, residual double")
+
+
+def pair_tie_errors(pairs: DataFrame, ties: DataFrame, scenes: DataFrame, fusion: str = "median", observed: int = OBSERVED) -> DataFrame:
+    """i, j, n, mean, median, max: of each pair the residuals of its tie points when each is adjusted from these two scenes alone.
+
+    A tie counts if both scenes see it inside their image (scenes: scene_id, rpc, h, w); a pair without one has n 0 and nulls. Pairs with a
+    null scene go; a pair that is given twice counts once.
+    """
+    both = pairs.select("i", "j").where("i is not null and j is not null and i <> j").distinct()
+    size = scenes.select(F.col("scene_id").alias("_s"), F.col("h").alias("_rows"), F.col("w").alias("_cols"))
+    inside = (F.col("line") >= 0) & (F.col("line") < F.col("_rows")) & (F.col("samp") >= 0) & (F.col("samp") < F.col("_cols"))
+    held = ties.join(size, F.col("scene_id") == F.col("_s")).where(inside).select("tie_id", "scene_id", "line", "samp", "h")
+    side = lambda s: held.select("tie_id", F.col("scene_id").alias(s), F.struct(F.col("scene_id").alias("scene_id"), "line", "samp", "h").alias(f"_{s}"))
+    met = written(both.join(side("i"), "i").join(side("j"), ["j", "tie_id"]), "pair-ties")
+    views = numbered(met.select("i", "j", F.col("tie_id").alias("of"), "_i", "_j"), [F.col("i"), F.col("j"), F.col("of")], "tie_id")
+    held_views = written(views, "pair-views")
+    discard(views, met)
+    apart = held_views.select("tie_id", F.explode(F.array("_i", "_j")).alias("o")).select("tie_id", "o.scene_id", "o.line", "o.samp", "o.h")
+    found = multiview_residuals(apart, scenes, fusion, observed=observed).join(held_views.select("tie_id", "i", "j"), "tie_id")
+    errors = written(found.select("i", "j", "residual"), "pair-residuals")
+    medians = percentiles(errors, ["i", "j"], "residual", [0.5]).select("i", "j", F.col("p")[0].alias("median"))
+    sums = errors.groupBy("i", "j").agg((F.count("residual") / 2).cast("long").alias("n"), F.avg("residual").alias("mean"), F.max("residual").alias("max"))
+    return both.join(sums.join(medians, ["i", "j"]), ["i", "j"], "left").select("i", "j", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "median", "max")
 
 
 # ---- block adjustment
@@ -210,81 +302,90 @@ def _mercator(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.radians(lon) * _R, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * _R], axis=1)
 
 
-def _residual(rows: pd.DataFrame, mi: dict, mj: dict, xy: np.ndarray) -> np.ndarray:
-    lat, lon = _lonlat(xy)
-    h = rows["h"].to_numpy(float)
-    return np.stack([*C.to_photo(mi, lat, lon, h), *C.to_photo(mj, lat, lon, h)], axis=1) - rows[["line_i", "samp_i", "line_j", "samp_j"]].to_numpy(float)
-
-
-def _affine_jacobian(model: dict, seen: np.ndarray) -> np.ndarray:
-    """(N, 2, 6): how the predicted place moves with the scene's affine."""
-    a = np.asarray(model["adj"], float).reshape(2, 3)
-    inverse = np.linalg.inv(a[:, :2])
-    out = np.zeros((len(seen), 2, 6))
+def _affine_jacobian(adj: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(N, 2, 6): how predicted places (N, 2) move with their scenes' affines (N, 6)."""
+    inverse = np.linalg.inv(adj.reshape(-1, 2, 3)[:, :, :2])
     basis = np.concatenate([seen, np.ones((len(seen), 1))], axis=1)
-    for row in range(2):
-        out[:, :, 3 * row : 3 * row + 3] = -inverse[:, row][None, :, None] * basis[:, None, :]
-    return out
-
-
-def _edge_system(rows: pd.DataFrame, models: dict[int, dict], affines: dict[int, list[float]]) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """H (12 x 12) and g (12) of an edge with each tie's ground point eliminated, the sum of squares, and how many residuals."""
-    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    mi, mj = {**models[i], "adj": affines[i]}, {**models[j], "adj": affines[j]}
-    h = rows["h"].to_numpy(float)
-    at = [_mercator(*C.to_ground(m, rows[f"line_{s}"].to_numpy(float), rows[f"samp_{s}"].to_numpy(float), h)) for m, s in ((mi, "i"), (mj, "j"))]
-    xy = (at[0] + at[1]) / 2
-    r, eps = _residual(rows, mi, mj, xy), 1e-3
-    px = np.stack([(_residual(rows, mi, mj, xy + eps * e) - _residual(rows, mi, mj, xy - eps * e)) / (2 * eps) for e in np.eye(2)], axis=2)
-    predicted = r + rows[["line_i", "samp_i", "line_j", "samp_j"]].to_numpy(float)
+    return np.concatenate([-inverse[:, :, row][:, :, None] * basis[:, None, :] for row in range(2)], axis=2)
+
+
+def _edge_sums(rows: pd.DataFrame, models: C.Models) -> pd.DataFrame:
+    """Rows a, b, v of the ties of many edges at once: the 36 numbers of block (a, b) with each tie's ground point eliminated, a's
+    gradient where b is -1, and the squares of the residuals and their count where both are -1."""
+    (i, known_i), (j, known_j) = models.rows(rows["i"]), models.rows(rows["j"])
+    ok = known_i & known_j
+    rows, i, j = rows[ok], i[ok], j[ok]
+    if not len(rows):
+        return pd.DataFrame([], columns=["a", "b", "v"])
+    h, seen = rows["h"].to_numpy(float), rows[["line_i", "samp_i", "line_j", "samp_j"]].to_numpy(float)
+    xy = sum(_mercator(*models.to_ground(s, *seen[:, k : k + 2].T, h)) for s, k in ((i, 0), (j, 2))) / 2
+
+    def residual(p: np.ndarray) -> np.ndarray:
+        lat, lon = _lonlat(p)
+        return np.stack([*models.to_photo(i, lat, lon, h), *models.to_photo(j, lat, lon, h)], axis=1) - seen
+
+    r, eps = residual(xy), 1e-3
+    px = np.stack([(residual(xy + eps * e) - residual(xy - eps * e)) / (2 * eps) for e in np.eye(2)], axis=2)
+    predicted = r + seen
     ja = np.zeros((len(rows), 4, 12))
-    ja[:, :2, :6], ja[:, 2:, 6:] = _affine_jacobian(mi, predicted[:, :2]), _affine_jacobian(mj, predicted[:, 2:])
+    ja[:, :2, :6], ja[:, 2:, 6:] = _affine_jacobian(models.adj[i], predicted[:, :2]), _affine_jacobian(models.adj[j], predicted[:, 2:])
     pp = np.linalg.inv(np.einsum("nra,nrb->nab", px, px) + 1e-12 * np.eye(2))
-    rest = r - np.einsum("nra,nab,nsb,ns->nr", px, pp, px, r)
+    rest = r - np.einsum("nra,nab,nsb,ns->nr", px, pp, px, r, optimize=True)
     ap = np.einsum("nra,nrb->nab", ja, px)
-    big = np.einsum("nra,nrb->ab", ja, ja) - np.einsum("nac,ncd,nbd->ab", ap, pp, ap)
-    return big, np.einsum("nra,nr->a", ja, rest), float((rest**2).sum()), r.size
+    _, first, edge = np.unique(i * np.int64(len(models.ids)) + j, return_index=True, return_inverse=True)
+    big, g = np.zeros((len(first), 12, 12)), np.zeros((len(first), 12))
+    np.add.at(big, edge, np.einsum("nra,nrb->nab", ja, ja) - np.einsum("nac,ncd,nbd->nab", ap, pp, ap, optimize=True))
+    np.add.at(g, edge, np.einsum("nra,nr->na", ja, rest))
+    ends = (models.ids[i[first]], models.ids[j[first]])
+    wide = lambda x: np.concatenate([x, np.zeros((len(x), 36 - x.shape[1]))], axis=1)
+    parts = [(ends[p], ends[q], big[:, 6 * p : 6 * p + 6, 6 * q : 6 * q + 6].reshape(-1, 36)) for p in (0, 1) for q in (0, 1)]
+    parts += [(ends[p], np.full(len(first), -1), wide(g[:, 6 * p : 6 * p + 6])) for p in (0, 1)]
+    parts.append((np.array([-1]), np.array([-1]), wide(np.array([[(rest**2).sum(), float(r.size)]]))))
+    a, b, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pd.DataFrame({"a": a, "b": b, "v": list(v)})
 
 
-def _systems(ties: DataFrame, models, affines: dict[int, list[float]]) -> DataFrame:
-    """Sums over all ties: rows a, b, v with the 36 numbers of block (a, b), a's gradient where b is -1, and the squares
-    and their count where both are -1."""
+_TIE = ("i", "j", "line_i", "samp_i", "line_j", "samp_j", "h")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for (i, j), rows in batch.groupby(["i", "j"]):
-                big, g, squares, n = _edge_system(rows, models.value, affines)
-                for x, p in ((i, 0), (j, 6)):
-                    out.append((x, -1, [*g[p : p + 6], *[0.0] * 30]))
-                    out += [(x, y, big[p : p + 6, q : q + 6].ravel().tolist()) for y, q in ((i, 0), (j, 6))]
-                out.append((-1, -1, [squares, float(n), *[0.0] * 34]))
-            yield pd.DataFrame(out, columns=["a", "b", "v"])
-
-    each = ties.select("i", "j", "line_i", "samp_i", "line_j", "samp_j", "h").mapInPandas(run, "a long, b long, v array<double>")
+
+def _dealt_ties(ties: DataFrame, per_task: int) -> DataFrame:
+    """Ties by ranges of their edge; an edge of many ties lies in many ranges."""
+    return _ranged(ties.select(*_TIE).where("i is not null and j is not null"), per_task, F.col("i"), F.col("j"), F.xxhash64(*_TIE))
+
+
+def _systems(dealt: DataFrame, models: DataFrame, affines: DataFrame | None) -> DataFrame:
+    """The sums a, b, v of _edge_sums over all ties. affines: scene_id, m; identity for scenes without one."""
+    own = models.withColumn("m", F.lit(None).cast("array<double>")) if affines is None else models.join(affines.select("scene_id", "m"), "scene_id", "left")
+
+    def run(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or models.empty:
+            return pd.DataFrame([], columns=["a", "b", "v"])
+        stacked, to = _stacked(models), dict(zip(models["scene_id"], models["m"], strict=True))
+        stacked.adj = np.array([C.IDENTITY if to[s] is None else to[s] for s in stacked.ids.tolist()], float).reshape(-1, 6)
+        return _edge_sums(rows, stacked)
+
+    each = dealt.groupBy("_b").cogroup(own.groupBy("_b")).applyInPandas(run, "a long, b long, v array<double>")
     return each.groupBy("a", "b").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(36))).alias("v"))
 
 
-def _cameras(scenes: DataFrame, plain: bool = False):
-    """Models of all scenes, 170 numbers each, as a broadcast value (stacked, or by scene if plain): for blocks of up to
-    MOST_SCENES, counted first."""
-    known = scenes.select("scene_id", "rpc").where("scene_id is not null and rpc is not null")
-    if known.limit(MOST_SCENES + 1).count() > MOST_SCENES:
-        raise ValueError(f"more than {MOST_SCENES} scenes at once; split the block")
-    models = {r["scene_id"]: r["rpc"].asDict() for r in known.toLocalIterator()}
-    return scenes.sparkSession.sparkContext.broadcast(models if plain else C.Models(models))
+def _rms(sums: DataFrame) -> Column:
+    return F.sqrt(F.try_divide(F.max(F.when(F.col("a") == -1, F.col("v")[0])), F.max(F.when(F.col("a") == -1, F.col("v")[1])))).alias("rms")
 
 
-#: Scenes of a block; unknowns up to which it is solved by elimination, and by conjugate gradients beyond.
-MOST_SCENES = 20_000
-DENSE = 3_000
+def adjustment_rms(ties: DataFrame, scenes: DataFrame, affines: dict[int, list[float]] | DataFrame | None = None, observed: int = OBSERVED) -> DataFrame:
+    """rms over the four residuals of all ties (i, j, line_i, samp_i, line_j, samp_j, h) for the given affines (scene_id, m; identity for scenes
+    without one), for any number of scenes. Ties of a scene without a model don't count; without any the rms is null."""
+    if isinstance(affines, dict):
+        affines = scenes.sparkSession.createDataFrame([(k, list(m)) for k, m in affines.items()], "scene_id long, m array<double>")
+    dealt = _dealt_ties(ties, observed)
+    sums = _systems(dealt, _models_of(dealt, scenes, "i", "j"), affines)
+    return sums.where("a = -1 and b = -1").agg(_rms(sums))
 
 
-def adjustment_rms(ties: DataFrame, scenes: DataFrame, affines: dict[int, list[float]] | None = None) -> DataFrame:
-    """rms over the four residuals of all ties (i, j, line_i, samp_i, line_j, samp_j, h) for the given affines."""
-    models = _cameras(scenes, plain=True)
-    own = {s: list(C.IDENTITY) for s in models.value} | (affines or {})
-    return _systems(ties, models, own).where("a = -1 and b = -1").agg(F.sqrt(F.try_divide(F.max(F.col("v")[0]), F.max(F.col("v")[1]))).alias("rms"))
+#: Unknowns up to which a task solves by elimination, and by conjugate gradients beyond.
+DENSE = 3_000
+#: Blocks (of 288 bytes) of a component that one task solves; larger components are solved on tables.
+TASK_BLOCKS = 500_000
 
 
 def solve_blocks(a: np.ndarray, b: np.ndarray, blocks: np.ndarray, right: np.ndarray, tol: float = 1e-12) -> np.ndarray:
@@ -296,10 +397,10 @@ def solve_blocks(a: np.ndarray, b: np.ndarray, blocks: np.ndarray, right: np.nda
         big[a, :, b, :] = blocks
         return np.linalg.solve(big.reshape(6 * n, 6 * n), right.ravel()).reshape(n, 6)
     order = np.argsort(a, kind="stable")
-    b, blocks = b[order], blocks[order]
-    start = np.searchsorted(a[order], np.arange(n))
+    a, b, blocks = a[order], b[order], blocks[order]
+    start = np.searchsorted(a, np.arange(n))
     own = np.zeros((n, 6, 6))
-    own[a[a == b[np.argsort(order)]]] = blocks[np.argsort(order)][a == b[np.argsort(order)]]
+    own[a[a == b]] = blocks[a == b]
     inverse = np.linalg.inv(own)
     times = lambda x: np.add.reduceat(np.einsum("mij,mj->mi", blocks, x[b]), start, axis=0)
     x, r = np.zeros((n, 6)), right.copy()
@@ -318,34 +419,112 @@ def solve_blocks(a: np.ndarray, b: np.ndarray, blocks: np.ndarray, right: np.nda
     return x
 
 
-def block_adjustment(ties: DataFrame, scenes: DataFrame, anchor: int, max_iters: int = 15, tol: float = 1e-6, damping: float = 1e-6) -> DataFrame:
+_STEP = "scene_id long, step array<double>"
+
+
+def _solve_component(rows: pd.DataFrame) -> pd.DataFrame:
+    """Steps of one component's scenes from its rows a, b, v (gradients at b = -1)."""
+    ids = np.unique(rows["a"])
+    v, b = np.stack(rows["v"].to_numpy()), rows["b"].to_numpy()
+    at = np.searchsorted(ids, rows["a"].to_numpy())
+    right = np.zeros((len(ids), 6))
+    right[at[b == -1]] = -v[b == -1][:, :6]
+    block = b != -1
+    x = solve_blocks(at[block], np.searchsorted(ids, b[block]), v[block].reshape(-1, 6, 6), right)
+    return pd.DataFrame({"scene_id": ids, "step": list(x)})
+
+
+def _vector(parts: list[Column], name: str) -> Column:
+    return F.array(*parts).alias(name)
+
+
+def solve_on_tables(sums: DataFrame, tol: float = 1e-9, most: int = 500) -> DataFrame:
+    """scene_id, step: conjugate gradients on the table of blocks (a, b, v; gradients at b = -1) with the diagonal blocks' inverses.
+
+    The form with one pair of sums a round: each round is one written table of the vectors by scene, made by a join with the
+    blocks and a sum, and two numbers on the driver. It ends when the residual has fallen by tol, or after `most` rounds with what is
+    reached by then, from which the next linearisation goes on.
+    """
+    blocks = sums.where("b <> -1").select("a", "b", "v")
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                yield pd.DataFrame({"a": d["a"], "inv": list(np.linalg.inv(np.stack(d["v"].to_numpy()).reshape(-1, 6, 6)).reshape(-1, 36))})
+
+    inverses = blocks.where("a = b").select("a", "v").mapInPandas(invert, "a long, inv array<double>")
+    right = sums.where("b = -1").select("a", F.transform(F.slice("v", 1, 6), lambda x: -x).alias("r"))
+    six = range(6)
+    times = lambda m, x: [sum((F.col(m)[6 * k + l] * F.col(x)[l] for l in six[1:]), F.col(m)[6 * k] * F.col(x)[0]) for k in six]
+    dot = lambda x, y: sum((F.col(x)[k] * F.col(y)[k] for k in six[1:]), F.col(x)[0] * F.col(y)[0])
+
+    def with_products(state: DataFrame) -> DataFrame:
+        """state with w, the blocks times u."""
+        met = blocks.join(state.select(F.col("a").alias("b"), "u"), "b")
+        rows = met.groupBy("a").agg(*(F.sum(x).alias(f"_w{k}") for k, x in enumerate(times("v", "u"))))
+        out = state.join(rows, "a").select(*state.columns, F.array(*(f"_w{k}" for k in six)).alias("w"))
+        return written(out, "gradients")
+
+    def numbers(state: DataFrame) -> tuple[float, float]:
+        found = state.agg(F.sum(dot("r", "u")).alias("g"), F.sum(dot("w", "u")).alias("d")).first()
+        return found["g"] or 0.0, found["d"] or 0.0
+
+    none = F.array(*(F.lit(0.0) for _ in six))
+    state = with_products(right.join(inverses, "a").select("a", "inv", none.alias("x"), "r", _vector(times("inv", "r"), "u"), none.alias("p"), none.alias("s")))
+    gamma, delta = numbers(state)
+    first, alpha, beta = gamma, gamma / delta if delta else 0.0, 0.0
+    for _ in range(most):
+        if not gamma or gamma <= tol * tol * first:
+            break
+        moved = state.select("a", "inv", "x", "r", _vector([F.col("u")[k] + beta * F.col("p")[k] for k in six], "p"), _vector([F.col("w")[k] + beta * F.col("s")[k] for k in six], "s"))
+        moved = moved.select("a", "inv", _vector([F.col("x")[k] + alpha * F.col("p")[k] for k in six], "x"), _vector([F.col("r")[k] - alpha * F.col("s")[k] for k in six], "r"), "p", "s")
+        new = with_products(moved.select("a", "inv", "x", "r", _vector(times("inv", "r"), "u"), "p", "s"))
+        discard(state)
+        state, was = new, gamma
+        gamma, delta = numbers(state)
+        beta = gamma / was
+        alpha = gamma / (delta - beta * gamma / alpha) if gamma else 0.0
+    return state.select(F.col("a").alias("scene_id"), F.col("x").alias("step"))
+
+
+def block_adjustment(ties: DataFrame, scenes: DataFrame, anchor: int, max_iters: int = 15, tol: float = 1e-6, damping: float = 1e-6, observed: int = OBSERVED, task_blocks: int = TASK_BLOCKS) -> DataFrame:
     """scene_id, m, rms: the affines of all scenes that bring the ties' residuals down together in at most max_iters steps,
-    the anchor's fixed to identity, and the rms of these affines. Each round sums 6 x 6 blocks over the ties on the
-    executors; the driver gets one block for each two linked scenes and solves for the steps. damping is added to the
-    diagonal as it is."""
-    models, ties = _cameras(scenes, plain=True), written(_spread(ties), "ties")
-    ids = sorted(models.value)
-    variable = np.array([s for s in ids if s != anchor], "int64")
-    affines = {s: list(C.IDENTITY) for s in ids}
-    rms = float("nan")
+    the anchor's fixed to identity, and the rms of these affines. damping is added to the diagonal as it is.
+
+    For any number of scenes: each round sums 6 x 6 blocks over the ties, whose ranges fetch their own models. Scenes that ties link without
+    the anchor form a component; one of up to task_blocks blocks is solved by a task, larger ones by conjugate gradients on
+    tables. The driver gets sums of squares and counts alone. Scenes without ties, and ties without models, stay out.
+    """
+    dealt = _dealt_ties(ties, observed)
+    models = _models_of(dealt, scenes, "i", "j")
+    free = dealt.where((F.col("i") != anchor) & (F.col("j") != anchor)).select("i", "j").distinct()
+    parts = written(graph_components(free).withColumnRenamed("id", "_id"), "components")
+    affines, large, rms = None, None, float("nan")
     for turn in range(max_iters + 1):
-        sums = _systems(ties, models, affines)
-        found = (sums.where("a = -1") if turn == max_iters else sums).toPandas()
-        a, b = found["a"].to_numpy("int64"), found["b"].to_numpy("int64")
-        v = np.stack(found["v"].to_numpy()) if len(found) else np.zeros((0, 36))
-        squares, n = v[a == -1][0, :2] if (a == -1).any() else (0.0, 0.0)
-        last, rms = rms, float(np.sqrt(squares / n)) if n else float("nan")
-        if not len(variable) or not n or turn == max_iters or abs(last - rms) < tol:
+        sums = written(_systems(dealt, models, affines), "blocks")
+        last, rms = rms, sums.agg(_rms(sums)).first()["rms"]
+        rms = float("nan") if rms is None else rms
+        if rms != rms or turn == max_iters or abs(last - rms) < tol:
             break
-        at = lambda s: np.minimum(np.searchsorted(variable, s), len(variable) - 1)
-        known = lambda s: variable[at(s)] == s
-        g, linked = known(a) & (b == -1), known(a) & known(b)
-        right = np.zeros((len(variable), 6))
-        right[at(a[g])] = -v[g][:, :6]
-        alone = np.setdiff1d(np.arange(len(variable)), at(a[linked]))  # scenes without a tie stay as they are
-        rows, columns = np.concatenate([at(a[linked]), alone]), np.concatenate([at(b[linked]), alone])
-        blocks = np.concatenate([v[linked].reshape(-1, 6, 6), np.zeros((len(alone), 6, 6))])
-        blocks[rows == columns] += damping * np.eye(6)
-        for s, step in zip(variable.tolist(), solve_blocks(rows, columns, blocks, right), strict=True):
-            affines[s] = (np.asarray(affines[s]) + step).tolist()
-    return scenes.sparkSession.createDataFrame([(s, affines[s], rms) for s in ids], "scene_id long, m array<double>, rms double")
+        diagonal = [F.col("v")[k] + (damping if k % 7 == 0 else 0.0) for k in range(36)]
+        own = sums.where((F.col("a") != -1) & (F.col("a") != anchor) & (F.col("b") != anchor)).withColumn("v", F.when(F.col("a") == F.col("b"), F.array(*diagonal)).otherwise(F.col("v")))
+        placed = own.join(parts, F.col("a") == F.col("_id"), "left").withColumn("component", F.coalesce("component", "a")).drop("_id")
+        if large is None:
+            large = written(placed.groupBy("component").count().where(F.col("count") > task_blocks).select(F.col("component").alias("_large")), "large")
+            split = not large.isEmpty()
+        small = placed.join(large, F.col("component") == F.col("_large"), "left_anti") if split else placed
+        steps = small.select("component", "a", "b", "v").groupBy("component").applyInPandas(_solve_component, _STEP)
+        if split:
+            steps = steps.unionByName(solve_on_tables(written(placed.join(large, F.col("component") == F.col("_large"), "left_semi"), "large-blocks")))
+        held = (F.lit(None).cast("array<double>").alias("m"), F.col("scene_id"), F.col("step")) if affines is None else (F.col("m"), F.coalesce("scene_id", "_id").alias("scene_id"), F.coalesce("step", F.array(*(F.lit(0.0) for _ in range(6)))).alias("step"))
+        joined = steps if affines is None else steps.join(affines.withColumnRenamed("scene_id", "_id"), F.col("scene_id") == F.col("_id"), "full_outer")
+        identity = F.array(*(F.lit(x) for x in C.IDENTITY))
+        moved = joined.select(*held).select("scene_id", F.zip_with(F.coalesce("m", identity), "step", lambda x, y: x + y).alias("m"))
+        new = written(moved, "affines")
+        discard(sums, *([] if affines is None else [affines]))
+        affines = new
+    identity = F.array(*(F.lit(x) for x in C.IDENTITY))
+    known = scenes.where("scene_id is not null and rpc is not null").select("scene_id")
+    if affines is None:
+        return known.select("scene_id", identity.alias("m"), F.lit(rms).alias("rms"))
+    return known.join(affines, "scene_id", "left").select("scene_id", F.coalesce("m", identity).alias("m"), F.lit(rms).alias("rms"))

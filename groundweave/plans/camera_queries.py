@@ -72,6 +72,19 @@ def xy_to_sampline(t):
     return rounded(O.xy_to_sampline(points, scenes(t)).select("scene_id", "l_orderkey", "l_linenumber", "line", "samp"), 2)
 
 
+@R.query("""SELECT l_suppkey % 3 + 1 AS scene_id, l_orderkey, l_linenumber, ROUND(1 + l_linenumber/4.0::DOUBLE, 2) AS line, ROUND((4 + l_quantity/2)/0.8, 2) AS samp, ROUND(400 + 2*(4 + l_quantity/2)/0.8, 2) AS height FROM lineitem""")
+def xy_to_sampline_on_dem(t):
+    """Points on a slope of two metres a sample, which a model moves by a tenth of a sample for each metre."""
+    k, line, flat = F.col("scene_id"), 1 + F.col("l_linenumber") / 4, 14 + F.col("l_quantity") / 2
+    lat, lon = k % 10 + 30 + (5000 - line - k % 3) / 50000, k % 7 + 100 + (flat + k % 5 - 5000) / 50000
+    y, x = G.mercator(lat, lon)
+    points = t("lineitem").withColumn("scene_id", F.col("l_suppkey") % 3 + 1).select("scene_id", "l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
+    own = scenes(t).where("scene_id <= 3").withColumns({"h": F.lit(10000), "w": F.lit(10000), "heights": F.array(*(F.lit(500.0) for _ in range(4)))})
+    dem = t("cells_fx").select(F.explode(F.array(*(F.lit(s).cast("long") for s in (1, 2, 3)))).alias("grid_id"), "r", "c", (400 + F.col("c") * 2.0).alias("v"))
+    found = O.xy_to_sampline_on_dem(points, own.join(O.scene_corners(own), "scene_id"), dem, tol=1e-6)
+    return rounded(found.select("scene_id", "l_orderkey", "l_linenumber", "line", "samp", "height"), 2)
+
+
 @R.query("SELECT s_suppkey AS scene_id, CAST(2500*i AS DOUBLE) AS line, CAST(2500*j AS DOUBLE) AS samp, CAST(500*k AS DOUBLE) AS h, CAST(5 AS DOUBLE) AS error FROM supplier, range(5) a(i), range(5) b(j), range(3) c(k) WHERE s_suppkey % 3 = 0")
 def rpc_roundtrip_check(t):
     """Every third model's way to the ground is off by five lines."""
@@ -129,6 +142,18 @@ def multiview_residuals(t):
     return rounded(found.groupBy("scene_id").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.max("residual").alias("max")), 4)
 
 
+@R.query("""WITH o AS (SELECT tie_id, img + 1 AS s, 5000 + err AS line, 5000 + samp/10 AS samp FROM tie_obs_fx WHERE 5000 + err < 5005 AND 5000 + samp/10 < 5006),
+  p AS (SELECT DISTINCT img + 1 AS i, img % 7 + 2 AS j FROM tie_obs_fx WHERE img + 1 <> img % 7 + 2),
+  e AS (SELECT p.i, p.j, SQRT(POW(a.line + a.s % 3 - b.line - b.s % 3, 2) + POW(a.samp + a.s % 5 - b.samp - b.s % 5, 2))/2 AS e FROM p JOIN o a ON a.s = p.i JOIN o b ON b.s = p.j AND b.tie_id = a.tie_id)
+  SELECT p.i, p.j, COUNT(e) AS n, ROUND(AVG(e), 3) AS mean, ROUND(quantile_cont(e, 0.5), 3) AS median, ROUND(MAX(e), 3) AS max FROM p LEFT JOIN e ON p.i = e.i AND p.j = e.j GROUP BY p.i, p.j""")
+def pair_tie_errors(t):
+    """Two scenes over one place see a tie from where their shifts put it: each misses the middle by half of what parts them."""
+    over = scenes(t).withColumn("rpc", F.col("rpc").withField("lat_off", F.lit(30.0)).withField("lon_off", F.lit(100.0))).withColumns({"h": F.lit(5005), "w": F.lit(5006)})
+    ties = t("tie_obs_fx").select("tie_id", (F.col("img") + 1).alias("scene_id"), (F.col("err") + 5000).alias("line"), (F.col("samp") / 10 + 5000).alias("samp"), F.col("height").alias("h"))
+    pairs = t("tie_obs_fx").select((F.col("img") + 1).alias("i"), (F.col("img") % 7 + 2).alias("j")).distinct().where("i <> j")
+    return rounded(O.pair_tie_errors(pairs, ties, over), 3)
+
+
 def _edges(t):
     o = t("tie_obs_fx")
     side = lambda s: o.select("tie_id", (F.col("img") + 1).alias(s), (F.lit(5000.0) - F.col("line") * 10 + F.col("err")).alias(f"line_{s}"), (F.lit(5000.0) + F.col("samp")).alias(f"samp_{s}"), F.col("height").alias(f"h_{s}"))
