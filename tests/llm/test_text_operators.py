@@ -1,5 +1,7 @@
 import hashlib
+import html
 import os
+import re
 import zlib
 
 import numpy as np
@@ -324,21 +326,53 @@ def test_html_deep_pages_take_linear_time():
     assert took[1] < 30 * took[0] + 0.5
 
 
-def test_html_distribution_brute_force():
-    """Surge and dive points of lines outside articles, by the definition: a line is kept if it measures something and a
-    window over SURGE begins at or before it with no window of 0 between."""
+@pytest.mark.parametrize("article", [0, 1])
+def test_html_distribution_brute_force(article):
+    """Surge and dive points by the definition, in articles and outside: a line is kept if it measures something and no window between it and
+    one of more than SURGE characters falls to DIVE, where lines count more in articles and paragraphs."""
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        sizes = rng.choice([0, 5, 30, 60, 200], int(rng.integers(1, 30)))
-        lines = [html_text.Line("x" * int(n or 7), False, 0.0 if n else 1.0, 0, 0) for n in sizes]
-        sums = [int(sizes[i : i + html_text.WINDOW].sum()) for i in range(len(sizes))]
-        level = html_text.SURGE if max(sums) > html_text.SURGE else max(sums) - 1
-        want = []
-        for i, n in enumerate(sizes):
-            before = [k for k in range(i + 1) if sums[k] > level]
-            if n and before and all(sums[before[-1] : i + 1]):
-                want.append(lines[i].text)
-        assert html_text.main_lines(lines) == (want if max(sums) else [])
+    for _ in range(300):
+        sizes = rng.choice([0, 0, 5, 15, 30, 60, 200], int(rng.integers(1, 30)))
+        lines = [html_text.Line("x" * int(n), False, 0.0, article, 0, bool(rng.integers(2))) for n in sizes]
+        placed = []
+        for line in lines:
+            if line.text or not article or placed and placed[-1].text:
+                placed.append(line)
+        weight = lambda x: len(x.text) + (bool(x.text) and (html_text.ARTICLE if article else html_text.PARAGRAPH * x.paragraph))
+        plain = [sum(len(x.text) for x in placed[i : i + html_text.WINDOW]) for i in range(len(placed))]
+        heavy = [sum(weight(x) for x in placed[i : i + html_text.WINDOW]) for i in range(len(placed))]
+        most = max(plain, default=0)
+        level = html_text.SURGE if most > html_text.SURGE else most - 1
+        lives = [h > min(html_text.DIVE, level) or p > level for h, p in zip(heavy, plain, strict=True)]
+        surges = [k for k, p in enumerate(plain) if p > level]
+        want = [x.text for i, x in enumerate(placed) if x.text and any(all(lives[min(i, k) : max(i, k) + 1]) for k in surges)]
+        assert html_text.main_lines(lines) == (want if most else [])
+
+
+def test_html_marks_dont_decide():
+    """Where the result is another than that of 'all of the article' or of 'all that no name rules out'."""
+    words = "word " * 60
+    short = "".join(f"<p>x{i}</p>" for i in range(40))
+    assert html_text.main_text(f"<article><p>{words}</p>{short}</article>").endswith(" x38 x39")  # the article's own short paragraphs
+    bare = f"<div><p>{words}</p></div><div>All rights reserved</div><div>Contact us</div><div>Phone 123</div>"
+    assert html_text.main_text(bare) == words.strip()
+    assert html_text.main_text(f"<div>Home</div><div>Login</div><div><p>{words}</p><p>End.</p></div>") == f"{words}End."
+    for name in ('class="content-header"', 'id="search-results"', 'class="news-article-ad-free"'):
+        assert html_text.main_text(f"<div {name}>{words}</div>") == words.strip()
+    for name in ('class="site-header"', 'class="main-navigation"', 'id="post-comments"', 'class="footer-widget-area"'):
+        assert html_text.main_text(f"<div {name}>{words}</div><p>Other {words}</p>") == f"Other {words.strip()}"
+    teaser = "<article><p>Too short to surge.</p></article>"
+    assert html_text.main_text(f"{teaser}<div><p>{words}</p></div>") == words.strip()
+
+
+def test_html_given_pages_keep_their_articles():
+    """On the given pages, whose articles are one run of text each, nothing of an article is lost and nothing else comes in."""
+    import duckdb
+
+    for (page,) in duckdb.execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        inner = re.search("<article>(.*?)</article>", page, re.S)[1]
+        want = html.unescape(re.sub(r"<(/?p|/?h\d|br)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", ""))
+        assert html_text.main_text(page) == " ".join(want.split())
 
 
 def test_html_edges(spark):
