@@ -99,6 +99,17 @@ def search(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, c: np.ndarray, c
     return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([i for _, i in top]) if n else [], "score": np.concatenate([s for s, _ in top]) if n else []})
 
 
+def part_of(spark: SparkSession, cuts: list[float]):
+    """A Column function: how many of the sorted cuts lie under a value. The cuts, one for each PART vectors, are data of the task, not of the plan."""
+    held = spark.sparkContext.broadcast(np.array(cuts, float))
+
+    @F.pandas_udf("int")
+    def part(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, x.to_numpy(float), side="left").astype("int32"))
+
+    return part
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """Rows query_id, rank (from 1), vec_id, score: each query's k best by whole-number inner product, all if fewer.
 
@@ -113,30 +124,37 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K) -> Da
     seeds = vectors.orderBy(F.desc("norm2"), "id").limit(SEEDS).select("id", "v", "dim").toPandas()
     first = vectors.sparkSession.sparkContext.broadcast({int(d): (np.stack(x["v"].to_numpy()) if d else np.zeros((len(x), 0)), x["id"].to_numpy("int64")) for d, x in seeds.groupby("dim")})
 
+    n, m = vectors.count(), queries.count()
+    parts, blocks = max(1, -(-n // PART)), max(1, -(-m // QUERIES))
+    cuts = sorted(set(vectors.approxQuantile("norm2", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    ranged = written(vectors.select("id", "v", "dim", "norm2", part_of(vectors.sparkSession, cuts)("norm2").alias("p")), "ranged")
+    # By dimension: parts and their greatest length, two numbers for each PART vectors.
+    most = {int(d): (x["p"].to_numpy(), np.sqrt(x["m"].to_numpy())) for d, x in ranged.groupBy("dim", "p").agg(F.max("norm2").alias("m")).toPandas().groupby("dim")}
+    longest = vectors.sparkSession.sparkContext.broadcast(most)
+
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            least = np.full(len(b), -np.inf)
-            for dim, rows in b.reset_index(drop=True).groupby("dim"):
+            b = b.reset_index(drop=True)
+            least, there = np.full(len(b), -np.inf), [np.zeros(0, "int32")] * len(b)
+            for dim, rows in b.groupby("dim"):
                 if dim in first.value:
                     c, ids = first.value[dim]
                     scores = np.stack(rows["v"].to_numpy()) @ c.T if dim else np.zeros((len(rows), len(ids)))
                     scores[rows["id"].to_numpy()[:, None] == ids[None]] = -np.inf
                     if len(ids) > k:
                         least[rows.index] = np.partition(scores, -k, axis=1)[:, -k]
-            yield b.assign(bound=least)
+                own, length = longest.value.get(dim, (np.zeros(0, "int32"), np.zeros(0)))
+                for i, size in zip(rows.index, np.sqrt(rows["norm2"]), strict=True):
+                    there[i] = own[size * (1 + 1e-9) * length + 1e-6 >= least[i]]
+            yield b.assign(bound=least, there=there)
 
-    n, m = vectors.count(), queries.count()
-    parts, blocks = max(1, -(-n // PART)), max(1, -(-m // QUERIES))
-    cuts = sorted(set(vectors.approxQuantile("norm2", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    known = queries.mapInPandas(bounds, "id long, v array<double>, dim int, norm2 double, bound double, there array<int>")
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    part = sum((F.when(F.col("norm2") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    ranged = written(vectors.select("id", "v", "dim", "norm2", part.alias("p")), "ranged")
-    most = {(r["dim"], r["p"]): r["m"] for r in ranged.groupBy("dim", "p").agg(F.max("norm2").alias("m")).collect()}  # a row for each part
-    asked = queries.mapInPandas(bounds, "id long, v array<double>, dim int, norm2 double, bound double")
-    reach = F.sqrt(F.col("norm2")) * (1 + 1e-9)
-    there = F.array(*(F.when((F.col("dim") == d) & (reach * float(np.sqrt(x)) + 1e-6 >= F.col("bound")), F.lit(p)) for (d, p), x in most.items())) if most else F.array().cast("array<int>")
-    asked = asked.select("id", "v", "dim", "bound", block.alias("q"), F.explode(F.array_compact(there)).alias("p"))
-    given = ranged.select("id", "v", "dim", "p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
+    held = written(known.select("id", "v", "dim", "bound", block.alias("q"), "there"), "asked")
+    asked = held.select("id", "v", "dim", "bound", "q", F.explode("there").alias("p"))
+    wanted = held.select("dim", "q", F.explode("there").alias("p")).distinct()
+    wanted = wanted.select(*(F.col(c).alias(c) for c in wanted.columns))  # columns of its own, as the queries come from the same table
+    given = ranged.select("id", "v", "dim", "p").join(wanted, ["dim", "p"])  # a part goes to blocks with a query in reach
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")

@@ -191,6 +191,20 @@ def test_topk_parts_meet_once(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.op2_topk(spark, "/root/testdata/sf0.001").collect()) == brute_topk(rows, 10)
 
 
+def test_topk_plan_stays_small_with_many_parts(spark):
+    """The cuts of 50 million vectors: the plan is made in under a second, and values fall between their cuts."""
+    import time
+
+    cuts = np.arange(6100) * 10.0
+    part = topk.part_of(spark, cuts.tolist())
+    df = spark.range(100).selectExpr("id * 611.5 AS x")
+    df.select(part("x")).collect()
+    began = time.time()
+    plan = df.withColumn("p", part("x")).groupBy("p").count()._jdf.queryExecution().toString()
+    assert time.time() - began < 1 and len(plan) < 20_000
+    assert [r["p"] for r in df.select("x", part("x").alias("p")).collect()] == [int((cuts < r["x"]).sum()) for r in df.collect()]
+
+
 def test_topk_repeated_ids_count_once(spark):
     rows = [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 0.5]), (2, [-4.0, 1.0]), (200, [1.0, 2.0])]
     vectors = topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
