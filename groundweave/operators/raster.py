@@ -76,15 +76,22 @@ def block_center_sample(cells: DataFrame, k: int) -> DataFrame:
     return blocks.agg(F.avg(_clean()).alias("v"), F.count(_clean()).alias("_n")).where(F.col("_n") == len(middle) ** 2).drop("_n")
 
 
-def percentile_stretch(cells: DataFrame, lo: float = 2.0, hi: float = 98.0) -> DataFrame:
+def percentile_stretch(cells: DataFrame, lo: float = 2.0, hi: float = 98.0, positive: bool = False) -> DataFrame:
     """cells with level 0..255: between the percentiles of valid cells (or least and greatest, if those are equal),
-    truncated; missing cells 0. Grids of one value alone are dropped, as are those without a value."""
+    truncated; missing cells 0. Grids of one value alone are dropped, as are those without a value.
+
+    With positive the percentiles are of values over 0 alone, as 0 is the background, and no grid is dropped: where they are equal or
+    there is no such value, all levels are 0.
+    """
     v = _clean()
-    at = percentiles(cells.select("grid_id", v.alias("_v")), ["grid_id"], "_v", [lo / 100, hi / 100])
-    stats = cells.groupBy("grid_id").agg(F.min(v).alias("a"), F.max(v).alias("b")).join(at, "grid_id")
-    ends = stats.select("grid_id", F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[0]).otherwise(F.col("a")).alias("a"), F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[1]).otherwise(F.col("b")).alias("b")).where("b > a")
-    scaled = (v - F.col("a")) / (F.col("b") - F.col("a")) * 255
-    return cells.join(ends, "grid_id").select(*cells.columns, F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int"), F.lit(0)).alias("level"))
+    counted = F.when(v > 0, v) if positive else v
+    at = percentiles(cells.select("grid_id", counted.alias("_v")), ["grid_id"], "_v", [lo / 100, hi / 100])
+    stats = cells.groupBy("grid_id").agg(F.min(v).alias("a"), F.max(v).alias("b")).join(at, "grid_id", "left" if positive else "inner")
+    wide = F.lit(True) if positive else F.col("p")[1] > F.col("p")[0]
+    ends = stats.select("grid_id", F.when(wide, F.col("p")[0]).otherwise(F.col("a")).alias("a"), F.when(wide, F.col("p")[1]).otherwise(F.col("b")).alias("b"))
+    scaled = F.try_divide((F.least(F.greatest(v, F.col("a")), F.col("b")) - F.col("a")), F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a"))) * 255 if positive else (v - F.col("a")) / (F.col("b") - F.col("a")) * 255
+    met = cells.join(ends if positive else ends.where("b > a"), "grid_id")
+    return met.select(*cells.columns, F.coalesce(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0)).cast("int"), F.lit(0)).alias("level"))
 
 
 def valid_pixel_ratio(cells: DataFrame, min_valid_ratio: float = 0.98) -> DataFrame:

@@ -52,6 +52,13 @@ def percentile_stretch(t):
     return rounded(O.percentile_stretch(t("cells_fx").select((F.col("r") % 3).alias("grid_id"), "r", "c", "v")))
 
 
+@R.query("""WITH g AS (SELECT r % 3 AS grid_id, r, c, v - 30 AS v FROM cells_fx), s AS (SELECT grid_id, quantile_cont(v, 0.02) FILTER (v > 0) AS a, quantile_cont(v, 0.98) FILTER (v > 0) AS b FROM g GROUP BY grid_id)
+  SELECT grid_id, r, c, ROUND(v, 6) AS v, COALESCE(CAST(trunc((LEAST(GREATEST(v, a), b)-a)/(b-a)*255) AS INTEGER), 0) AS level FROM g JOIN s USING (grid_id)""")
+def percentile_stretch_positive(t):
+    """The stretch whose percentiles leave the background out."""
+    return rounded(O.percentile_stretch(t("cells_fx").select((F.col("r") % 3).alias("grid_id"), "r", "c", (F.col("v") - 30).alias("v")), positive=True))
+
+
 @R.query("SELECT r % 7 AS grid_id, ROUND(AVG(CASE WHEN conf > 0.1 AND v IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM cells_fx GROUP BY 1 HAVING AVG(CASE WHEN conf > 0.1 AND v IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8")
 def valid_pixel_ratio(t):
     return rounded(O.valid_pixel_ratio(t("cells_fx").select((F.col("r") % 7).alias("grid_id"), "v", (F.col("conf") > 0.1).cast("int").alias("mask")), 0.8))
