@@ -18,7 +18,7 @@ from groundweave.functions import cameras as C
 from groundweave.functions import geometry as G
 from groundweave.operators.adjust import graph_components
 from groundweave.operators.raster import dem_bilinear
-from groundweave.operators.sampling import numbered, percentiles
+from groundweave.operators.sampling import dealt_by_range, numbered, percentiles
 from groundweave.sources.shared import discard, written
 
 RPC = "struct<" + ",".join([f"{k}:double" for k in C.SCALARS] + [f"{k}:array<double>" for k in (*C.DIRECT, *C.INVERSE, "adj")]) + ">"
@@ -200,16 +200,6 @@ def pair_point_error(pairs: DataFrame, ties: DataFrame, scenes: DataFrame, unit:
     return sums.join(medians, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left").select("i", "j", "mean", "median", "max", "n", "dh")
 
 
-def _ranged(df: DataFrame, per_task: int, *order: Column) -> DataFrame:
-    """df written with _b, the number of its range in order, ranges of about per_task rows: what lies together needs the same
-    few models."""
-    held = written(df, "unranged")
-    ranges = max(1, -(-held.count() // per_task))
-    out = written(held.repartitionByRange(ranges, *order).withColumn("_b", F.spark_partition_id()), "ranged")
-    discard(held)
-    return out
-
-
 def _models_of(ranged: DataFrame, scenes: DataFrame, *keys: str) -> DataFrame:
     """_b, scene_id, rpc: each range with the models of the scenes that it names. A model travels once to a range, a range
     holds no more of them than it has rows, and no task or driver has all."""
@@ -234,7 +224,7 @@ def multiview_residuals(ties: DataFrame, scenes: DataFrame, fusion: str = "media
     ties = ties.where("tie_id is not null")
     fused = ties.groupBy("tie_id").agg(height.alias("h"), F.min("scene_id").alias("_first"))
     seen = ties.drop("h").join(fused, "tie_id").select("tie_id", "scene_id", "line", "samp", "h", "_first")
-    dealt = _ranged(seen, observed, F.col("_first"), F.col("tie_id"))
+    dealt = dealt_by_range(seen, observed, F.col("_first"), F.col("tie_id"))
 
     def solve(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or models.empty:
@@ -350,7 +340,7 @@ _TIE = ("i", "j", "line_i", "samp_i", "line_j", "samp_j", "h")
 
 def _dealt_ties(ties: DataFrame, per_task: int) -> DataFrame:
     """Ties by ranges of their edge; an edge of many ties lies in many ranges."""
-    return _ranged(ties.select(*_TIE).where("i is not null and j is not null"), per_task, F.col("i"), F.col("j"), F.xxhash64(*_TIE))
+    return dealt_by_range(ties.select(*_TIE).where("i is not null and j is not null"), per_task, F.col("i"), F.col("j"), F.xxhash64(*_TIE))
 
 
 def _systems(dealt: DataFrame, models: DataFrame, affines: DataFrame | None) -> DataFrame:

@@ -23,6 +23,16 @@ def uniform(key: Column, seed: Column | int = 0) -> Column:
     return hash_key(key, seed) / F.lit(float(MODULUS))
 
 
+def dealt_by_range(df: DataFrame, per_task: int, *order: Column) -> DataFrame:
+    """df written with _b, the number of its range in order (from 0, empty ranges may be left out), ranges of about per_task rows.
+    discard(result) removes it."""
+    held = written(df, "unranged")
+    ranges = max(1, -(-held.count() // per_task))
+    out = written(held.repartitionByRange(ranges, *order).withColumn("_b", F.spark_partition_id()), "ranged")
+    discard(held)
+    return out
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rn", start: int = 0) -> DataFrame:
     """df with consecutive numbers in one order, without gathering it: ranges are sorted apart, and each range starts
     where the ranges before it end. order should have no ties; tied rows may swap. The result reads a written table, which

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from groundweave.plans.fixtures import fixture, with_fixtures
 
-Tables = Callable[[str], DataFrame]
+
+class Tables:
+    """Given and derived tables by name, as they stand or as a stream of their files."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return fixture(self.spark, self.sf_dir, name)
+
+    def stream(self, name: str) -> DataFrame:
+        return fixture(self.spark, self.sf_dir, name, stream=True)
 
 
 class Registry:
@@ -21,7 +32,7 @@ class Registry:
 
     def query(self, sql: str | None = None):
         def add(f: Callable[[Tables], DataFrame]):
-            self.queries[f.__name__] = lambda spark, sf_dir: f(lambda name: fixture(spark, sf_dir, name))
+            self.queries[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             if sql is not None:
                 self.sql[f.__name__] = with_fixtures(sql)
             return f

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from groundweave.functions import geometry as G
 from groundweave.operators import embed as O
 from groundweave.plans.base import Registry, rounded
+from groundweave.sources.shared import shared_dir
 from groundweave.streaming import monitor as M
 
 R = Registry()
@@ -104,11 +107,42 @@ def first_crash(t):
     return M.first_crash(t("status_fx"))
 
 
-_FIELDS = ("current_task", "progress", "level", "error", "current_step")
+@R.query("""SELECT event_id, ts, rank, current_task, progress, level, current_step, error FROM status_fx
+  WHERE (SELECT COUNT(*) FROM status_fx WHERE length(error) > 0) = 0 OR (ts, event_id) <= (SELECT (ts, event_id) FROM status_fx WHERE length(error) > 0 ORDER BY ts, event_id LIMIT 1)""")
+def crash_stop(t):
+    """What is written of the events as a stream that stops on its first crash."""
+    stream = t.stream("status_fx")
+    path = f"{shared_dir(stream.sparkSession)}/groundweave/run-{uuid.uuid4().hex}"
+    M.stop_on_crash(stream, f"{path}/out", f"{path}/checkpoint")
+    return stream.sparkSession.read.schema(M.STATUS).parquet(f"{path}/out/statuses/batch=*")
+
+
+#: A run of quick steps: a row every 40 ms, a new task every 50 rows, and steps that change within a task.
+_RUN = """SELECT event_id, make_timestamp({epoch}) AS ts, user_id % 8 AS rank, CONCAT('task ', CAST({event} AS VARCHAR(20))) AS current_task, '1/1' AS progress, '-' AS level, CONCAT('step ', CAST(user_id % 3 AS VARCHAR(20))) AS current_step, CAST(NULL AS VARCHAR) AS error FROM events"""
+_FOLD = f"""WITH RECURSIVE s AS ({_RUN.format(epoch="CAST(event_id*40000 AS BIGINT)", event="event_id//50")}),
+  o AS (SELECT *, row_number() OVER w AS n, lag(current_task) OVER w AS t, lag(current_step) OVER w AS p FROM s WINDOW w AS (PARTITION BY rank ORDER BY ts, event_id)),
+  c AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY n) AS k, n = 1 OR t IS DISTINCT FROM current_task AS forced FROM o WHERE n = 1 OR t IS DISTINCT FROM current_task OR p IS DISTINCT FROM current_step),
+  f AS (SELECT rank, k, event_id, true AS emit, ts AS at FROM c WHERE k = 1
+    UNION ALL SELECT c.rank, c.k, c.event_id, c.forced OR epoch_us(c.ts) - epoch_us(f.at) > 100000, CASE WHEN c.forced OR epoch_us(c.ts) - epoch_us(f.at) > 100000 THEN c.ts ELSE f.at END FROM f JOIN c ON c.rank = f.rank AND c.k = f.k + 1)
+  SELECT s.event_id, s.ts, s.rank, current_task, progress, level, current_step, error FROM f JOIN s USING (event_id) WHERE emit"""
+
 
+def _run(events):
+    step = F.concat(F.lit("step "), (F.col("user_id") % 3).cast("string"))
+    task = F.concat(F.lit("task "), F.floor(F.col("event_id") / 50).cast("string"))
+    return events.select("event_id", F.timestamp_micros((F.col("event_id") * 40000).cast("long")).alias("ts"), (F.col("user_id") % 8).alias("rank"), task.alias("current_task"), F.lit("1/1").alias("progress"), F.lit("-").alias("level"), step.alias("current_step"), F.lit(None).cast("string").alias("error"))
 
-@R.query(f"""SELECT event_id, ts, rank, current_task, progress, level, current_step, error
-  FROM (SELECT *, {", ".join(f"lag({c}) OVER w AS b_{c}" for c in _FIELDS)}, row_number() OVER w AS n FROM status_fx WINDOW w AS (PARTITION BY rank ORDER BY ts, event_id))
-  WHERE n = 1 OR {" OR ".join(f"b_{c} IS DISTINCT FROM {c}" for c in _FIELDS)}""")
+
+@R.query(_FOLD)
 def status_changes(t):
-    return M.status_changes_batch(t("status_fx"))
+    """The events as a stream of statuses: changes with the gap of a tenth of a second."""
+    stream = _run(t.stream("events"))
+    path = f"{shared_dir(stream.sparkSession)}/groundweave/run-{uuid.uuid4().hex}"
+    M.follow_changes(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return stream.sparkSession.read.schema(M.STATUS).parquet(f"{path}/out/changes/batch=*")
+
+
+@R.query(_FOLD)
+def status_changes_batch(t):
+    """The same at once, by ranges."""
+    return M.status_changes_batch(_run(t("events")))

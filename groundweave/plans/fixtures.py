@@ -50,13 +50,14 @@ FIXTURES = {
 }
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given or derived table as a DataFrame."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A given or derived table as a DataFrame, or as a stream of the given table's files."""
     if name not in FIXTURES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        given = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.readStream.schema(given.schema).parquet(f"{sf_dir}/{name}.parquet*") if stream else given
     text = FIXTURES[name]
     used = [n for n in (*GIVEN, *FIXTURES) if "{" + n + "}" in text]
-    return spark.sql(text, **{n: fixture(spark, sf_dir, n) for n in used})
+    return spark.sql(text, **{n: fixture(spark, sf_dir, n, stream) for n in used})
 
 
 def with_fixtures(body: str) -> str:

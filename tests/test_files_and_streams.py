@@ -98,3 +98,62 @@ def test_sample_groups_that_are_there_stay(spark, tmp_path):
     for name in ("group_images", "parallax"):
         read = spark.read.schema("v double, group_id long").parquet(f"file://{tmp_path}/g/{name}")
         assert sorted((r["group_id"], r["v"]) for r in read.collect()) == [(1, 1.0), (2, 1.0), (3, 2.0)]
+
+
+def test_changes_by_ranges_equal_one_walk(spark):
+    """Ranges of 7 rows, ties in time, a rank with most rows, rows without a rank; the state carries over into the next batch."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(1)
+    rows, at = [], 0.0
+    for i in range(400):
+        at += rng.choice([0.0, 0.02, 0.05, 0.3])
+        rows.append((i, pd.Timestamp(at, unit="s").to_pydatetime(), rng.choice([0, 0, 0, 0, 1, 2]), f"t{i // 90}", "1/1", "-", f"s{rng.randrange(3)}", None))
+    rows.append((999, None, 1, "x", "x", "x", "x", None)), rows.append((998, pd.Timestamp(0).to_pydatetime(), None, "x", "x", "x", "x", None))
+    df = spark.createDataFrame(rows, monitor.STATUS)
+    want = []
+    for rank in range(3):
+        own = pd.DataFrame([r for r in rows if r[2] == rank and r[1] is not None], columns=["event_id", "ts", "rank", "current_task", "progress", "level", "current_step", "error"]).sort_values(["ts", "event_id"])
+        flags, _, _ = monitor._changes(own, None, 0.0, 0.1)
+        want += own["event_id"][flags].tolist()
+    ids = lambda d: sorted(r["event_id"] for r in d.collect())
+    assert ids(monitor.changes_by_ranges(df, per_task=7)[0]) == sorted(want) and 50 < len(want) < 300
+    one, state = monitor.changes_by_ranges(df.where("event_id < 170"), per_task=7)
+    two, end = monitor.changes_by_ranges(df.where("event_id >= 170"), state=state, per_task=7)
+    assert sorted(ids(one) + ids(two)) == sorted(want) and {r["rank"] for r in end.collect()} == {0, 1, 2}
+    assert monitor.changes_by_ranges(df.limit(0))[0].count() == 0
+
+
+def test_follow_changes_over_many_batches(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{tmp_path}/in")
+    from groundweave.plans.embed_queries import _run
+
+    stream = _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    monitor.follow_changes(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(240)
+    got = spark.read.parquet(f"{tmp_path}/out/changes/batch=*")
+    state = spark.read.parquet(f"{tmp_path}/out/state")
+    assert state.select("batch").distinct().count() == 4 and got.count() > 100
+    assert got.count() == got.select("event_id").distinct().count()
+
+
+def test_a_crash_stops_the_stream(spark, tmp_path):
+    import pandas as pd
+
+    def batch(name, rows):
+        spark.createDataFrame([(i, pd.Timestamp(i, unit="s").to_pydatetime(), 0, "t", "1/1", "-", "s", e) for i, e in rows], monitor.STATUS).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+
+    for k, rows in enumerate(([(1, None), (2, "")], [(3, None), (5, "later"), (4, "first")], [(6, None), (7, "third")])):
+        batch(f"in/{k}", rows)
+    source = lambda: spark.readStream.schema(monitor.STATUS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    crash = monitor.stop_on_crash(source(), f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()
+    assert [(r["event_id"], r["error"]) for r in crash] == [(4, "first")]
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out/statuses/batch=*").collect()) == [1, 2, 3, 4]
+    assert not spark.streams.active
+    again = monitor.stop_on_crash(source(), f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()  # started anew, it writes nothing more
+    assert [r["event_id"] for r in again] == [4] and spark.read.parquet(f"{tmp_path}/out/statuses/batch=*").count() == 4
+    calm = spark.readStream.schema(monitor.STATUS).parquet(f"{tmp_path}/in/0")
+    assert monitor.stop_on_crash(calm, f"{tmp_path}/calm", f"{tmp_path}/calm-checkpoint").count() == 0
