@@ -16,11 +16,17 @@ from groundweave.operators.sampling import numbered_by, percentiles, running
 from groundweave.sources.shared import written
 
 
-def error_report(errors: DataFrame, d: str = "d", by: tuple[str, ...] = ()) -> DataFrame:
-    """count, mean, median, max, rmse and percentages under 1, 3 and 5, for each group of `by` and overall (null keys).
+#: Distinct values, of all groups together, up to which medians are taken from one buffer a group; beyond, by ranges.
+FEW = 200_000
+
+
+def error_report(errors: DataFrame, d: str = "d", by: tuple[str, ...] = (), overall: bool = True, few: int = FEW) -> DataFrame:
+    """count, mean, median, max, rmse and percentages under 1, 3 and 5, for each group of `by`, and overall. With `by`, is_overall tells
+    the overall row, whose keys are null, from a group of null keys; overall=False leaves it out.
 
     A NaN error counts and is never under a threshold, and makes mean, median, max and rmse of its group NaN. A null
-    error counts as NaN. Without rows the overall row has count 0 and NaN.
+    error counts as NaN. Without rows the overall row has count 0 and NaN. Equal errors of a group are counted first; the exact median comes
+    from these counts in the same pass where they are few, else by ranges.
     """
     keys, nan = list(by), F.lit(float("nan"))
     counted = written(errors.groupBy(*keys, F.coalesce(F.col(d).cast("double"), nan).alias("_d")).agg(F.count("*").alias("_n")), "errors")
@@ -31,16 +37,21 @@ def error_report(errors: DataFrame, d: str = "d", by: tuple[str, ...] = ()) -> D
     under = lambda t: F.coalesce(mean(F.when(F.isnan(x), 0.0).when(x < t, 100.0).otherwise(0.0)), nan)
     first = [F.coalesce(F.sum(n), F.lit(0)).alias("count"), poisoned(mean(kept)).alias("mean")]
     rest = [poisoned(F.max(kept)).alias("max"), poisoned(F.sqrt(mean(kept * kept))).alias("rmse"), *(under(t).alias(f"lt{t}_percent") for t in (1, 3, 5))]
+    at_once = counted.count() <= few
 
     def report(of: list[str]) -> DataFrame:
-        found = counted.groupBy(*of).agg(*first, *rest)
-        medians = percentiles(counted.where(~F.isnan(x)), of, "_d", [0.5], n).select(*(F.col(c).alias(f"_by_{c}") for c in of), F.col("p")[0].alias("_m"))
-        met = found.join(medians, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in of), F.lit(True)), "left")
+        found = counted.groupBy(*of).agg(*first, *([F.percentile(kept, 0.5, n).alias("_m")] if at_once else []), *rest)
+        names = [c for c in found.columns[len(of) :] if c != "_m"]
+        if not at_once:
+            medians = percentiles(counted.where(~F.isnan(x)), of, "_d", [0.5], n).select(*(F.col(c).alias(f"_by_{c}") for c in of), F.col("p")[0].alias("_m"))
+            found = found.join(medians, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in of), F.lit(True)), "left")
         median = F.when(F.isnan("mean"), nan).otherwise(F.col("_m")).alias("median")
-        names = found.columns[len(of) :]
-        return met.select(*(F.col(c) if c in of else F.lit(None).cast(errors.schema[c].dataType).alias(c) for c in keys), *names[:2], median, *names[2:])
+        mark = [F.lit(not of).alias("is_overall")] if keys else []
+        return found.select(*(F.col(c) if c in of else F.lit(None).cast(errors.schema[c].dataType).alias(c) for c in keys), *mark, *names[:2], median, *names[2:])
 
-    return report(keys).unionByName(report([])) if keys else report([])
+    if not keys:
+        return report([])
+    return report(keys).unionByName(report([])) if overall else report(keys)
 
 
 def ranked(preds: DataFrame) -> DataFrame:
@@ -172,6 +183,16 @@ def class_index(labels: DataFrame) -> DataFrame:
     return placed.crossJoin(F.broadcast(most)).select("label", F.col("turn").alias("pos"), "idx", "num_classes")  # one row
 
 
+def one_hot_index(targets: DataFrame, targets_col: str = "target") -> DataFrame:
+    """class_index of samples with one-hot (or multi-hot) targets (idx, target: array of 0 and 1): a sample counts under each of its classes, and
+    num_classes is the targets' width. Samples of other widths than the first's fail; those without a class have no row."""
+    size = targets.agg(F.min(F.size(targets_col)).alias("a"), F.max(F.size(targets_col)).alias("b")).first()
+    if size["a"] != size["b"]:
+        raise ValueError("targets have different widths")
+    held = targets.select("idx", F.posexplode(targets_col).alias("label", "_on")).where(F.col("_on") > 0).select("idx", F.col("label").cast("long").alias("label"))
+    return numbered_by(held.select("label", "idx"), "label", [F.col("idx")]).select("label", F.col("turn").alias("pos"), "idx", F.lit(size["b"] or 0).cast("long").alias("num_classes"))
+
+
 def class_remap(preds: DataFrame, mapping: list[int], scores: str = "probs") -> DataFrame:
     """Scores (an array) kept and put in the order of mapping."""
     return preds.withColumn(scores, F.array(*(F.get(scores, F.lit(i)) for i in mapping)))

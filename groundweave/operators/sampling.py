@@ -107,6 +107,31 @@ def few_shot_subset(labels: DataFrame, k_or_percent: float, n_tries: int = 1) ->
     return placed.join(counts, "label").where("turn < _n").select("try", "idx", "label")
 
 
+def few_shot_multilabel(labels: DataFrame, k_or_percent: float, n_tries: int = 1) -> DataFrame:
+    """try, idx: for each try the samples, once each, that any of their classes picks (labels: idx, label, a row for each label of a sample).
+
+    A class picks k samples in hash order, or max(int(count * percent), 1) under one. As a picked sample brings its other labels along, a percentage
+    is then set anew for each try to percent / (labels that came / labels wanted), and the classes pick again in the same order.
+    Repeated rows count once; rows without a sample or a label are left out.
+    """
+    known = labels.select("idx", "label").where("idx is not null and label is not null").distinct()
+    tries = known.select("idx", "label", F.explode(F.sequence(F.lit(0), F.lit(n_tries - 1))).alias("try"))
+    places = numbered_by(tries, ["try", "label"], [hash_key(F.col("idx"), F.col("try")), F.col("idx")])
+    placed = written(places, "few-shot")
+    discard(places)
+    if k_or_percent >= 1:
+        return placed.where(F.col("turn") < int(k_or_percent)).select("try", "idx").distinct()
+    counts = known.groupBy("label").agg(F.count("*").alias("_n"))
+    met = placed.join(counts, "label")
+    pick = lambda share: F.col("turn") < F.greatest(F.floor(F.col("_n") * share), F.lit(1))
+    first = met.where(pick(F.lit(float(k_or_percent)))).select("try", "idx").distinct()
+    came = first.join(known, "idx").groupBy("try").agg(F.count("*").alias("_came"))
+    wanted = known.agg(F.floor(F.count("*") * F.lit(float(k_or_percent))).alias("_wanted"))
+    share = F.when(F.col("_wanted") > 0, F.lit(float(k_or_percent)) / (F.col("_came") / F.col("_wanted"))).otherwise(0.0)
+    shares = came.crossJoin(F.broadcast(wanted)).select(F.col("try").alias("_try"), share.alias("_share"))  # a row for each try
+    return met.join(F.broadcast(shares), F.col("try") == F.col("_try")).where(pick(F.col("_share"))).select("try", "idx").distinct()
+
+
 def train_val_split(labels: DataFrame, p: float = 0.1, shuffle: bool = True, seed: int = 0) -> DataFrame:
     """idx, label, is_val: of each class of n the first max(1, int(p n)) are for validation, none of a class of one."""
     key = [hash_key(F.col("idx"), seed), F.col("idx")] if shuffle else [F.col("idx")]

@@ -21,7 +21,7 @@ def error_report(t):
     return rounded(M.error_report(t("pair_err_fx")))
 
 
-@R.query(f"SELECT i, j, {_REPORT} FROM pair_err_fx GROUP BY GROUPING SETS ((i, j), ())")
+@R.query(f"SELECT i, j, GROUPING(i, j) > 0 AS is_overall, {_REPORT} FROM pair_err_fx GROUP BY GROUPING SETS ((i, j), ())")
 def error_report_by_pair(t):
     return rounded(M.error_report(t("pair_err_fx"), by=("i", "j")))
 
@@ -117,6 +117,14 @@ def class_index(t):
     return M.class_index(t("class_fx").select("idx", "label"))
 
 
+@R.query("""WITH l AS (SELECT idx, cls AS label FROM preds_fx WHERE score > 0.5)
+  SELECT label, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS pos, idx, CAST(5 AS BIGINT) AS num_classes FROM l""")
+def one_hot_index(t):
+    """Samples whose targets are the classes of high score."""
+    target = F.transform(F.sort_array(F.collect_list(F.struct("cls", "score"))), lambda x: (x["score"] > 0.5).cast("int"))
+    return M.one_hot_index(t("preds_fx").groupBy("idx").agg(target.alias("target")))
+
+
 @R.query("SELECT idx, MAX(CASE WHEN cls = 3 THEN score END) AS p0, MAX(CASE WHEN cls = 1 THEN score END) AS p1 FROM preds_fx GROUP BY idx")
 def class_remap(t):
     wide = t("preds_fx").groupBy("idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("cls", "score"))), lambda x: x["score"]).alias("probs"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from groundweave.operators.metrics import error_report
 from groundweave.operators.spatial import overlap_pairs
 from groundweave.plans import adjust_queries, camera_queries, crop_queries, embed_queries, metric_queries, raster_queries, sampling_queries, source_queries, spatial_queries
-from groundweave.plans.base import Registry, rounded
-from groundweave.plans.fixtures import fixture
+from groundweave.plans.base import Registry, Tables, rounded
 from groundweave.plans.spatial_queries import MIN_AREA, scenes
 
 R = Registry()
@@ -23,12 +22,12 @@ R = Registry()
 def overlap_error_report(t):
     """For each pair of image numbers: overlapping scene pairs, their shared area, and the error of their tie points."""
     k = overlap_pairs(scenes(t), MIN_AREA).groupBy((F.col("i") % 7).alias("i"), (F.col("j") % 7).alias("j")).agg(F.count("*").alias("n_pairs"), F.round(F.sum("area"), 4).alias("area"))
-    e = error_report(t("pair_err_fx"), by=("i", "j")).where("i is not null").select("i", "j", "count", "mean", "median", "max")
+    e = error_report(t("pair_err_fx"), by=("i", "j"), overall=False).select("i", "j", "count", "mean", "median", "max")
     return rounded(k.join(e, ["i", "j"]))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_error_report(lambda name: fixture(spark, sf_dir, name))
+    return overlap_error_report(Tables(spark, sf_dir))
 
 
 _PARTS = (R, metric_queries.R, raster_queries.R, sampling_queries.R, adjust_queries.R, spatial_queries.R, embed_queries.R, camera_queries.R, crop_queries.R, source_queries.R)

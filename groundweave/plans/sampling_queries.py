@@ -23,6 +23,17 @@ def few_shot_subset(t):
     return O.few_shot_subset(t("class_fx").select("idx", "label"), 0.1, 3)
 
 
+@R.query(f"""WITH l AS (SELECT idx, label FROM class_fx UNION SELECT idx, (label + 1 + idx % 3) % 25 FROM class_fx),
+  x AS (SELECT k.try, idx, label, row_number() OVER (PARTITION BY k.try, label ORDER BY {_H.format('idx', 'k.try')}, idx) AS r, COUNT(*) OVER (PARTITION BY k.try, label) AS n FROM l, (VALUES (0), (1), (2)) k(try)),
+  f AS (SELECT DISTINCT try, idx FROM x WHERE r <= GREATEST(floor(n*CAST(0.1 AS DOUBLE)), 1)),
+  s AS (SELECT f.try, CAST(0.1 AS DOUBLE)/(COUNT(*)/floor((SELECT COUNT(*) FROM l)*CAST(0.1 AS DOUBLE))) AS share FROM f JOIN l USING (idx) GROUP BY f.try)
+  SELECT DISTINCT x.try, idx FROM x JOIN s USING (try) WHERE r <= GREATEST(floor(n*share), 1)""")
+def few_shot_multilabel(t):
+    """Samples of two labels each."""
+    own = t("class_fx").select("idx", "label")
+    return O.few_shot_multilabel(own.union(own.select("idx", ((F.col("label") + 1 + F.col("idx") % 3) % 25).alias("label"))), 0.1, 3)
+
+
 @R.query(f"""WITH x AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY {_H.format('idx', 0)}, idx) AS r, COUNT(*) OVER (PARTITION BY label) AS n FROM class_fx)
   SELECT idx, label, r <= CASE WHEN n > 1 THEN GREATEST(floor(n*CAST(0.1 AS DOUBLE)), 1) ELSE 0 END AS is_val FROM x""")
 def train_val_split(t):

@@ -30,7 +30,7 @@ def results_csv_append(t):
 @R.query("SELECT i, j, COUNT(*) AS count, ROUND(MAX(d), 6) AS max, 'a' AS run, (SELECT COUNT(*) FROM pair_err_fx) AS total FROM pair_err_fx GROUP BY i, j")
 def report_json(t):
     report = M.error_report(t("pair_err_fx"), by=("i", "j"))
-    text = S.report_json(report.where("i is null").drop("i", "j"), report.where("i is not null"), {"run": "a"})
+    text = S.report_json(report.where("is_overall").drop("i", "j", "is_overall"), report.where("not is_overall").drop("is_overall"), {"run": "a"})
     kind = "parameters struct<run:string>, global_report struct<count:long>, pair_reports array<struct<i:long,j:long,count:long,max:double>>"
     read = text.select(F.from_json("value", kind).alias("r")).select("r.parameters.run", F.col("r.global_report.count").alias("total"), F.explode("r.pair_reports").alias("p"))
     return rounded(read.select("p.i", "p.j", "p.count", "p.max", "run", "total"))
@@ -60,6 +60,31 @@ def append_sample_groups(t):
     return rounded(read.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("xa").alias("total")), 4)
 
 
+@R.query("""WITH g AS (SELECT group_id, COUNT(*) AS n, SUM(l) AS total FROM (SELECT group_id, img_a AS l FROM matches_fx) GROUP BY group_id),
+  v AS (SELECT *, CASE group_id % 8 WHEN 4 THEN 'keys not consecutive' WHEN 5 THEN 'keys differ' WHEN 6 THEN 'attributes' WHEN 7 THEN 'shapes differ' END AS violation FROM g)
+  SELECT group_id, violation, CASE WHEN violation IS NULL THEN 4 END AS n_images, CASE WHEN violation IS NULL THEN 4*6*(n % 200) END AS pixels, CASE WHEN violation IS NULL THEN 4*6*total END AS disparity,
+    CASE WHEN violation IS NULL THEN 'EPSG:32633' END AS crs, CASE WHEN violation IS NULL THEN 0.5::DOUBLE END AS resolution FROM v""")
+def append_checked_groups(t):
+    """Groups of four images, some of which break a rule: what the reader sees of all three tables, and why others were turned away."""
+    of = t("matches_fx").groupBy("group_id").agg(F.count("*").alias("n"), F.sum("img_a").alias("total"))
+    kind = F.col("group_id") % 8
+    each = of.withColumn("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    shown = F.when(kind == 4, F.col("img") + 1).otherwise(F.col("img"))
+    images = each.select("group_id", shown.alias("img"), F.lit(2).alias("h"), F.lit(3).alias("w"), F.array_repeat((F.col("n") % 200).cast("int"), 6).alias("v"))
+    flat = F.when((kind == 7) & (F.col("img") == 2), 3).otherwise(2)
+    parallax = each.where((kind != 5) | (F.col("img") < 3)).select("group_id", shown.alias("img"), flat.alias("h"), (6 / flat).cast("int").alias("w"), F.array_repeat(F.col("total").cast("double"), 6).alias("v"))
+    size = F.when(kind != 6, 1500.0)
+    groups = of.select("group_id", F.lit("EPSG:32633").alias("processing_crs"), F.array(*(F.lit(float(x)) for x in range(4))).alias("window_bounds"), size.alias("window_size_m"), F.lit(3000).alias("output_size_px"), F.lit(0.5).alias("resolution_m_per_px"),
+        F.array(*(F.lit(i).cast("long") for i in range(4))).alias("global_indices"), F.array(*(F.lit(f"{i}.tif") for i in range(4))).alias("source_paths"), F.lit(True).alias("complete"))
+    judged = S.append_checked_groups(groups, images, parallax, path := _place(of, "checked-groups"))
+    seen, pictures, shifts = S.read_checked_groups(of.sparkSession, path, "array<int>", "array<double>")
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    a = pictures.groupBy("group_id").agg(F.count("*").alias("n_images"), F.sum(total("v", F.lit(0))).alias("pixels"))
+    b = shifts.groupBy("group_id").agg(F.sum(total("v", F.lit(0.0))).cast("long").alias("disparity"))
+    whole = seen.select("group_id", F.col("processing_crs").alias("crs"), F.col("resolution_m_per_px").alias("resolution")).join(a, "group_id").join(b, "group_id")
+    return judged.join(whole, "group_id", "left")
+
+
 def _texts(df, name: str) -> str:
     """Writes value as one file for each scene under its own folder scene=.., and returns the folder above."""
     df.repartition("scene").write.partitionBy("scene").text(path := _place(df, name))

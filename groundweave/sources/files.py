@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundweave.functions.cameras import DIRECT, INVERSE, SCALARS
+from groundweave.sources.shared import written
 
 #: Labels of a model file by block, and units of the first ten: fixed by the format.
 LABELS = {"lnum": "LINE_NUM_COEFF", "lden": "LINE_DEN_COEFF", "snum": "SAMP_NUM_COEFF", "sden": "SAMP_DEN_COEFF", "latnum": "LAT_NUM_COEFF", "latden": "LAT_DEN_COEFF", "lonnum": "LONG_NUM_COEFF", "londen": "LONG_DEN_COEFF"}
@@ -155,6 +158,79 @@ def append_sample_groups(groups: DataFrame, images: DataFrame, parallax: DataFra
         new.write.mode("append").partitionBy("group_id").parquet(f"{path}/{name}")
 
 
+#: The attributes that every group has: fixed by the format.
+ATTRIBUTES = {
+    "processing_crs": "string", "window_bounds": "array<double>", "window_size_m": "double", "output_size_px": "int",
+    "resolution_m_per_px": "double", "global_indices": "array<bigint>", "source_paths": "array<string>", "complete": "boolean",
+}
+_PARTS = ("groups", "images", "parallax")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_checked_groups(groups: DataFrame, images: DataFrame, parallax: DataFrame, path: str, min_cover: int = 2) -> DataFrame:
+    """Appends whole, checked groups under path in two phases, and returns group_id, violation (null if it was taken in) of each given group.
+
+    groups: group_id and ATTRIBUTES; images and parallax: group_id, img, h, w, v (array of h * w values). First the new groups' rows are written
+    to a folder of this run's own; then what was written is checked; last the run's manifest names the groups that hold: images and
+    parallax have the same keys 0..n-1, n at least min_cover, one shape in a pair and as many values as it says, every attribute is there, indices and
+    paths are as many as images, complete is true and the resolution is the size by the pixels. A reader sees what manifests name alone,
+    so a group that fails, or a run that ends early, leaves nothing to be seen. Groups that a manifest names already are left as they are
+    ("exists"), as is a group_id that is given twice ("given twice").
+    """
+    spark = groups.sparkSession
+    run = uuid.uuid4().hex
+    staged = f"{path}/runs/run={run}"
+    there = None
+    if _there(spark, f"{path}/manifest"):
+        there = spark.read.parquet(f"{path}/manifest").select("group_id").distinct()
+    for name, df in zip(_PARTS, (groups, images, parallax), strict=True):
+        new = df if there is None else df.join(there, "group_id", "left_anti")
+        new.write.parquet(f"{staged}/{name}")
+    g, i, p = (spark.read.schema(df.schema).parquet(f"{staged}/{name}") for name, df in zip(_PARTS, (groups, images, parallax), strict=True))
+    once = i.groupBy("group_id", "img").agg(F.count("*").alias("a"), F.max(F.struct("h", "w", F.size("v").alias("n"))).alias("x"))
+    other = p.groupBy("group_id", "img").agg(F.count("*").alias("b"), F.max(F.struct("h", "w", F.size("v").alias("n"))).alias("y"))
+    both = once.join(other, ["group_id", "img"], "full_outer")
+    fits = lambda s: F.col(f"{s}.n") == F.col(f"{s}.h") * F.col(f"{s}.w")
+    shapes = (F.col("x.h") == F.col("y.h")) & (F.col("x.w") == F.col("y.w")) & fits("x") & fits("y")
+    keys = both.groupBy(F.col("group_id").alias("_g")).agg(
+        F.min(F.coalesce((F.col("a") == 1) & (F.col("b") == 1), F.lit(False))).alias("same"), F.min(F.coalesce(shapes, F.lit(False))).alias("shaped"),
+        F.count("*").alias("n"), F.min("img").alias("first"), F.max("img").alias("last"),
+    )
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ATTRIBUTES))
+    fields = whole & F.col("complete") & (F.size("window_bounds") == 4) & (F.size("global_indices") == F.col("n")) & (F.size("source_paths") == F.col("n"))
+    fields = fields & (F.abs(F.col("resolution_m_per_px") * F.col("output_size_px") - F.col("window_size_m")) <= 1e-9 * F.col("window_size_m"))
+    counted = g.join(g.groupBy(F.col("group_id").alias("_of")).agg(F.count("*").alias("_times")), F.col("group_id") == F.col("_of"))
+    met = counted.join(keys, F.col("group_id") == F.col("_g"), "left")
+    violation = (
+        F.when(F.col("_times") > 1, "given twice").when(F.col("n").isNull() | ~F.col("same"), "keys differ").when(F.col("n") < min_cover, "too few images")
+        .when((F.col("first") != 0) | (F.col("last") != F.col("n") - 1), "keys not consecutive").when(~F.col("shaped"), "shapes differ").when(~F.coalesce(fields, F.lit(False)), "attributes")
+    )
+    judged = written(met.select("group_id", violation.alias("violation")).distinct(), "judged-groups")
+    judged.where("violation is null").select("group_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{path}/manifest")
+    if there is None:
+        return judged
+    old = groups.select("group_id").distinct().join(there, "group_id", "left_semi").select("group_id", F.lit("exists").alias("violation"))
+    return judged.unionByName(old)
+
+
+def read_checked_groups(spark: SparkSession, path: str, images: str, parallax: str, like: str = "group_id long") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """groups, images, parallax that the manifests under path name; images and parallax give the schemas of their values (v) and like that of the ids."""
+    fields = ", ".join(f"{c} {kind}" for c, kind in ATTRIBUTES.items())
+    if not _there(spark, f"{path}/manifest"):
+        return tuple(spark.createDataFrame([], f"{like}, {s}") for s in (fields, f"img long, h int, w int, v {images}", f"img long, h int, w int, v {parallax}"))
+    named = spark.read.schema(f"{like}, run string").parquet(f"{path}/manifest")
+
+    def part(name: str, schema: str) -> DataFrame:
+        rows = spark.read.schema(f"{like}, {schema}, run string").option("basePath", f"{path}/runs").parquet(f"{path}/runs/run=*/{name}")
+        return rows.join(named, ["group_id", "run"], "left_semi").drop("run")
+
+    return part("groups", fields), part("images", f"img long, h int, w int, v {images}"), part("parallax", f"img long, h int, w int, v {parallax}")
+
+
 def path_key(path: Column) -> Column:
     """A path as a key: slashes become three underscores."""
     return F.replace(path, F.lit("/"), F.lit("___"))

@@ -157,3 +157,29 @@ def test_a_crash_stops_the_stream(spark, tmp_path):
     assert [r["event_id"] for r in again] == [4] and spark.read.parquet(f"{tmp_path}/out/statuses/batch=*").count() == 4
     calm = spark.readStream.schema(monitor.STATUS).parquet(f"{tmp_path}/in/0")
     assert monitor.stop_on_crash(calm, f"{tmp_path}/calm", f"{tmp_path}/calm-checkpoint").count() == 0
+
+
+def test_groups_that_fail_leave_nothing_to_be_seen(spark, tmp_path):
+    from groundweave.sources.files import append_checked_groups, read_checked_groups
+
+    def given(ids, value, **other):
+        attributes = {"processing_crs": "x", "window_bounds": [0.0] * 4, "window_size_m": 10.0, "output_size_px": 5, "resolution_m_per_px": 2.0, "global_indices": [1, 2], "source_paths": ["a", "b"], "complete": True} | other
+        kinds = "group_id long, processing_crs string, window_bounds array<double>, window_size_m double, output_size_px int, resolution_m_per_px double, global_indices array<bigint>, source_paths array<string>, complete boolean"
+        groups = spark.createDataFrame([(i, *attributes.values()) for i in ids], kinds)
+        rows = spark.createDataFrame([(i, k, 1, 2, [value, value]) for i in ids for k in (0, 1)], "group_id long, img long, h int, w int, v array<double>")
+        return groups, rows, rows
+
+    path = f"file://{tmp_path}/groups"
+    read = lambda: read_checked_groups(spark, path, "array<double>", "array<double>")
+    assert all(d.count() == 0 for d in read())
+    verdict = lambda *of: {r["group_id"]: r["violation"] for r in append_checked_groups(*of, path).collect()}
+    assert verdict(*given([1, 2], 1.0)) == {1: None, 2: None}
+    assert verdict(*given([2, 3], 2.0)) == {2: "exists", 3: None}
+    assert verdict(*given([4], 1.0, complete=False)) == {4: "attributes"} and verdict(*given([5, 5], 1.0))[5] == "given twice"
+    groups, images, parallax = given([6, 7, 8], 1.0)
+    assert verdict(groups, images.where("group_id <> 6"), parallax) == {6: "keys differ", 7: None, 8: None}
+    assert verdict(*given([4], 4.0)) == {4: None}  # a group that failed may come again
+    groups, images, parallax = read()
+    assert sorted(r["group_id"] for r in groups.collect()) == [1, 2, 3, 4, 7, 8]
+    assert sorted({(r["group_id"], r["v"][0]) for r in images.collect()}) == [(1, 1.0), (2, 1.0), (3, 2.0), (4, 4.0), (7, 1.0), (8, 1.0)]
+    assert images.count() == parallax.count() == 12

@@ -71,3 +71,25 @@ def test_best_of_with_ties(want):
     order = np.argsort(-sims, axis=1, kind="stable")[:, :want]
     assert c.tolist() == order.ravel().tolist() and r.tolist() == np.repeat(np.arange(17), order.shape[1]).tolist()
     assert v.tolist() == np.take_along_axis(sims, order, axis=1).ravel().tolist()
+
+
+def test_error_report_knows_null_keys_from_overall_and_takes_both_ways(spark):
+    rows = [(None, 1.0), (None, 2.0), (None, None), (1, 4.0), (1, 1.0), (1, 2.5), (2, float("nan"))]
+    df = spark.createDataFrame(rows, "i long, d double")
+    one, many = (sorted(map(str, error_report(df, by=("i",), few=few).collect())) for few in (10, 0))
+    assert one == many and len(one) == 4
+    got = {(r["i"], r["is_overall"]): r for r in error_report(df.where("d is not null and not isnan(d)"), by=("i",)).collect()}
+    assert got[None, True]["median"] == 2.0 and got[None, False]["median"] == 1.5 and got[1, False]["median"] == 2.5
+    assert not any(r["is_overall"] for r in error_report(df, by=("i",), overall=False).collect())
+
+
+def test_few_shot_of_many_labels(spark):
+    """60 samples of two labels each: twelve labels are wanted of 120, and each sample comes once."""
+    from groundweave.operators.sampling import few_shot_multilabel
+
+    labels = spark.createDataFrame([(i, k) for i in range(60) for k in (i % 6, 6 + i % 4)] + [(0, 0), (None, 1), (3, None)], "idx long, label long")
+    got = [tuple(r) for r in few_shot_multilabel(labels, 0.1, 2).collect()]
+    assert len(got) == len(set(got)) and {t for t, _ in got} == {0, 1}
+    assert all(10 <= 2 * sum(t == k for t, _ in got) <= 20 for k in (0, 1))  # ten classes pick at least one each, some the same
+    assert len([r for r in few_shot_multilabel(labels, 1, 1).collect()]) <= 10 and few_shot_multilabel(labels, 100, 1).count() == 60
+    assert few_shot_multilabel(labels.limit(0), 0.5).count() == 0
