@@ -154,11 +154,16 @@ class Scorer:
         return total
 
 
+#: Bytes of a text that are taken or left out together.
+PIECE = 1 << 12
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_bytes: int = FIT_BYTES) -> ContextTrees:
     """Context trees of every language among rows with text and language.
 
-    The bytes of each language are counted over all rows. Where they exceed its share of fit_bytes, a share of its
-    rows is taken, chosen by a hash of id and text. The trees have at most fit_bytes strings, which bounds what reaches the driver
+    The bytes of each language are counted over all rows. Where they exceed its share of fit_bytes, a share of the pieces of PIECE
+    bytes that its texts fall into is taken, chosen by a hash of id, text and place, so that a language in one long text is learned as
+    one in many short ones. The trees have about fit_bytes strings at most, which bounds what reaches the driver
     and goes to the executors. Without any labelled row there are no languages.
     """
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("t is not null and lang is not null")
@@ -167,15 +172,21 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     if not langs:
         return ContextTrees([], [], [])
     share = fit_bytes / len(langs)
-    keep, number = F.lit(False), F.lit(-1)
+    number = most = F.lit(-1)
     for i, lang in enumerate(langs):
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("k", "t"), F.lit(1 << 20)) < int(min(1.0, share / sizes[lang]) * (1 << 20))))
         number = F.when(F.col("lang") == lang, i).otherwise(number)
+        most = F.when(F.col("lang") == lang, int(min(1.0, share / sizes[lang]) * (1 << 30))).otherwise(most)
+    every = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("t") - 1, F.lit(0)) / PIECE).cast("int"))
+    placed = rows.select(number.alias("lang"), "t", F.xxhash64("k", "t").alias("h"), most.alias("most"))
+    chosen = placed.withColumn("pieces", F.filter(every, lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) < F.col("most")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lang, own in b.groupby("lang")["t"]:
-                codes = [gram_codes(np.frombuffer(_PAD + t.encode(), "uint8")) for t in own]
+            for lang, own in b.groupby("lang"):
+                codes = []
+                for t, pieces in zip(own["t"], own["pieces"], strict=True):
+                    data = np.frombuffer(_PAD + t.encode(), "uint8")
+                    codes += [gram_codes(data[i * PIECE : (i + 1) * PIECE + ORDER]) for i in pieces]
                 grams, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": grams.astype("int64"), "n": n})
 
@@ -183,7 +194,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
         b = b.sort_values("gram")
         return pd.DataFrame({"lang": b["lang"].iloc[:1], "grams": [b["gram"].to_numpy().tobytes()], "counts": [b["n"].to_numpy("int32").tobytes()]})
 
-    found = rows.where(keep).select(number.alias("lang"), "t").mapInPandas(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = chosen.where(F.size("pieces") > 0).select("lang", "t", "pieces").mapInPandas(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     packed = {r["lang"]: r for r in found.groupBy("lang").applyInPandas(pack, "lang int, grams binary, counts binary").toLocalIterator()}
     grams = [np.frombuffer(packed[i]["grams"], "uint64") if i in packed else np.zeros(0, "uint64") for i in range(len(langs))]
     counts = [np.frombuffer(packed[i]["counts"], "int32") if i in packed else np.zeros(0, "int32") for i in range(len(langs))]

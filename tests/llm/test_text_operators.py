@@ -55,6 +55,15 @@ def test_langid_scores_are_exact_code_lengths():
     assert np.allclose(scorer.texts(new), want) and np.allclose(scorer.texts(new), want)
 
 
+def test_langid_learns_a_language_of_one_long_text(spark):
+    """The sample is taken by pieces: a language that one text of 1.1 MB holds is learned within a fit of 200 kB, and no more than that is taken."""
+    polish = "zażółć gęślą jaźń wszystkie dzieci naszego świata chodzą do szkoły "
+    rows = [(i, text(60, i), "en") for i in range(400)] + [(1000, polish * 15_000, "pl")]
+    trees = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_bytes=200_000)
+    asked = spark.createDataFrame([(1, polish * 2), (2, text(40, 900))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, trees).collect()} == {1: "pl", 2: "en"}
+
+
 def test_langid_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op1_langid(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
