@@ -67,15 +67,17 @@ def compose_affines(t):
     return rounded(O.compose_affines(deltas).select("window_id", F.col("m")[0].alias("m0"), F.col("m")[2].alias("m2")))
 
 
-@R.query("""WITH p AS (SELECT c_custkey // 3 AS id, c_custkey % 3 AS step, 0.1*(c_custkey % 7) AS s, CAST(c_custkey % 11 AS DOUBLE) AS t FROM customer), g AS (SELECT * FROM (VALUES (0.0, 0.0), (10.0, 0.0), (0.0, 10.0), (10.0, 10.0)) v(r, c)),
-  e AS (SELECT id, step, AVG(sqrt((s*r+t)*(s*r+t)+(s*c+t)*(s*c+t))) AS epe, MAX(sqrt(2*t*t)) AS translation FROM p, g GROUP BY id, step), l AS (SELECT *, MAX(step) OVER (PARTITION BY id) AS last FROM e)
-  SELECT id, ROUND(MAX(CASE WHEN step = last THEN epe END), 6) AS epe_last, ROUND(SUM(epe*pow(0.8, last-step))/SUM(pow(0.8, last-step)), 6) AS epe_decayed, ROUND(MAX(CASE WHEN step = last THEN translation END), 6) AS translation FROM l GROUP BY id""")
+@R.query("""WITH p AS (SELECT c_custkey // 3 AS id, c_custkey % 3 AS step, 1 + 0.1*(c_custkey % 7) AS s, CAST(c_custkey % 11 AS DOUBLE) AS t, 0.05*(c_custkey % 13 - 6) AS a, 0.03*(c_custkey // 3 % 5) AS b FROM customer), g AS (SELECT * FROM (VALUES (0.0, 0.0), (10.0, 0.0), (0.0, 10.0), (10.0, 10.0)) v(r, c)),
+  e AS (SELECT id, step, AVG(sqrt(pow(s*(cos(a)*r - sin(a)*c) + t - cos(b)*r + sin(b)*c, 2) + pow(s*(sin(a)*r + cos(a)*c) + t - sin(b)*r - cos(b)*c, 2))) AS epe, MAX(sqrt(2*t*t)) AS translation, MAX(abs(degrees(a) - degrees(b))) AS rotation FROM p, g GROUP BY id, step), l AS (SELECT *, MAX(step) OVER (PARTITION BY id) AS last FROM e)
+  SELECT id, ROUND(MAX(CASE WHEN step = last THEN epe END), 6) AS epe_last, ROUND(SUM(epe*pow(0.8, last-step))/SUM(pow(0.8, last-step)), 6) AS epe_decayed, ROUND(MAX(CASE WHEN step = last THEN rotation END), 6) AS rotation, ROUND(MAX(CASE WHEN step = last THEN translation END), 6) AS translation FROM l GROUP BY id""")
 def affine_endpoint_error(t):
+    """Turned, scaled and shifted affines against turned ones."""
     k = F.col("c_custkey")
-    s, d = (k % 7) * 0.1 + 1, (k % 11).cast("double")
-    pred = t("customer").select(F.floor(k / 3).cast("long").alias("id"), (k % 3).alias("step"), F.array(s, F.lit(0.0), d, F.lit(0.0), s, d).alias("m"))
-    truth = pred.select("id").distinct().withColumn("m", F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))))
-    return rounded(O.affine_endpoint_error(pred, truth, _grid(t)).drop("rotation"))
+    s, d, a = (k % 7) * 0.1 + 1, (k % 11).cast("double"), (k % 13 - 6) * 0.05
+    pred = t("customer").select(F.floor(k / 3).cast("long").alias("id"), (k % 3).alias("step"), F.array(s * F.cos(a), -s * F.sin(a), d, s * F.sin(a), s * F.cos(a), d).alias("m"))
+    b, zero = F.col("id") % 5 * 0.03, F.lit(0.0)
+    truth = pred.select("id").distinct().withColumn("m", F.array(F.cos(b), -F.sin(b), zero, F.sin(b), F.cos(b), zero))
+    return rounded(O.affine_endpoint_error(pred, truth, _grid(t)))
 
 
 def _grid(t):

@@ -85,6 +85,20 @@ def feature_pca3(t):
     return O.feature_pca3(_vectors(t).select("id", "v"))
 
 
+@R.query("""WITH e AS (SELECT vec_id, (vec_id % 97 + 1)*4.0 AS a, vec_id % 31 + 1 AS b, (vec_id % 7 + 1)*0.1 AS c FROM embeddings),
+  v AS (SELECT vec_id*8 + k AS id, a*(1 - k % 2*2) AS x, b*(1 - k//2%2*2) AS y, c*(1 - k//4%2*2) AS z FROM e, range(8) r(k)), m AS (SELECT MAX(x) AS m FROM v)
+  SELECT id, CAST(floor((x + m)*255/(2*m)) AS INTEGER) AS c0, CAST(floor((y + m)*255/(2*m)) AS INTEGER) AS c1, CAST(floor((z + m)*255/(2*m)) AS INTEGER) AS c2 FROM v, m""")
+def feature_pca3_planted(t):
+    """Vectors that lie evenly about 0 along three axes of falling spread: their components are what they have along these."""
+    k = F.col("vec_id")
+    on = lambda i: 1 - F.floor(F.col("k") / i) % 2 * 2
+    parts = ((k % 97 + 1) * 4.0 * on(1), (k % 31 + 1) * on(2), (k % 7 + 1) * 0.1 * on(4))
+    spread = t("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    zero = F.lit(0.0)
+    vectors = spread.select((k * 8 + F.col("k")).alias("id"), F.array(zero, parts[2].cast("double"), parts[0].cast("double"), zero, parts[1].cast("double")).alias("v"))
+    return O.feature_pca3(vectors).select("id", *(F.col("c")[i].alias(f"c{i}") for i in range(3)))
+
+
 @R.query()
 def logreg_sweep(t):
     v = _vectors(t)

@@ -100,15 +100,26 @@ def fill_squares(t):
     return O.fill_squares(_polys(t), 1600.0, 400.0).groupBy("id", "side").agg(F.count("*").alias("n"))
 
 
-@R.query(f"SELECT a.scene_id*100000 + b.scene_id AS pair_id, CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS inside FROM scenes_fx a JOIN scenes_fx b ON a.scene_id < b.scene_id AND {_MEET} WHERE {_SHARE} >= {MIN_AREA}")
+_DRAW = "(((pair_id*1000003 + n) % 2147483647*2654435761 + {0}*40503) % 4294967296)/4294967296.0::DOUBLE"
+
+
+@R.query(f"""WITH b AS (SELECT a.scene_id*100000 + b.scene_id AS pair_id, GREATEST(a.x0, b.x0) AS x0, GREATEST(a.y0, b.y0) AS y0, LEAST(a.x0 + a.w, b.x0 + b.w) AS x1, LEAST(a.y0 + a.h, b.y0 + b.h) AS y1
+    FROM scenes_fx a JOIN scenes_fx b ON a.scene_id < b.scene_id AND {_MEET} WHERE {_SHARE} >= {MIN_AREA}),
+  s AS (SELECT pair_id, (x0 + x1)/2 - 0.45*(x1 - x0) AS x0, (x0 + x1)/2 + 0.45*(x1 - x0) AS x1, (y0 + y1)/2 - 0.45*(y1 - y0) AS y0, (y0 + y1)/2 + 0.45*(y1 - y0) AS y1 FROM b),
+  d AS (SELECT s.*, n, {_DRAW.format(42)} AS u, sqrt({_DRAW.format(43)}) AS v, {_DRAW.format(44)} AS w FROM s, range(20) k(n)),
+  p AS (SELECT pair_id, (1 - v)*x0 + v*(1 - w)*x1 + v*w*CASE WHEN u < 0.5 THEN x1 ELSE x0 END AS x, (1 - v)*y0 + v*(1 - w)*CASE WHEN u < 0.5 THEN y0 ELSE y1 END + v*w*y1 AS y FROM d)
+  SELECT pair_id, COUNT(*) AS n, ROUND(SUM(x), 3) AS x, ROUND(SUM(y), 3) AS y FROM p GROUP BY pair_id""")
 def overlap_points(t):
-    s = scenes(t)
-    rings = s.select(F.col("scene_id").alias("i"), F.col("ring").alias("a"))
-    pairs = O.overlap_pairs(s, MIN_AREA).join(rings, "i").join(rings.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
-    pairs = pairs.select((F.col("i") * 100000 + F.col("j")).alias("pair_id"), F.lit(20).cast("long").alias("k"), O.convex_clip(F.col("a"), F.col("b")).alias("ring"))
-    points = O.overlap_points(pairs).join(O.with_box(pairs.select("pair_id", "ring")), "pair_id")
-    inside = (F.col("x") >= F.col("bx0")) & (F.col("x") <= F.col("bx1")) & (F.col("y") >= F.col("by0")) & (F.col("y") <= F.col("by1"))
-    return points.groupBy("pair_id").agg(F.count("*").alias("n"), F.sum(inside.cast("long")).alias("inside"))
+    """Twenty points of each overlap, whose corners go round from the least x and y: the sums of their places."""
+    boxes = t("scenes_fx")
+    side = lambda s: boxes.select(F.col("scene_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("x0", "y0", "w", "h")))
+    met = O.overlap_pairs(scenes(t), MIN_AREA).select("i", "j").join(side("i"), "i").join(side("j"), "j")
+    low = lambda c: F.greatest(f"{c}_i", f"{c}_j")
+    high = lambda c, size: F.least(F.col(f"{c}_i") + F.col(f"{size}_i"), F.col(f"{c}_j") + F.col(f"{size}_j"))
+    x0, y0, x1, y1 = low("x0"), low("y0"), high("x0", "w"), high("y0", "h")
+    ring = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+    points = O.overlap_points(met.select((F.col("i") * 100000 + F.col("j")).alias("pair_id"), F.lit(20).cast("long").alias("k"), ring.alias("ring")))
+    return rounded(points.groupBy("pair_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")), 3)
 
 
 _KEY = "(scene_id*1000003 + trial) % 2147483647"
