@@ -69,3 +69,24 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
             docs = written(stage(spark, docs, ""), "odd-" + name.replace(" ", "-"))
         assert docs.columns[:2] == ["doc_id", "piece"]
     assert docs.count() == 0
+
+
+def test_planted_copies_and_passages_are_caught_and_clean_documents_stay(spark):
+    """On the given documents and planted ones: of exact and near copies one stays, a passage of 51 words in twelve documents is cut from all
+    of them, and every clean planted document comes out as it went in."""
+    given = table(spark, "/root/testdata/sf0.001", "documents")
+    clean = [(10_000 + i, text(120, 1000 + i)) for i in range(60)]
+    exact = [(20_000 + i, text(150, 2000)) for i in range(8)]
+    words = text(200, 3000).split()
+    near = [(30_000 + i, " ".join([*words[: 20 * i + 5], "changed", *words[20 * i + 6 :]])) for i in range(8)]
+    passage = text(51, 4000)
+    shared = [(40_000 + i, f"{text(70, 5000 + i)} {passage} {text(70, 6000 + i)}") for i in range(12)]
+    planted = spark.createDataFrame([(k, t, "en", "planted", len(t)) for k, t in clean + exact + near + shared], given.select(*corpus_pipeline.COLUMNS).schema)
+    docs = given.select(*corpus_pipeline.COLUMNS).unionByName(planted)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = written(stage(spark, docs, ""), "planted-" + name.replace(" ", "-"))
+    left = {k: t for k, t in rows(docs) if k >= 10_000}
+    assert all(left[k] == t for k, t in clean)
+    assert [k for k in left if 20_000 <= k < 40_000] == [20_000, 30_000]
+    assert all(passage not in left[k] and left[k].startswith(text(70, 5000 + k - 40_000)[:-20]) and left[k].endswith(text(70, 6000 + k - 40_000)[20:]) for k, _ in shared)
+    assert len(passage.encode()) > corpus_pipeline.PASSAGE and sum(len(left[k]) for k, _ in shared) > 0.95 * sum(len(t) - len(passage) for _, t in shared)
