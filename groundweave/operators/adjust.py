@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundweave.functions import geometry as G
-from groundweave.sources.shared import written
+from groundweave.sources.shared import discard, written
 
 
 def anchor_scene(edges: DataFrame) -> DataFrame:
@@ -127,19 +127,23 @@ def graph_components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "both")
     labels = written(both.groupBy("i").agg(F.least(F.col("i"), F.min("j")).alias("component")).withColumnRenamed("i", "id"), "labels")
     while True:
-        least = both.join(labels.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.min("component").alias("m"))
-        near = labels.join(least, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
+        least = both.join(labels.select(F.col("id").alias("j"), "component"), "j").groupBy(F.col("i").alias("id")).agg(F.min("component").alias("m"))
+        near = labels.select("id", "component").join(least, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         new = written(near.join(labels.select(F.col("id").alias("component"), F.col("component").alias("next")), "component").select("id", F.least("component", "next").alias("component"), "was"), "labels")
+        discard(labels)
+        labels = new
         if not new.where("component <> was").limit(1).count():
+            discard(both)
             return new.select("id", "component")
-        labels = new.select("id", "component")
 
 
 def edge_batches(edges: DataFrame, k: int) -> DataFrame:
     """i, j, batch: k parts whose sizes differ by one at most (the first n mod k are larger), connected edges together."""
     from groundweave.operators.sampling import numbered
 
-    placed = written(numbered(edges.select("i", "j").join(graph_components(edges).withColumnRenamed("id", "i"), "i"), [F.col("component"), F.col("i"), F.col("j")], "rn"), "edges")
+    places = numbered(edges.select("i", "j").join(graph_components(edges).withColumnRenamed("id", "i"), "i"), [F.col("component"), F.col("i"), F.col("j")], "rn")
+    placed = written(places, "edges")
+    discard(places)
     n = placed.count()
     small, larger = n // k, n % k
     head = larger * (small + 1)

@@ -46,6 +46,13 @@ def weighted_affine_fit(t):
     return rounded(fit.select("pair_id", *(F.col("m")[i].alias(f"m{i}") for i in range(6))), 4)
 
 
+@R.query(_FIT.replace(" AS xx", " + 1000 AS xx").replace(" AS yy", " + 1000 AS yy"))
+def weighted_affine_fit_damped(t):
+    """The same with a thousand on the diagonal of the centred sums."""
+    fit = O.weighted_affine_fit(t("fit_fx").withColumnRenamed("wgt", "score"), "pair_id", damping=1000.0)
+    return rounded(fit.select("pair_id", *(F.col("m")[i].alias(f"m{i}") for i in range(6))), 4)
+
+
 @R.query(f"SELECT i, j, ROUND(CAST(a AS DOUBLE), 6) AS m2, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT i, j, area AS a FROM {_EDGES} UNION ALL SELECT j, i, -area FROM {_EDGES})")
 def directed_edges(t):
     m = lambda s: F.array(F.lit(1.0), F.lit(0.0), F.col("area") * s, F.lit(0.0), F.lit(1.0), F.lit(0.0))
