@@ -110,6 +110,20 @@ def test_packing_pieces_equal_library(spark, odd_docs, no_docs):
     assert packing.pack(packing.token_pieces(no_docs, path)).count() == 0
 
 
+def test_packing_ids_of_given_documents_equal_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {}
+    for r in packing.token_pieces(docs, path, keep_ids=True).collect():
+        own.setdefault(r["doc_id"], []).append((r["piece"], bytes(r["ids"])))
+    rows = docs.select("doc_id", "text").collect()
+    wanted = model.encode_batch([r["text"] or "" for r in rows], add_special_tokens=False)
+    assert all(np.frombuffer(b"".join(x for _, x in sorted(own[r["doc_id"]])), "<u4").tolist() == [*w.ids, 0] for r, w in zip(rows, wanted, strict=True))
+
+
 def test_packing_fills_sequences_without_gaps(spark):
     rows = packing.op9_packing(spark, "/root/testdata/sf0.01").collect()
     by = {}
@@ -171,6 +185,19 @@ def test_chat_layouts_and_escapes(spark):
     assert "<" not in read[1][2].replace("<turn>", "").replace("</turn>", "")
 
 
+def test_chat_of_no_rows_long_texts_and_clashing_names(spark):
+    kinds = "conv_id long, turn long, role string, text string"
+    none = chat.as_records(spark.createDataFrame([], kinds))
+    assert chat.format_turns(chat.canonical_turns(none, "record")).count() == 0
+    long = "<turn>\\n\n" * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "user", None), (None, 0, None, "x"), (2, 0, "assistant", ""), (3, 5, "user", "late"), (3, 5, "user", "late")]
+    given = spark.createDataFrame(rows, kinds).selectExpr("*", "1 AS record", "2 AS pos", "3 AS m", "4 AS _layout", "5 AS piece")
+    out = chat.format_turns(chat.canonical_turns(chat.as_records(given), "record"))
+    read = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss_mask")).alias("learned"))
+    got = {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["learned"]) for r in read.collect()}
+    assert got == {1: ([("user", long), ("assistant", long), ("user", "")], long), None: ([("", "x")], ""), 2: ([("assistant", "")], ""), 3: ([("user", "late")] * 2, "")}
+
+
 def test_chat_is_native(spark):
     plan = chat.op6_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -426,6 +453,7 @@ def test_html_given_pages_keep_their_articles():
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>Only a few words"), (3, "u", "<nav>menu</nav>"), (4, "u", "<article><p>cut off in the mid &am"), (None, "u", "<script>never closed <p>x"), (5, "u", "<p>" * 2000 + "deep" + "x " * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS _place")).collect()
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert sorted((str(r["page_id"]), r["text"][:40]) for r in got) == [("1", ""), ("2", ""), ("3", ""), ("3", "Only a few words"), ("4", "cut off in the mid &am"), ("5", ("deep" + "x " * 18)), ("None", "")]
 
 
