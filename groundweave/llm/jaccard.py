@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import discard, let_go, table, text_batches, written
+from groundweave.llm.common import discard, let_go, table, text_batches, trimmed, written
 from groundweave.llm.repeats import Spans
 
 WORDS = 5
@@ -256,7 +256,7 @@ def _links(pairs: DataFrame, docs: DataFrame, near: int, tag: str) -> DataFrame:
         for x in batches:
             yield pd.DataFrame({"id": x["id"], "tokens": [shingle_set(t).tobytes() for t in x["t"]]})
 
-    found = written(texts.join(wanted, "id", "left_semi").mapInPandas(sets, "id long, tokens binary"), f"{tag}-sets")
+    found = written(texts.join(wanted, "id", "left_semi").mapInPandas(trimmed(sets), "id long, tokens binary"), f"{tag}-sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
@@ -269,7 +269,7 @@ def _links(pairs: DataFrame, docs: DataFrame, near: int, tag: str) -> DataFrame:
             yield x.loc[keep, ["a", "b"]]
 
     side = lambda c: found.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
-    out = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(verify, "a long, b long"), f"{tag}-links")
+    out = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(trimmed(verify), "a long, b long"), f"{tag}-links")
     discard(pairs, wanted, marks, found)
     return out
 
@@ -305,7 +305,7 @@ def shingle_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     kinds = "id long, n long, s1 long, s2 long, sig binary, g0 long, g1 long, g2 long, g3 long, token long, times long, bucket long, packed binary"
     size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] // 6  # about as many tokens
     buckets = max(64, 1 << int(size // 5 // 50_000).bit_length())
-    out = written(docs.mapInPandas(_padded(_summaries(buckets, near), kinds), kinds), "summaries")
+    out = written(docs.mapInPandas(trimmed(_padded(_summaries(buckets, near), kinds)), kinds), "summaries")
     often = out.where("token is not null").select("token", "times").unionByName(out.where("bucket is not null").groupBy("bucket").applyInPandas(_counted, "token long, times long"))
     top = often.groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "token").limit(FREQUENT_MOST).toPandas()
     frequent = top["token"].to_numpy("int64")
@@ -321,8 +321,8 @@ def shingle_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     discard(out)
 
     texts = docs.where("id is not null and octet_length(t) > 0").select("t")
-    rare = texts.mapInPandas(_rare_keys(model, buckets, near), "bucket long, packed binary").groupBy("bucket").applyInPandas(_shared_keys, "key long, s1 long, rest long").withColumn("own", F.lit(0).cast("long"))
-    combined = written(texts.mapInPandas(_combination_keys(model, near), "key long, s1 long, rest long, own long").groupBy("key", "s1").agg(F.max("rest").alias("rest"), F.max("own").alias("own")), "combined")
+    rare = texts.mapInPandas(trimmed(_rare_keys(model, buckets, near)), "bucket long, packed binary").groupBy("bucket").applyInPandas(_shared_keys, "key long, s1 long, rest long").withColumn("own", F.lit(0).cast("long"))
+    combined = written(texts.mapInPandas(trimmed(_combination_keys(model, near)), "key long, s1 long, rest long, own long").groupBy("key", "s1").agg(F.max("rest").alias("rest"), F.max("own").alias("own")), "combined")
     several = written(combined.groupBy("key").count().where("count > 1").select("key"), "several")
     keys = written(rare.unionByName(combined.join(several, "key", "left_semi")), "keys")
     discard(combined, several)

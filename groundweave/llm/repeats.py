@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundweave.llm.common import discard, let_go, table, text_batches, written
+from groundweave.llm.common import discard, let_go, table, text_batches, trimmed, written
 
 LENGTH = 400
 GRAM = 32
@@ -171,7 +171,7 @@ def _texts_of(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_starts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows ik, th, start, last: every start of a `length`-byte string that also starts elsewhere lies in one, and no other does."""
-    runs = written(keyed.select("ik", "th", "t").where(F.octet_length("t") >= length).mapInPandas(_runs(length), "ik string, th long, core long, whole long, start long, last long, anchor long"), "runs")
+    runs = written(keyed.select("ik", "th", "t").where(F.octet_length("t") >= length).mapInPandas(trimmed(_runs(length)), "ik string, th long, core long, whole long, start long, last long, anchor long"), "runs")
     cores = written(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     shared = written(runs.join(cores, "core").withColumns({"common": F.lit(0).cast("long"), "weight": F.lit(1).cast("long")}), "shared")
     discard(runs, cores)
@@ -179,7 +179,7 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     todo = written(rest.groupBy("ik", "th").agg(F.collect_list(F.struct("start", "last", "anchor", "core", "weight")).alias("runs")), "todo")
     discard(rest)
     texts, _ = _texts_of(keyed, todo)
-    blocks = texts.select("ik", "th", "t").join(todo, ["ik", "th"]).mapInPandas(_blocks(length), "ik string, th long, core long, common long, whole long, start long, last long, weight long, single array<long>")
+    blocks = texts.select("ik", "th", "t").join(todo, ["ik", "th"]).mapInPandas(trimmed(_blocks(length)), "ik string, th long, core long, common long, whole long, start long, last long, weight long, single array<long>")
     blocks = written(blocks, "blocks")
     discard(todo)
     whole_blocks, rest = _settled(blocks, "blocks")
