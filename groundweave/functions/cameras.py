@@ -6,6 +6,8 @@ row-major 2 x 3 affine on (line, samp) that takes observed to original places.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Order of values in a model file: fixed by the format.
@@ -20,7 +22,7 @@ IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
 def terms(p: np.ndarray, l: np.ndarray, h: np.ndarray) -> np.ndarray:
     """(N, 20) terms of normalised coordinates."""
     power = [np.stack([x**0, x, x * x, x * x * x]) for x in (p, l, h)]
-    return np.stack([power[0][a] * power[1][b] * power[2][c] for a, b, c in TERMS], axis=1)
+    return np.stack([power[0][a] * power[1][b] * power[2][c] for a, b, c in TERMS]).T
 
 
 def _ratio(t: np.ndarray, model: dict, num: str, den: str) -> np.ndarray:
@@ -35,7 +37,10 @@ def inverse_affine(m) -> np.ndarray:
 
 def to_photo(model: dict, lat, lon, h) -> tuple[np.ndarray, np.ndarray]:
     """(line, samp) of ground points, after the inverse of the model's affine."""
-    t = terms((lat - model["lat_off"]) / model["lat_scale"], (lon - model["lon_off"]) / model["lon_scale"], (h - model["height_off"]) / model["height_scale"])
+    return _photo(model, terms((lat - model["lat_off"]) / model["lat_scale"], (lon - model["lon_off"]) / model["lon_scale"], (h - model["height_off"]) / model["height_scale"]))
+
+
+def _photo(model: dict, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     line = _ratio(t, model, "lnum", "lden") * model["line_scale"] + model["line_off"]
     samp = _ratio(t, model, "snum", "sden") * model["samp_scale"] + model["samp_off"]
     a = inverse_affine(model.get("adj") if model.get("adj") is not None else IDENTITY)
@@ -93,52 +98,86 @@ class Models:
         return self._plain(self._ratio(t, at, "latnum", "latden"), at, "lat"), self._plain(self._ratio(t, at, "lonnum", "londen"), at, "lon")
 
 
-def virtual_grid(model: dict, xy: int, z: int) -> np.ndarray:
-    """(N, 5) line, samp, lat, lon, h of a grid over the model's range, without points outside the image."""
+#: The 84 distinct products of two terms, and where each pair of terms finds its own.
+_PRODUCTS, _PAIR = np.unique((TERMS[:, None] + TERMS[None]).reshape(-1, 3), axis=0, return_inverse=True)
+_PAIR = _PAIR.reshape(20, 20)
+
+
+def _products(p: np.ndarray, l: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(84, N) products of two terms."""
+    power = [np.stack([x**k for k in range(7)]) for x in (p, l, h)]
+    return np.stack([power[0][a] * power[1][b] * power[2][c] for a, b, c in _PRODUCTS])
+
+
+@lru_cache(maxsize=2)
+def _grid(xy: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their products on the virtual grid in normalised coordinates, which are the same for every model."""
+    at = [x.ravel() for x in np.meshgrid(*(np.linspace(-1, 1, n) for n in (xy, xy, z)), indexing="ij")]
+    return terms(*at), _products(*at)
+
+
+def _virtual(model: dict, xy: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """(N, 5) line, samp, lat, lon, h of a grid over the model's range, and which of its points lie in the image."""
     axis = lambda k, n: np.linspace(model[f"{k}_off"] - model[f"{k}_scale"], model[f"{k}_off"] + model[f"{k}_scale"], n)
     lat, lon, h = (x.ravel() for x in np.meshgrid(axis("lat", xy), axis("lon", xy), axis("height", z), indexing="ij"))
-    line, samp = to_photo(model, lat, lon, h)
+    line, samp = _photo(model, _grid(xy, z)[0])
     ok = (np.abs(samp - model["samp_off"]) <= model["samp_scale"]) & (np.abs(line - model["line_off"]) <= model["line_scale"])
-    return np.stack([line, samp, lat, lon, h], axis=1)[ok]
+    return np.stack([line, samp, lat, lon, h]).T, ok
 
 
-def fit_ratio(t: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator (constant 1) with value = ratio, by least squares with a slight ridge."""
-    a = np.concatenate([t, -value[:, None] * t[:, 1:]], axis=1)
-    n = a.T @ a
-    x = np.zeros(39)
+def virtual_grid(model: dict, xy: int, z: int) -> np.ndarray:
+    """(N, 5) line, samp, lat, lon, h of a grid over the model's range, without points outside the image."""
+    g, ok = _virtual(model, xy, z)
+    return g[ok]
+
+
+def fit_ratios(t: np.ndarray, products: np.ndarray, ok: np.ndarray, *values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each value numerator and denominator (constant 1) with value = ratio where ok, by least squares with a slight ridge. The columns t
+    and -value t of the system are never put side by side: its normal matrix consists of sums of products of terms, by themselves, times the
+    value and times its square."""
+    v, k, w = np.where(ok, np.stack(values), 0), len(values), ok.astype(float)
+    sums = products @ np.concatenate([w[None], v, v * v]).T
+    plain, normal = sums[_PAIR, 0], []
+    for i in range(k):
+        cross, square = sums[_PAIR, 1 + i], sums[_PAIR, 1 + k + i]
+        n = np.block([[plain, -cross[:, 1:]], [-cross[1:], square[1:, 1:]]])
+        normal.append(n + 1e-9 * np.trace(n) / len(n) * np.eye(39))
+    slope = sums[_PAIR[0], 1:]
+    x, going = np.zeros((39, k)), list(range(k))
     for _ in range(50):  # iterated ridge: the bias of the ridge goes, the stability stays
-        step = np.linalg.solve(n + 1e-9 * np.trace(n) / len(n) * np.eye(39), a.T @ (value - a @ x))
-        x += step
-        if np.abs(step).max() < 1e-12:
+        right = np.concatenate([slope[:, :k], -slope[1:, k:]])
+        steps = {i: np.linalg.solve(normal[i], right[:, i]) for i in going}
+        for i, step in steps.items():
+            x[:, i] += step
+        going = [i for i in going if np.abs(steps[i]).max() >= 1e-12]
+        if not going:
             break
-    return x[:20], np.concatenate([[1.0], x[20:]])
+        got = np.concatenate([x[:20], np.zeros((1, k)), x[20:]], axis=0).reshape(2, 20, k).transpose(0, 2, 1).reshape(2 * k, 20) @ t.T
+        rest = w * (v - got[:k]) + v * got[k:]
+        slope = t.T @ np.concatenate([rest, v * rest]).T
+    return [(x[:20, i], np.concatenate([[1.0], x[20:, i]])) for i in range(k)]
 
 
 def fit_inverse(model: dict, xy: int = 30, z: int = 20) -> dict:
     """model with inverse coefficients fitted on a virtual grid (its affine apart)."""
     plain = {**model, "adj": list(IDENTITY)}
-    g = virtual_grid(plain, xy, z)
-    if len(g) < 78:
+    g, ok = _virtual(plain, xy, z)
+    if ok.sum() < 78:
         return model
+    g = g[ok]
     norm = lambda v, k: (v - model[f"{k}_off"]) / model[f"{k}_scale"]
-    t = terms(norm(g[:, 1], "samp"), norm(g[:, 0], "line"), norm(g[:, 4], "height"))
-    out = dict(model)
-    out["latnum"], out["latden"] = (x.tolist() for x in fit_ratio(t, norm(g[:, 2], "lat")))
-    out["lonnum"], out["londen"] = (x.tolist() for x in fit_ratio(t, norm(g[:, 3], "lon")))
-    return out
+    at = norm(g[:, 1], "samp"), norm(g[:, 0], "line"), norm(g[:, 4], "height")
+    lat, lon = fit_ratios(terms(*at), _products(*at), np.ones(len(g), bool), norm(g[:, 2], "lat"), norm(g[:, 3], "lon"))
+    return {**model, **{n: x.tolist() for n, x in zip(INVERSE, (*lat, *lon), strict=True)}}
 
 
 def bake(model: dict, xy: int = 50, z: int = 30) -> dict:
     """model with its affine worked into refitted coefficients, and an identity affine; as it is if that is identity."""
     if model.get("adj") is None or np.allclose(model["adj"], IDENTITY, atol=1e-8):
         return model
-    g = virtual_grid(model, xy, z)
-    if len(g) < 39:
+    g, ok = _virtual(model, xy, z)
+    if ok.sum() < 39:
         return model
     norm = lambda v, k: (v - model[f"{k}_off"]) / model[f"{k}_scale"]
-    t = terms(norm(g[:, 2], "lat"), norm(g[:, 3], "lon"), norm(g[:, 4], "height"))
-    out = {**model, "adj": list(IDENTITY)}
-    out["lnum"], out["lden"] = (x.tolist() for x in fit_ratio(t, norm(g[:, 0], "line")))
-    out["snum"], out["sden"] = (x.tolist() for x in fit_ratio(t, norm(g[:, 1], "samp")))
-    return fit_inverse(out)
+    line, samp = fit_ratios(*_grid(xy, z), ok, norm(g[:, 0], "line"), norm(g[:, 1], "samp"))
+    return fit_inverse({**model, "adj": list(IDENTITY), **{n: x.tolist() for n, x in zip(DIRECT, (*line, *samp), strict=True)}})

@@ -7,6 +7,7 @@ runs once for each batch of points, with a model for each row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -28,9 +29,10 @@ def _model(row) -> dict:
     return row if isinstance(row, dict) else row.asDict()
 
 
-#: Scenes whose models (1.4 kB each) are sent to every executor; beyond, points and models meet by a shuffle.
+#: Scenes whose models (1.4 kB each) are sent to every executor; beyond, ranges of points fetch their own models.
 BROADCAST_SCENES = 20_000
-SALTS = 16
+#: Points of such a range.
+PROJECTED = 50_000
 
 
 class Step(NamedTuple):
@@ -52,10 +54,9 @@ def _projected(points: pd.DataFrame, models: C.Models, steps: tuple[Step, ...])
     return out
 
 
-def _of_one_scene(step: Step) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _of_one_range(steps: tuple[Step, ...]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(points: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        own = {s: _model(r) for s, r in zip(models["_s"], models["rpc"], strict=True)}
-        return _projected(points.drop(columns="_salt"), C.Models(own), (step,))
+        return _projected(points.drop(columns="_b"), _stacked(models), steps)
 
     return run
 
@@ -74,12 +75,13 @@ def _by_scene(points: DataFrame, scenes: DataFrame, *steps: Step) -> DataFrame:
                 yield _projected(b, sent.value, steps)
 
         return points.mapInPandas(batches, kinds(points, *steps))
-    for step in steps:
-        # A hot scene's points are dealt over all salts, with its model beside them.
-        dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
-        both = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(step.key, F.col("_s"))
-
-        points = dealt.groupBy(step.key, "_salt").cogroup(both.groupBy(step.key, "_salt")).applyInPandas(_of_one_scene(step), kinds(points, step))
+    held: tuple[DataFrame, ...] = ()
+    for key, own in groupby(steps, key=lambda s: s.key):
+        own = tuple(own)
+        dealt = dealt_by_range(points, PROJECTED, F.col(key), F.xxhash64(*points.columns))  # a hot scene lies in many ranges
+        discard(*held)
+        held = (dealt, _models_of(dealt, scenes, key))
+        points = dealt.groupBy("_b").cogroup(held[1].groupBy("_b")).applyInPandas(_of_one_range(own), kinds(points, *own))
     return points
 
 
@@ -176,9 +178,10 @@ def rpc_roundtrip_check(scenes: DataFrame, nxy: int = 10, nh: int = 5, tol: floa
     """scene_id, line, samp, h, error in pixels of grid points that miss their place by over tol on the way to the ground and back."""
     along = lambda k, n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col(f"rpc.{k}_off") + F.col(f"rpc.{k}_scale") * (i * (2.0 / max(n - 1, 1)) - 1)))
     grid = scenes.withColumn("line", along("line", nxy)).withColumn("samp", along("samp", nxy)).withColumn("h", along("height", nh)).select("scene_id", "line", "samp", "h")
-    there = rpc_photo2obj(grid, scenes).withColumnsRenamed({"line": "line0", "samp": "samp0"})
+    grid = grid.withColumnsRenamed({"line": "line0", "samp": "samp0"})
     error = F.sqrt(F.pow(F.col("line") - F.col("line0"), 2) + F.pow(F.col("samp") - F.col("samp0"), 2))
-    return rpc_obj2photo(there, scenes).withColumn("error", error).where(F.col("error") > tol).select("scene_id", F.col("line0").alias("line"), F.col("samp0").alias("samp"), "h", "error")
+    there = Step(C.Models.to_ground, ("line0", "samp0", "h"), ("lat", "lon"))
+    return _by_scene(grid, scenes, there, Step(C.Models.to_photo, ("lat", "lon", "h"), ("line", "samp"))).withColumn("error", error).where(F.col("error") > tol).select("scene_id", F.col("line0").alias("line"), F.col("samp0").alias("samp"), "h", "error")
 
 
 def pair_point_error(pairs: DataFrame, ties: DataFrame, scenes: DataFrame, unit: str = "px") -> DataFrame:
