@@ -22,11 +22,12 @@ def dem_nearest(t):
     return rounded(O.dem_nearest(_points(t), t("cells_fx")))
 
 
-@R.query(f"""WITH k AS (SELECT tie_id, img, line, samp, CAST(floor(line) AS BIGINT) AS r0, CAST(floor(samp) AS BIGINT) AS c0 FROM {_POINTS}),
-  n AS (SELECT k.*, LEAST(GREATEST(r0+dr, 0), last_r) AS r, LEAST(GREATEST(c0+dc, 0), last_c) AS c, (CASE WHEN dr=1 THEN line-r0 ELSE r0+1-line END)*(CASE WHEN dc=1 THEN samp-c0 ELSE c0+1-samp END) AS weight
-    FROM k CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) o(dr, dc) CROSS JOIN (SELECT MAX(r) AS last_r, MAX(c) AS last_c FROM cells_fx) e)
-  SELECT n.tie_id, n.img, CASE WHEN COUNT(CASE WHEN v IS NOT NULL OR weight = 0 THEN 1 END) = 4 THEN ROUND(SUM(COALESCE(v, 0)*weight), 3) END AS height
-  FROM n LEFT JOIN cells_fx d ON d.r = n.r AND d.c = n.c GROUP BY n.tie_id, n.img, line, samp""")
+# Heights are rounded as decimals, half up, as heights at quarters of a cell lie on halves of the last digit.
+@R.query(f"""WITH k AS (SELECT tie_id, img, LEAST(GREATEST(line, 0), last_r) AS y, LEAST(GREATEST(samp, 0), last_c) AS x FROM {_POINTS} CROSS JOIN (SELECT MAX(r) AS last_r, MAX(c) AS last_c FROM cells_fx) e),
+  w AS (SELECT tie_id, img, CAST(floor(y) AS BIGINT) AS r0, CAST(floor(x) AS BIGINT) AS c0, y - floor(y) AS fy, x - floor(x) AS fx FROM k),
+  p AS (SELECT *, (1 - fy)*(1 - fx) AS w0, (1 - fy)*fx AS w1, fy*(1 - fx) AS w2, fy*fx AS w3 FROM w)
+  SELECT p.tie_id, p.img, CAST(ROUND(CAST(CAST({" + ".join(f"CASE WHEN w{i} = 0 THEN 0 ELSE w{i}*d{i}.v END" for i in range(4))} AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DOUBLE) AS height
+  FROM p {" ".join(f"LEFT JOIN cells_fx d{i} ON d{i}.r = r0 + {i // 2} AND d{i}.c = c0 + {i % 2}" for i in range(4))}""")
 def dem_bilinear(t):
     return rounded(O.dem_bilinear(_points(t), t("cells_fx")).select("tie_id", "img", "height"), 3)
 
