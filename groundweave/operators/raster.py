@@ -42,7 +42,8 @@ def dem_bilinear(points: DataFrame, dem: DataFrame) -> DataFrame:
     near = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("_r") + k // 2).alias("r"), (F.col("_c") + k % 2).alias("c")) for k in range(4))))
     corners = at.where("_g is not null and _r is not null and _c is not null").select("_g", "_r", "_c").distinct()
     four = corners.withColumn("_n", near).select("_g", "_r", "_c", "_n.k", F.col("_n.r").alias("r"), F.col("_n.c").alias("c"))
-    met = four.join(dem.select(F.col("grid_id").alias("_g"), "r", "c", _clean().cast("double").alias("v")), ["_g", "r", "c"])
+    cells = dem.select(F.col("grid_id").alias("_g"), "r", "c", _clean().cast("double").alias("v"))
+    met = four.join(cells.hint("merge"), ["_g", "r", "c"])  # a small file may hold many cells: none is sent to the driver
     values = met.groupBy("_g", "_r", "_c").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_v{k}") for k in range(4)))
     values = values.select(*(F.col(f"{c}").alias(f"{c}at") for c in ("_g", "_r", "_c")), *(f"_v{k}" for k in range(4)))
     back = at.join(values, (F.col("_g") == F.col("_gat")) & (F.col("_r") == F.col("_rat")) & (F.col("_c") == F.col("_cat")), "left")
