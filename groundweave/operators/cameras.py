@@ -20,6 +20,7 @@ from groundweave.functions import geometry as G
 from groundweave.operators.adjust import graph_components
 from groundweave.operators.raster import dem_bilinear
 from groundweave.operators.sampling import dealt_by_range, numbered, percentiles
+from groundweave.operators.spatial import spread
 from groundweave.sources.shared import discard, written
 
 RPC = "struct<" + ",".join([f"{k}:double" for k in C.SCALARS] + [f"{k}:array<double>" for k in (*C.DIRECT, *C.INVERSE, "adj")]) + ">"
@@ -150,18 +151,12 @@ def scene_corners(scenes: DataFrame) -> DataFrame:
     return placed.groupBy("scene_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("ring"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """df dealt to all tasks, for small tables whose rows take long."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-
-
 def _refit(scenes: DataFrame, fit: Callable[[dict], dict]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"scene_id": b["scene_id"], "rpc": [fit(_model(r)) for r in b["rpc"]]})
 
-    return _spread(scenes.select("scene_id", "rpc")).mapInPandas(run, f"scene_id long, rpc {RPC}")
+    return spread(scenes.select("scene_id", "rpc")).mapInPandas(run, f"scene_id long, rpc {RPC}")
 
 
 def inverse_rpc_fit(scenes: DataFrame, xy: int = 30, z: int = 20) -> DataFrame:
