@@ -20,8 +20,7 @@ from groundweave.functions import geometry as G
 from groundweave.operators.adjust import graph_components
 from groundweave.operators.raster import dem_bilinear
 from groundweave.operators.sampling import dealt_by_range, numbered, percentiles
-from groundweave.operators.spatial import spread
-from groundweave.sources.shared import discard, written
+from groundweave.sources.shared import discard, spread, written
 
 RPC = "struct<" + ",".join([f"{k}:double" for k in C.SCALARS] + [f"{k}:array<double>" for k in (*C.DIRECT, *C.INVERSE, "adj")]) + ">"
 

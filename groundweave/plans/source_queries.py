@@ -10,7 +10,7 @@ from groundweave.functions.cameras import DIRECT, INVERSE, SCALARS
 from groundweave.operators import metrics as M
 from groundweave.plans.base import Registry, rounded
 from groundweave.sources import files as S
-from groundweave.sources.shared import shared_dir
+from groundweave.sources.shared import shared_dir, spread
 from groundweave.streaming.monitor import log_tail as tail
 
 R = Registry()
@@ -87,7 +87,7 @@ def append_checked_groups(t):
 
 def _texts(df, name: str) -> str:
     """Writes value as one file for each scene under its own folder scene=.., and returns the folder above."""
-    df.repartition("scene").write.partitionBy("scene").text(path := _place(df, name))
+    spread(df, "scene").write.partitionBy("scene").text(path := _place(df, name))
     return path
 
 
@@ -95,7 +95,7 @@ def _texts(df, name: str) -> str:
 def scene_catalog(t):
     rows = t("supplier").select(F.col("s_suppkey").alias("scene"), F.lit("x").alias("value"))
     root = _place(rows, "scenes")
-    rows.repartition("scene").write.partitionBy("scene").text(f"{root}/adjust_images")
+    spread(rows, "scene").write.partitionBy("scene").text(f"{root}/adjust_images")
     return S.scene_catalog(rows.sparkSession, root)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundweave.functions.cameras import DIRECT, INVERSE, SCALARS
-from groundweave.sources.shared import written
+from groundweave.operators.sampling import numbered
+from groundweave.sources.shared import spread, written
 
 #: Labels of a model file by block, and units of the first ten: fixed by the format.
 LABELS = {"lnum": "LINE_NUM_COEFF", "lden": "LINE_DEN_COEFF", "snum": "SAMP_NUM_COEFF", "sden": "SAMP_DEN_COEFF", "latnum": "LAT_NUM_COEFF", "latden": "LAT_DEN_COEFF", "lonnum": "LONG_NUM_COEFF", "londen": "LONG_DEN_COEFF"}
@@ -34,11 +35,10 @@ def scene_catalog(spark: SparkSession, root: str, sub: str = "adjust_images", se
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{sub}").select("path")
     names = files.select(_folder(F.col("path")).alias("name")).distinct()
-    listed = names.agg(F.sort_array(F.collect_list("name")).alias("n")).select(F.posexplode("n").alias("place", "name"))  # names of folders alone
+    listed = numbered(names, [F.col("name")], "scene_id")
     if select != "-1":
-        listed = listed.where(F.col("place").isin([int(x) for x in select.split(",")]))
-    kept = listed.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]).alias("n"))
-    return kept.select(F.posexplode("n").alias("scene_id", "name")).select(F.col("scene_id").cast("long"), "name")
+        listed = numbered(listed.where(F.col("scene_id").isin([int(x) for x in select.split(",")])).select("name"), [F.col("name")], "scene_id")
+    return listed.select("scene_id", "name")
 
 
 def ortho_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -98,7 +98,7 @@ def rpc_lines(rpc: str = "rpc") -> Column:
 def write_rpc_text(scenes: DataFrame, path: str) -> None:
     """One file for each scene (name, rpc) under path/scene_key=name, slashes in names as underscores."""
     keyed = scenes.select(F.replace("name", F.lit("/"), F.lit("_")).alias("scene_key"), rpc_lines().alias("value"))
-    keyed.repartition("scene_key").write.mode("overwrite").partitionBy("scene_key").text(path)
+    spread(keyed, "scene_key").write.mode("overwrite").partitionBy("scene_key").text(path)
 
 
 def read_tie_points(spark: SparkSession, path: str) -> DataFrame:
