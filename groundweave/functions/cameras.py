@@ -98,6 +98,19 @@ class Models:
         return self._plain(self._ratio(t, at, "latnum", "latden"), at, "lat"), self._plain(self._ratio(t, at, "lonnum", "londen"), at, "lon")
 
 
+class RunModels(Models):
+    """Models for points in the order of their scenes: the polynomials of a run of points of one scene are one product."""
+
+    def _ratio(self, t: np.ndarray, at: np.ndarray, num: str, den: str) -> np.ndarray:
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        if len(first) * 32 > len(at):  # runs too short to be worth it
+            return super()._ratio(t, at, num, den)
+        both = np.empty((len(at), 2))
+        for a, b in zip(first, [*first[1:], len(at)], strict=True):
+            both[a:b] = t[a:b] @ np.stack([self.blocks[num][at[a]], self.blocks[den][at[a]]], axis=1)
+        return both[:, 0] / both[:, 1]
+
+
 #: The 84 distinct products of two terms, and where each pair of terms finds its own.
 _PRODUCTS, _PAIR = np.unique((TERMS[:, None] + TERMS[None]).reshape(-1, 3), axis=0, return_inverse=True)
 _PAIR = _PAIR.reshape(20, 20)

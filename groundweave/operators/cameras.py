@@ -7,6 +7,7 @@ runs once for each batch of points, with a model for each row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 from itertools import groupby
 from typing import NamedTuple
 
@@ -289,21 +290,16 @@ def _mercator(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.radians(lon) * _R, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * _R], axis=1)
 
 
-def _affine_jacobian(adj: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """(N, 2, 6): how predicted places (N, 2) move with their scenes' affines (N, 6)."""
-    inverse = np.linalg.inv(adj.reshape(-1, 2, 3)[:, :, :2])
-    basis = np.concatenate([seen, np.ones((len(seen), 1))], axis=1)
-    return np.concatenate([-inverse[:, :, row][:, :, None] * basis[:, None, :] for row in range(2)], axis=2)
-
-
 def _edge_sums(rows: pd.DataFrame, models: C.Models) -> pd.DataFrame:
     """Rows a, b, v of the ties of many edges at once: the 36 numbers of block (a, b) with each tie's ground point eliminated, a's
     gradient where b is -1, and the squares of the residuals and their count where both are -1."""
     (i, known_i), (j, known_j) = models.rows(rows["i"]), models.rows(rows["j"])
     ok = known_i & known_j
-    rows, i, j = rows[ok], i[ok], j[ok]
-    if not len(rows):
+    if not ok.any():
         return pd.DataFrame([], columns=["a", "b", "v"])
+    order = np.lexsort((j, i))  # by edge: models evaluate runs, and sums go from edge to edge
+    order = order[ok[order]]
+    rows, i, j = rows.iloc[order], i[order], j[order]
     h, seen = rows["h"].to_numpy(float), rows[["line_i", "samp_i", "line_j", "samp_j"]].to_numpy(float)
     xy = sum(_mercator(*models.to_ground(s, *seen[:, k : k + 2].T, h)) for s, k in ((i, 0), (j, 2))) / 2
 
@@ -314,15 +310,39 @@ def _edge_sums(rows: pd.DataFrame, models: C.Models) -> pd.DataFrame:
     r, eps = residual(xy), 1e-3
     px = np.stack([(residual(xy + eps * e) - residual(xy - eps * e)) / (2 * eps) for e in np.eye(2)], axis=2)
     predicted = r + seen
-    ja = np.zeros((len(rows), 4, 12))
-    ja[:, :2, :6], ja[:, 2:, 6:] = _affine_jacobian(models.adj[i], predicted[:, :2]), _affine_jacobian(models.adj[j], predicted[:, 2:])
-    pp = np.linalg.inv(np.einsum("nra,nrb->nab", px, px) + 1e-12 * np.eye(2))
-    rest = r - np.einsum("nra,nab,nsb,ns->nr", px, pp, px, r, optimize=True)
-    ap = np.einsum("nra,nrb->nab", ja, px)
-    _, first, edge = np.unique(i * np.int64(len(models.ids)) + j, return_index=True, return_inverse=True)
-    big, g = np.zeros((len(first), 12, 12)), np.zeros((len(first), 12))
-    np.add.at(big, edge, np.einsum("nra,nrb->nab", ja, ja) - np.einsum("nac,ncd,nbd->nab", ap, pp, ap, optimize=True))
-    np.add.at(g, edge, np.einsum("nra,nr->na", ja, rest))
+    x, y = px[:, :, 0], px[:, :, 1]
+    xx, xy_, yy = (x * x).sum(axis=1) + 1e-12, (x * y).sum(axis=1), (y * y).sum(axis=1) + 1e-12
+    det = xx * yy - xy_ * xy_
+    xx, xy_, yy = xx / det, xy_ / det, yy / det
+    rx, ry = (x * r).sum(axis=1), (y * r).sum(axis=1)
+    rest = r - x * (yy * rx - xy_ * ry)[:, None] - y * (xx * ry - xy_ * rx)[:, None]
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    first = np.concatenate([[0], np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
+    of_edges = lambda v: np.add.reduceat(v, first)
+    # An affine moves a predicted place by its matrix' inverse times (line, samp, 1), so that what a tie adds is a weight of its four residuals times
+    # products of places. These are summed over an edge, and the inverses, which an edge's ties share, come in at its end.
+    base = [predicted[:, 0], predicted[:, 1], None, predicted[:, 2], predicted[:, 3], None]
+    by = lambda v, k: v if base[k] is None else v * base[k]
+    sums, slope = np.zeros((len(first), 4, 3, 4, 3)), np.zeros((len(first), 4, 3))
+    for p in range(4):
+        left = p // 2 * 3
+        for k in range(3):
+            slope[:, p, k] = of_edges(by(rest[:, p], left + k))
+        for q in range(p, 4):
+            weight = float(p == q) - yy * x[p] * x[q] + xy_ * (x[p] * y[q] + y[p] * x[q]) - xx * y[p] * y[q]
+            right = q // 2 * 3
+            for k in range(3):
+                half = by(weight, left + k)
+                for l in range(3):
+                    sums[:, p, k, q, l] = sums[:, q, l, p, k] = of_edges(by(half, right + l))
+    turn = np.zeros((len(first), 4, 3, 4, 3))
+    for side, of in enumerate((i[first], j[first])):
+        inverse = -np.linalg.inv(models.adj[of].reshape(-1, 2, 3)[:, :, :2])
+        for k in range(3):
+            turn[:, 2 * side : 2 * side + 2, k, 2 * side : 2 * side + 2, k] = inverse
+    turn = turn.reshape(-1, 12, 12)
+    big = turn.transpose(0, 2, 1) @ sums.reshape(-1, 12, 12) @ turn
+    g = (turn.transpose(0, 2, 1) @ slope.reshape(-1, 12, 1))[:, :, 0]
     ends = (models.ids[i[first]], models.ids[j[first]])
     wide = lambda x: np.concatenate([x, np.zeros((len(x), 36 - x.shape[1]))], axis=1)
     parts = [(ends[p], ends[q], big[:, 6 * p : 6 * p + 6, 6 * q : 6 * q + 6].reshape(-1, 36)) for p in (0, 1) for q in (0, 1)]
@@ -340,19 +360,60 @@ def _dealt_ties(ties: DataFrame, per_task: int) -> DataFrame:
     return dealt_by_range(ties.select(*_TIE).where("i is not null and j is not null"), per_task, F.col("i"), F.col("j"), F.xxhash64(*_TIE))
 
 
-def _systems(dealt: DataFrame, models: DataFrame, affines: DataFrame | None) -> DataFrame:
-    """The sums a, b, v of _edge_sums over all ties. affines: scene_id, m; identity for scenes without one."""
+def _added(each: DataFrame) -> DataFrame:
+    return each.groupBy("a", "b").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(36))).alias("v"))
+
+
+def _systems(ties: DataFrame, scenes: DataFrame, observed: int) -> tuple[DataFrame, Callable[[DataFrame | None], DataFrame]]:
+    """The ties, written, and the sums a, b, v of _edge_sums over all of them for given affines (scene_id, m; identity for scenes without one, and for
+    all if None). Up to BROADCAST_SCENES models are sent to the executors, and their affines each time, so that the ties are read where they lie;
+    beyond, ranges of ties fetch their own."""
+    known = scenes.select("scene_id", "rpc").where("scene_id is not null and rpc is not null")
+    few = known.limit(BROADCAST_SCENES + 1).collect()
+    if len(few) > BROADCAST_SCENES:
+        dealt = _dealt_ties(ties, observed)
+        models = _models_of(dealt, scenes, "i", "j")
+        return dealt, lambda affines: _systems_of_ranges(dealt, models, affines)
+    held = written(ties.select(*_TIE).where("i is not null and j is not null"), "ties")
+    context = held.sparkSession.sparkContext
+    stacked = C.RunModels({r["scene_id"]: r["rpc"].asDict() for r in few})
+    sent = context.broadcast(stacked)
+
+    def sums(affines: DataFrame | None) -> DataFrame:
+        adj = np.tile(np.array(C.IDENTITY, float), (len(stacked.ids), 1))
+        for r in [] if affines is None else affines.where("m is not null").select("scene_id", "m").collect():
+            (at,), (there,) = stacked.rows([r["scene_id"]])
+            if there:
+                adj[at] = r["m"]
+        moved = context.broadcast(adj)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            models, waiting = copy(sent.value), []
+            models.adj = moved.value
+            for b in batches:
+                waiting.append(b)
+                if sum(map(len, waiting)) >= observed:
+                    yield _edge_sums(pd.concat(waiting, ignore_index=True), models)
+                    waiting = []
+            if waiting:
+                yield _edge_sums(pd.concat(waiting, ignore_index=True), models)
+
+        return _added(held.mapInPandas(run, "a long, b long, v array<double>"))
+
+    return held, sums
+
+
+def _systems_of_ranges(dealt: DataFrame, models: DataFrame, affines: DataFrame | None) -> DataFrame:
     own = models.withColumn("m", F.lit(None).cast("array<double>")) if affines is None else models.join(affines.select("scene_id", "m"), "scene_id", "left")
 
     def run(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or models.empty:
             return pd.DataFrame([], columns=["a", "b", "v"])
-        stacked, to = _stacked(models), dict(zip(models["scene_id"], models["m"], strict=True))
+        stacked, to = C.RunModels({s: _model(r) for s, r in zip(models["scene_id"], models["rpc"], strict=True)}), dict(zip(models["scene_id"], models["m"], strict=True))
         stacked.adj = np.array([C.IDENTITY if to[s] is None else to[s] for s in stacked.ids.tolist()], float).reshape(-1, 6)
         return _edge_sums(rows, stacked)
 
-    each = dealt.groupBy("_b").cogroup(own.groupBy("_b")).applyInPandas(run, "a long, b long, v array<double>")
-    return each.groupBy("a", "b").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(36))).alias("v"))
+    return _added(dealt.groupBy("_b").cogroup(own.groupBy("_b")).applyInPandas(run, "a long, b long, v array<double>"))
 
 
 def _rms(sums: DataFrame) -> Column:
@@ -364,8 +425,7 @@ def adjustment_rms(ties: DataFrame, scenes: DataFrame, affines: dict[int, list[f
     without one), for any number of scenes. Ties of a scene without a model don't count; without any the rms is null."""
     if isinstance(affines, dict):
         affines = scenes.sparkSession.createDataFrame([(k, list(m)) for k, m in affines.items()], "scene_id long, m array<double>")
-    dealt = _dealt_ties(ties, observed)
-    sums = _systems(dealt, _models_of(dealt, scenes, "i", "j"), affines)
+    sums = _systems(ties, scenes, observed)[1](affines)
     return sums.where("a = -1 and b = -1").agg(_rms(sums))
 
 
@@ -478,17 +538,17 @@ def block_adjustment(ties: DataFrame, scenes: DataFrame, anchor: int, max_iters:
     """scene_id, m, rms: the affines of all scenes that bring the ties' residuals down together in at most max_iters steps,
     the anchor's fixed to identity, and the rms of these affines. damping is added to the diagonal as it is.
 
-    For any number of scenes: each round sums 6 x 6 blocks over the ties, whose ranges fetch their own models. Scenes that ties link without
+    For any number of scenes: each round sums 6 x 6 blocks over the ties (_systems). Scenes that ties link without
     the anchor form a component; one of up to task_blocks blocks is solved by a task, larger ones by conjugate gradients on
     tables. The driver gets sums of squares and counts alone. Scenes without ties, and ties without models, stay out.
     """
-    dealt = _dealt_ties(ties, observed)
-    models = _models_of(dealt, scenes, "i", "j")
+    scenes = written(scenes.select("scene_id", "rpc"), "scenes")
+    dealt, sums_for = _systems(ties, scenes, observed)
     free = dealt.where((F.col("i") != anchor) & (F.col("j") != anchor)).select("i", "j").distinct()
     parts = written(graph_components(free).withColumnRenamed("id", "_id"), "components")
     affines, large, rms = None, None, float("nan")
     for turn in range(max_iters + 1):
-        sums = written(_systems(dealt, models, affines), "blocks")
+        sums = written(sums_for(affines), "blocks")
         last, rms = rms, sums.agg(_rms(sums)).first()["rms"]
         rms = float("nan") if rms is None else rms
         if rms != rms or turn == max_iters or abs(last - rms) < tol:
