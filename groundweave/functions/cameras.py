@@ -98,17 +98,54 @@ class Models:
         return self._plain(self._ratio(t, at, "latnum", "latden"), at, "lat"), self._plain(self._ratio(t, at, "lonnum", "londen"), at, "lon")
 
 
+def _slope(axis: int) -> np.ndarray:
+    """(20, 20): what takes the coefficients of a polynomial in the terms to those of its slope along an axis."""
+    out = np.zeros((20, 20))
+    for k, powers in enumerate(TERMS):
+        if powers[axis]:
+            less = powers - np.eye(3, dtype=int)[axis]
+            out[np.flatnonzero((TERMS == less).all(axis=1))[0], k] = powers[axis]
+    return out
+
+
+_SLOPES = (_slope(0), _slope(1))
+
+
 class RunModels(Models):
-    """Models for points in the order of their scenes: the polynomials of a run of points of one scene are one product."""
+    """Models for points in the order of their scenes: all polynomials of a run of points of one scene are one product. With slopes."""
 
-    def _ratio(self, t: np.ndarray, at: np.ndarray, num: str, den: str) -> np.ndarray:
+    def __init__(self, models: dict[int, dict]):
+        super().__init__(models)
+        direct, self.inverse = (np.stack([self.blocks[k] for k in names], axis=2) for names in (DIRECT, INVERSE))
+        self.direct = np.concatenate([direct, *(s @ direct for s in _SLOPES)], axis=2)
+
+    @staticmethod
+    def _values(t: np.ndarray, at: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
         first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        if len(first) * 32 > len(at):  # runs too short to be worth it
-            return super()._ratio(t, at, num, den)
-        both = np.empty((len(at), 2))
+        if len(first) * 16 > len(at):  # runs too short to be worth it
+            return np.einsum("nk,nkm->mn", t, coefficients[at])
+        out = np.empty((coefficients.shape[2], len(at)))
         for a, b in zip(first, [*first[1:], len(at)], strict=True):
-            both[a:b] = t[a:b] @ np.stack([self.blocks[num][at[a]], self.blocks[den][at[a]]], axis=1)
-        return both[:, 0] / both[:, 1]
+            out[:, a:b] = coefficients[at[a]].T @ t[a:b].T
+        return out
+
+    def to_ground(self, at: np.ndarray, line, samp, h) -> tuple[np.ndarray, np.ndarray]:
+        a = self.adj[at].T
+        l, s = a[0] * line + a[1] * samp + a[2], a[3] * line + a[4] * samp + a[5]
+        v = self._values(terms(self._norm(s, at, "samp"), self._norm(l, at, "line"), self._norm(h, at, "height")), at, self.inverse)
+        return self._plain(v[0] / v[1], at, "lat"), self._plain(v[2] / v[3], at, "lon")
+
+    def photo_slopes(self, at: np.ndarray, lat, lon, h) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, samp) of ground points, each in its own model's image, and how both change with a degree of lat and of lon; (2, N) each."""
+        v = self._values(terms(self._norm(lat, at, "lat"), self._norm(lon, at, "lon"), self._norm(h, at, "height")), at, self.direct)
+        scale = {k: self.scalars[f"{k}_scale"][at] for k in ("lat", "lon", "line", "samp")}
+        value = (v[0] / v[1], v[2] / v[3])
+        slope = lambda k, i, axis: (v[i] - value[i % 4 // 2] * v[i + 1]) / v[i % 4 + 1] * scale[k] / scale[axis]
+        a = self.adj[at].T
+        size = a[0] * a[4] - a[1] * a[3]
+        back = lambda line, samp: np.stack([(a[4] * line - a[1] * samp) / size, (a[0] * samp - a[3] * line) / size])
+        seen = back(self._plain(value[0], at, "line") - a[2], self._plain(value[1], at, "samp") - a[5])
+        return seen, back(slope("line", 4, "lat"), slope("samp", 6, "lat")), back(slope("line", 8, "lon"), slope("samp", 10, "lon"))
 
 
 #: The 84 distinct products of two terms, and where each pair of terms finds its own.

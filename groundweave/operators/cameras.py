@@ -290,7 +290,7 @@ def _mercator(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.radians(lon) * _R, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * _R], axis=1)
 
 
-def _edge_sums(rows: pd.DataFrame, models: C.Models) -> pd.DataFrame:
+def _edge_sums(rows: pd.DataFrame, models: C.RunModels) -> pd.DataFrame:
     """Rows a, b, v of the ties of many edges at once: the 36 numbers of block (a, b) with each tie's ground point eliminated, a's
     gradient where b is -1, and the squares of the residuals and their count where both are -1."""
     (i, known_i), (j, known_j) = models.rows(rows["i"]), models.rows(rows["j"])
@@ -299,37 +299,39 @@ def _edge_sums(rows: pd.DataFrame, models: C.Models) -> pd.DataFrame:
         return pd.DataFrame([], columns=["a", "b", "v"])
     order = np.lexsort((j, i))  # by edge: models evaluate runs, and sums go from edge to edge
     order = order[ok[order]]
-    rows, i, j = rows.iloc[order], i[order], j[order]
-    h, seen = rows["h"].to_numpy(float), rows[["line_i", "samp_i", "line_j", "samp_j"]].to_numpy(float)
-    xy = sum(_mercator(*models.to_ground(s, *seen[:, k : k + 2].T, h)) for s, k in ((i, 0), (j, 2))) / 2
-
-    def residual(p: np.ndarray) -> np.ndarray:
-        lat, lon = _lonlat(p)
-        return np.stack([*models.to_photo(i, lat, lon, h), *models.to_photo(j, lat, lon, h)], axis=1) - seen
-
-    r, eps = residual(xy), 1e-3
-    px = np.stack([(residual(xy + eps * e) - residual(xy - eps * e)) / (2 * eps) for e in np.eye(2)], axis=2)
-    predicted = r + seen
-    x, y = px[:, :, 0], px[:, :, 1]
-    xx, xy_, yy = (x * x).sum(axis=1) + 1e-12, (x * y).sum(axis=1), (y * y).sum(axis=1) + 1e-12
-    det = xx * yy - xy_ * xy_
-    xx, xy_, yy = xx / det, xy_ / det, yy / det
-    rx, ry = (x * r).sum(axis=1), (y * r).sum(axis=1)
-    rest = r - x * (yy * rx - xy_ * ry)[:, None] - y * (xx * ry - xy_ * rx)[:, None]
-    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    parts = [order[at : at + SUMMED] for at in range(0, len(order), SUMMED)]
+    return pd.concat([_sums_of_edges(rows.iloc[some], i[some], j[some], models) for some in parts], ignore_index=True)
+
+
+#: Ties that are evaluated at once, so that their arrays stay in a core's cache.
+SUMMED = 4_000
+
+
+def _sums_of_edges(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, models: C.RunModels) -> pd.DataFrame:
+    """_edge_sums of ties in the order of their edges; i, j: the rows of their models."""
+    h, seen = rows["h"].to_numpy(float), rows[["line_i", "samp_i", "line_j", "samp_j"]].to_numpy(float).T
+    lat, lon = _lonlat(sum(_mercator(*models.to_ground(s, *seen[k : k + 2], h)) for s, k in ((i, 0), (j, 2))) / 2)
+    predicted, y, x = (np.concatenate(both) for both in zip(models.photo_slopes(i, lat, lon, h), models.photo_slopes(j, lat, lon, h), strict=True))
+    r = predicted - seen
+    x, y = x * np.degrees(1 / _R), y * np.degrees(np.cos(np.radians(lat)) / _R)  # by metres of Mercator
+    xx, xy, yy = (x * x).sum(axis=0) + 1e-12, (x * y).sum(axis=0), (y * y).sum(axis=0) + 1e-12
+    det = xx * yy - xy * xy
+    xx, xy, yy = xx / det, xy / det, yy / det
+    rx, ry = (x * r).sum(axis=0), (y * r).sum(axis=0)
+    rest = r - x * (yy * rx - xy * ry) - y * (xx * ry - xy * rx)
     first = np.concatenate([[0], np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
     of_edges = lambda v: np.add.reduceat(v, first)
     # An affine moves a predicted place by its matrix' inverse times (line, samp, 1), so that what a tie adds is a weight of its four residuals times
     # products of places. These are summed over an edge, and the inverses, which an edge's ties share, come in at its end.
-    base = [predicted[:, 0], predicted[:, 1], None, predicted[:, 2], predicted[:, 3], None]
+    base = [predicted[0], predicted[1], None, predicted[2], predicted[3], None]
     by = lambda v, k: v if base[k] is None else v * base[k]
     sums, slope = np.zeros((len(first), 4, 3, 4, 3)), np.zeros((len(first), 4, 3))
     for p in range(4):
         left = p // 2 * 3
         for k in range(3):
-            slope[:, p, k] = of_edges(by(rest[:, p], left + k))
+            slope[:, p, k] = of_edges(by(rest[p], left + k))
         for q in range(p, 4):
-            weight = float(p == q) - yy * x[p] * x[q] + xy_ * (x[p] * y[q] + y[p] * x[q]) - xx * y[p] * y[q]
+            weight = float(p == q) - yy * x[p] * x[q] + xy * (x[p] * y[q] + y[p] * x[q]) - xx * y[p] * y[q]
             right = q // 2 * 3
             for k in range(3):
                 half = by(weight, left + k)
