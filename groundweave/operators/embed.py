@@ -6,8 +6,11 @@ block leave the task, so the table of all similarities never exists.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -239,18 +242,26 @@ def feature_pca3(vectors: DataFrame) -> DataFrame:
     return own.select("id", F.transform("p", lambda x: F.floor((x - F.lit(ends["a"])) * 255.0 / F.lit(span)).cast("int")).alias("c"))
 
 
+#: Fits of a sweep that run at once: each is a row of short jobs, between which the tasks would wait.
+FITS = 8
+#: Rows of which a task of a fit has no more, unless all tasks have them.
+FITTED = 20_000
+
+
 def logreg_sweep(train: DataFrame, val: DataFrame, test: DataFrame, cs: list[float] | None = None, refit: bool = True, max_iter: int = 100) -> DataFrame:
     """c, is_best, val_accuracy of each strength, and test_accuracy of the best, refitted on train and val if asked.
 
-    Tables are (id, v, label). c is the inverse of the penalty's strength over all rows.
+    Tables are (id, v, label). c is the inverse of the penalty's strength over all rows. FITS strengths are fitted at once.
     """
     cs = [float(c) for c in (10 ** np.linspace(-6, 5, 45) if cs is None else cs)]
     rows = lambda d: d.select(array_to_vector("v").alias("features"), F.col("label").cast("double").alias("label"))
-    a, b, c_ = rows(train).cache(), rows(val).cache(), rows(test)
-    n = a.count()
+    spark, a, n = train.sparkSession, rows(train), train.count()
+    tasks = min(spark.sparkContext.defaultParallelism, -(-n // FITTED))
+    a, b, c_ = (a if a.rdd.getNumPartitions() >= tasks else a.repartition(tasks)).cache(), rows(val).cache(), rows(test)
     right = lambda m, d: m.transform(d).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     fit = lambda d, c, n: LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, maxIter=max_iter).fit(d)
-    scores = [(c, right(fit(a, c, n), b)) for c in cs]
+    with ThreadPool(FITS) as pool:
+        scores = list(zip(cs, pool.map(inheritable_thread_target(spark)(lambda c: right(fit(a, c, n), b)), cs, chunksize=1), strict=True))
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]
     whole = a.unionByName(b) if refit else a
     final = right(fit(whole, best, whole.count()), c_)
