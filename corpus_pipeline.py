@@ -13,7 +13,7 @@ from groundweave.llm.common import let_go, table, text_batches, written
 from groundweave.llm.jaccard import shingle_components
 from groundweave.llm.langid import fit, held_out, identify
 from groundweave.llm.packing import packed_documents
-from groundweave.llm.repeats import without_repeats
+from groundweave.llm.repeats import PASSAGE, without_repeats
 from groundweave.operators.sampling import numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +21,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE, MOST_BITS = 0.5, 7.5
 #: Texts of fewer bytes are judged by score alone, as the first bytes of any text cost much.
 LEAST_BYTES = 64
-#: A passage of over 50 words is longer than so many bytes; strings of this length that occur more than once go.
-PASSAGE = 256
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,3 +215,43 @@ def test_topk_repeated_ids_count_once(spark):
 def test_topk_empty(spark):
     none = topk.whole_numbers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_inner_products(none, none).count() == 0
+
+
+def test_repeats_passages_of_51_words_beside_long_strings(spark, tmp_path):
+    """A passage of 51 words under 400 bytes goes from the column text alone; the digests tell of strings of 400 bytes alone. Both by brute force."""
+    passage, long = text(51, 4000), text(120, 9000)
+    rows = [(i, f"{text(70, 5000 + i)} {passage} {text(70, 6000 + i)}") for i in range(4)] + [(10, long), (11, f"{long} {text(60, 1)}"), (12, text(90, 2)), (12, text(90, 2)), (13, text(120, 3)), (14, passage), (15, ""), (16, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.op4_repeats(spark, str(tmp_path)).collect()
+    pairs = [(k, (t or "").encode()) for k, t in rows]
+    assert repeats.PASSAGE < len(passage) < 400
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["kept_sha256"], r["n_spans"]) for r in got) == [(k, n, sha, len(eval(s))) for k, n, sha, s in without(pairs, 400)]
+    assert sorted((str(r["doc_id"]), hashlib.sha256(r["text"].encode()).hexdigest()) for r in got) == [(k, sha) for k, _, sha, _ in without(pairs, 256)]
+    assert not any(passage in r["text"] for r in got) and {r["doc_id"]: r["n_removed"] for r in got}[14] == 0
+
+
+def test_repeats_two_lengths_on_odd_documents(spark, odd_docs, no_docs):
+    docs = repeats.without_repeats(odd_docs, 128, passage=64)
+    assert removed(docs) == without(raw(odd_docs), 128)
+    assert sorted(hashlib.sha256(r["rest"].encode()).hexdigest() for r in docs.collect()) == sorted(sha for _, _, sha, _ in without(raw(odd_docs), 64))
+    assert removed(repeats.without_repeats(no_docs, 128, passage=64)) == []
+    with pytest.raises(ValueError):
+        repeats.without_repeats(no_docs, 128, passage=128)
+
+
+def test_repeats_blocks_of_parts(monkeypatch):
+    """Runs whose texts are cut into stretches and parts give the same blocks."""
+    import pandas as pd
+    import pyarrow as pa
+
+    texts = [text(900, 3).encode(), text(200, 4).encode(), text(90, 5).encode()]
+    frame = pd.DataFrame({"ik": ["a", "b", "c"], "th": [1, 2, 3], "t": texts})
+    runs = pd.concat(repeats._runs(400)(iter([frame]))).assign(weight=1)
+    lists = [runs[runs["ik"] == k].iloc[:: 1 + (k == "a") * 2] for k in "abc"]
+    columns = {c: pa.array([x[c].tolist() for x in lists], pa.list_(pa.int64())) for c in ("start", "last", "anchor", "core", "weight")}
+    batch = pa.record_batch({"ik": ["a", "b", "c"], "th": pa.array([1, 2, 3]), "t": pa.array(texts), **columns})
+    blocks = lambda: sorted(map(str, pa.Table.from_batches(repeats._blocks(400)(iter([batch]))).to_pylist()))
+    whole = blocks()
+    monkeypatch.setattr(repeats, "_SLAB", 300)
+    monkeypatch.setattr(repeats, "_PART", 500)
+    assert blocks() == whole and sum(x.count("core") for x in whole) >= len(pd.concat(lists))
