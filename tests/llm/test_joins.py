@@ -224,7 +224,7 @@ def test_repeats_passages_of_51_words_beside_long_strings(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = repeats.op4_repeats(spark, str(tmp_path)).collect()
     pairs = [(k, (t or "").encode()) for k, t in rows]
-    assert repeats.PASSAGE < len(passage) < 400
+    assert 256 < len(passage) < 400
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["kept_sha256"], r["n_spans"]) for r in got) == [(k, n, sha, len(eval(s))) for k, n, sha, s in without(pairs, 400)]
     assert sorted((str(r["doc_id"]), hashlib.sha256(r["text"].encode()).hexdigest()) for r in got) == [(k, sha) for k, _, sha, _ in without(pairs, 256)]
     assert not any(passage in r["text"] for r in got) and {r["doc_id"]: r["n_removed"] for r in got}[14] == 0
