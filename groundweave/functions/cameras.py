@@ -153,10 +153,19 @@ _PRODUCTS, _PAIR = np.unique((TERMS[:, None] + TERMS[None]).reshape(-1, 3), axis
 _PAIR = _PAIR.reshape(20, 20)
 
 
+#: Points whose powers are multiplied together, so that they stay in a core's cache.
+TOGETHER = 4_000
+
+
 def _products(p: np.ndarray, l: np.ndarray, h: np.ndarray) -> np.ndarray:
     """(84, N) products of two terms."""
-    power = [np.stack([x**k for k in range(7)]) for x in (p, l, h)]
-    return np.stack([power[0][a] * power[1][b] * power[2][c] for a, b, c in _PRODUCTS])
+    out = np.empty((len(_PRODUCTS), len(p)))
+    for at in range(0, len(p), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        power = [[x[some] ** k for k in range(7)] for x in (p, l, h)]
+        for k, (a, b, c) in enumerate(_PRODUCTS.tolist()):
+            np.multiply(power[0][a] * power[1][b], power[2][c], out=out[k, some])
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -221,6 +230,31 @@ def fit_inverse(model: dict, xy: int = 30, z: int = 20) -> dict:
     return {**model, **{n: x.tolist() for n, x in zip(INVERSE, (*lat, *lon), strict=True)}}
 
 
+#: Distinct models whose refits a Python worker keeps, some 6 kB each.
+KEPT = 4_096
+
+
+class Refits:
+    """Refits of models; one that is equal to the last bit to one of the last KEPT models is not made again."""
+
+    def __init__(self, fit, *grid: int):
+        self.fit, self.grid, self.kept = fit, grid, {}
+
+    def __call__(self, model: dict) -> dict:
+        key = tuple(None if model.get(k) is None else np.asarray(model[k], float).tobytes() for k in (*SCALARS, *DIRECT, *INVERSE, "adj"))
+        if key not in self.kept:
+            if len(self.kept) >= KEPT:
+                del self.kept[next(iter(self.kept))]
+            self.kept[key] = self.fit(model, *self.grid)
+        return self.kept[key]
+
+
+@lru_cache(maxsize=8)
+def refits(fit, *grid: int) -> Refits:
+    """The refits of this Python worker."""
+    return Refits(fit, *grid)
+
+
 def bake(model: dict, xy: int = 50, z: int = 30) -> dict:
     """model with its affine worked into refitted coefficients, and an identity affine; as it is if that is identity."""
     if model.get("adj") is None or np.allclose(model["adj"], IDENTITY, atol=1e-8):

@@ -151,8 +151,11 @@ def scene_corners(scenes: DataFrame) -> DataFrame:
     return placed.groupBy("scene_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("ring"))
 
 
-def _refit(scenes: DataFrame, fit: Callable[[dict], dict]) -> DataFrame:
+def _refit(scenes: DataFrame, kind: Callable[..., dict], *grid: int) -> DataFrame:
+    """scenes with their models refitted, each distinct model once in a Python worker."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fit = C.refits(kind, *grid)
         for b in batches:
             yield pd.DataFrame({"scene_id": b["scene_id"], "rpc": [fit(_model(r)) for r in b["rpc"]]})
 
@@ -161,12 +164,12 @@ def _refit(scenes: DataFrame, fit: Callable[[dict], dict]) -> DataFrame:
 
 def inverse_rpc_fit(scenes: DataFrame, xy: int = 30, z: int = 20) -> DataFrame:
     """scene_id, rpc with inverse coefficients fitted on a virtual xy x xy x z grid."""
-    return _refit(scenes, lambda m: C.fit_inverse(m, xy, z))
+    return _refit(scenes, C.fit_inverse, xy, z)
 
 
 def bake_affine_into_rpc(scenes: DataFrame, xy: int = 50, z: int = 30) -> DataFrame:
     """scene_id, rpc with its affine worked into the coefficients; unchanged where it is identity."""
-    return _refit(scenes, lambda m: C.bake(m, xy, z))
+    return _refit(scenes, C.bake, xy, z)
 
 
 def rpc_roundtrip_check(scenes: DataFrame, nxy: int = 10, nh: int = 5, tol: float = 1.0) -> DataFrame:
