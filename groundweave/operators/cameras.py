@@ -206,7 +206,8 @@ def _models_of(ranged: DataFrame, scenes: DataFrame, *keys: str) -> DataFrame:
     holds no more of them than it has rows, and no task or driver has all."""
     named = ranged.select("_b", F.explode(F.array_distinct(F.array(*keys))).alias("scene_id")).distinct()
     known = scenes.select(F.col("scene_id").alias("_s"), "rpc").where("_s is not null and rpc is not null")
-    return written(named.join(known, F.col("scene_id") == F.col("_s")).select("_b", "scene_id", "rpc"), "models")
+    # merged: a table of alike models is small as a file, and Spark would send all of them to the driver and to each executor
+    return written(named.hint("merge").join(known, F.col("scene_id") == F.col("_s")).select("_b", "scene_id", "rpc"), "models")
 
 
 def _stacked(models: pd.DataFrame) -> C.Models:
